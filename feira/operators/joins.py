@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,24 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
+_SIZE_CHECKS: dict[tuple[int, int], tuple[float, bool]] = {}
+SIZE_CHECK_TTL_SECONDS = 600.0
+
+
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Bounded size check: counts at most ``max_rows + 1`` rows per task."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Bounded size check: counts at most ``max_rows + 1`` rows per task.
+
+    The answer is remembered per logical plan (``semanticHash``) for
+    ``SIZE_CHECK_TTL_SECONDS``, so building many queries over the same
+    dimension runs the check once, while a table that grows is re-checked.
+    """
+    key = (df.semanticHash(), max_rows)
+    now = time.monotonic()
+    hit = _SIZE_CHECKS.get(key)
+    if hit is None or now - hit[0] > SIZE_CHECK_TTL_SECONDS:
+        hit = (now, df.limit(max_rows + 1).count() <= max_rows)
+        _SIZE_CHECKS[key] = hit
+    return hit[1]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
