@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from feira.functions.delay import delay_days, normalize_delay
 from feira.operators import delivery as D
+from feira.operators import extras as X
 from feira.operators import feeds as FD
 from feira.operators import revenue as R
 from feira.operators.geo import geo_feed
@@ -215,3 +216,74 @@ def q_daily_orders(spark, sf_dir):
 @query("daily_trend_7")
 def q_daily_trend(spark, sf_dir):
     return daily_trend(fixtures.seller_orders(spark, sf_dir), "orders", window=7)
+
+
+# ------------------------------------------- readme-only (definitions ours)
+
+@query("vendor_segments")
+def q_vendor_segments(spark, sf_dir):
+    return X.vendor_segments(detailed(spark, sf_dir), 10)
+
+
+@query("vendor_concentration")
+def q_vendor_concentration(spark, sf_dir):
+    return X.vendor_concentration(detailed(spark, sf_dir))
+
+
+@query("vendor_concentration_summary")
+def q_vendor_concentration_summary(spark, sf_dir):
+    return X.vendor_concentration_summary(detailed(spark, sf_dir), 10)
+
+
+@query("category_share_rank")
+def q_category_share_rank(spark, sf_dir):
+    return X.category_share_rank(detailed(spark, sf_dir))
+
+
+@query("state_order_share")
+def q_state_order_share(spark, sf_dir):
+    return X.state_order_share(fixtures.seller_orders(spark, sf_dir))
+
+
+@query("price_freight_correlation")
+def q_price_freight_correlation(spark, sf_dir):
+    return X.price_freight_correlation(volume(spark, sf_dir))
+
+
+@query("freight_efficiency")
+def q_freight_efficiency(spark, sf_dir):
+    return X.freight_efficiency(volume(spark, sf_dir))
+
+
+def durations(spark, sf_dir):
+    return X.stage_durations(fixtures.order_items(spark, sf_dir), fixtures.seller_orders(spark, sf_dir))
+
+
+@query("stage_duration_distribution")
+def q_stage_duration_distribution(spark, sf_dir):
+    return X.duration_distribution(durations(spark, sf_dir))
+
+
+@query("stage_duration_summary")
+def q_stage_duration_summary(spark, sf_dir):
+    return X.duration_summary(durations(spark, sf_dir))
+
+
+@query("delay_severity")
+def q_delay_severity(spark, sf_dir):
+    return X.delay_severity(D.delayed_orders(orders(spark, sf_dir), "All"))
+
+
+@query("stage_heatmaps")
+def q_stage_heatmaps(spark, sf_dir):
+    return X.stage_heatmaps(D.delayed_orders(orders(spark, sf_dir), "All"))
+
+
+@query("state_success_rates")
+def q_state_success_rates(spark, sf_dir):
+    return X.success_rates(orders(spark, sf_dir), "state")
+
+
+@query("monthly_success_rates")
+def q_monthly_success_rates(spark, sf_dir):
+    return X.success_rates(orders(spark, sf_dir), "month")

@@ -241,4 +241,94 @@ FROM kpis""", _perf_cte())
     q["daily_trend_7"] = _with("""
 SELECT date, orders, AVG(orders) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS orders_roll
 FROM daily""", daily)
+    _extras(q)
     return q
+
+
+def _ranked_cte(key: str) -> str:
+    return f"""
+per_key AS (
+  SELECT {key}, COALESCE(SUM(CAST(Total AS DECIMAL(18,4))), CAST(0 AS DECIMAL(18,4))) AS x
+  FROM detailed WHERE {key} IS NOT NULL GROUP BY {key}),
+ranked AS (
+  SELECT {key}, x, CAST(x AS DOUBLE) AS Total,
+    ROW_NUMBER() OVER (ORDER BY x DESC, {key} ASC) AS position,
+    COUNT(*) OVER () AS n_rows,
+    SUM(x) OVER (ORDER BY x DESC, {key} ASC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running,
+    SUM(x) OVER () AS grand_total
+  FROM per_key)"""
+
+
+def _extras(q: dict[str, str]) -> None:
+    q["vendor_segments"] = _with(
+        "SELECT seller_id, Total, position, CAST((position - 1) * 10 // n_rows + 1 AS BIGINT) AS segment "
+        "FROM ranked", _ranked_cte("seller_id"))
+    q["vendor_concentration"] = _with(f"""
+SELECT seller_id, Total, position, {ratio('position', 'n_rows')} AS cum_vendor_share,
+  {ratio('running', 'grand_total')} AS cum_revenue_share FROM ranked""", _ranked_cte("seller_id"))
+    q["vendor_concentration_summary"] = _with("""
+SELECT COUNT(*) AS n_vendors,
+  CASE WHEN COUNT(*) > 0 AND SUM(x) <> 0 THEN
+    CAST(2.0 AS DOUBLE) * CAST(SUM(CAST(n_rows + 1 - position AS DECIMAL(18,0)) * CAST(x AS DECIMAL(18,4))) AS DOUBLE)
+      / (CAST(COUNT(*) AS DOUBLE) * CAST(SUM(x) AS DOUBLE))
+    - (CAST(COUNT(*) AS DOUBLE) + CAST(1.0 AS DOUBLE)) / CAST(COUNT(*) AS DOUBLE) END AS gini,
+  CASE WHEN SUM(x) <> 0 THEN CAST(COALESCE(SUM(CASE WHEN position <= CEIL(n_rows * 10 / 100) THEN x END), 0) AS DOUBLE)
+       / CAST(SUM(x) AS DOUBLE) END AS top_share
+FROM ranked""", _ranked_cte("seller_id"))
+    q["category_share_rank"] = _with(f"""
+SELECT product_category_name, Total, {ratio('x', 'grand_total')} AS share, position AS rank,
+  {ratio('running', 'grand_total')} AS cum_share FROM ranked""", _ranked_cte("product_category_name"))
+    q["state_order_share"] = _with(f"""
+SELECT state, orders, ROW_NUMBER() OVER (ORDER BY orders DESC, state ASC) AS rank,
+  {ratio('orders', 'SUM(orders) OVER ()')} AS share
+FROM (SELECT customer_state AS state, COUNT(DISTINCT order_id) AS orders FROM seller_orders
+      WHERE customer_state IS NOT NULL GROUP BY customer_state)""")
+    q["price_freight_correlation"] = _with("""
+SELECT COUNT(*) AS n, ROUND(CORR(price, freight_value), 10) AS pearson_r
+FROM complete WHERE price IS NOT NULL AND freight_value IS NOT NULL""")
+    q["freight_efficiency"] = _with(f"""
+SELECT product_category_name, items, freight,
+  {ratio('freight * CAST(1000.0 AS DOUBLE)', 'grams')} AS freight_per_kg,
+  {ratio('freight * CAST(1000.0 AS DOUBLE)', 'cm3')} AS freight_per_litre,
+  {ratio('freight', 'price_sum')} AS freight_to_price
+FROM (SELECT product_category_name, COUNT(*) AS items,
+        CAST(SUM(CAST(freight_value AS DECIMAL(18,4))) AS DOUBLE) AS freight,
+        SUM(CAST(product_weight_g AS DECIMAL(18,4))) AS grams,
+        SUM(CAST(Volume_cm AS DECIMAL(18,4))) AS cm3,
+        SUM(CAST(price AS DECIMAL(18,4))) AS price_sum
+      FROM complete WHERE freight_value IS NOT NULL GROUP BY product_category_name)""")
+    durations = """durations AS (
+  SELECT date_diff('day', CAST(o.order_purchase_timestamp AS DATE), CAST(i.shipping_limit_date AS DATE)) AS duration_days
+  FROM order_items i JOIN seller_orders o ON i.order_id = o.order_id
+  WHERE i.shipping_limit_date IS NOT NULL AND o.order_purchase_timestamp IS NOT NULL),
+hist AS (SELECT duration_days, COUNT(*) AS items FROM durations GROUP BY duration_days),
+cum AS (SELECT duration_days, items,
+          SUM(items) OVER (ORDER BY duration_days ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+          SUM(items) OVER () AS n FROM hist)"""
+    q["stage_duration_distribution"] = _with(
+        f"SELECT duration_days, items, {ratio('cum', 'n')} AS cum_share FROM cum", durations)
+    q["stage_duration_summary"] = _with(f"""
+SELECT MAX(n) AS n, {ratio('SUM(duration_days * items)', 'MAX(n)')} AS mean_days,
+  MIN(CASE WHEN cum >= CEIL(n * 0.5) THEN duration_days END) AS p50_days,
+  MIN(CASE WHEN cum >= CEIL(n * 0.9) THEN duration_days END) AS p90_days,
+  MIN(CASE WHEN cum >= CEIL(n * 0.99) THEN duration_days END) AS p99_days
+FROM cum""", durations)
+    q["delay_severity"] = _with("""
+SELECT b.delay_bin, COUNT(*) AS orders FROM binned x LEFT JOIN bins b ON x.d_idx = b.d_idx
+GROUP BY x.d_idx, b.delay_bin""", _heatmap_ctes(""))
+    p_cols = ", ".join(f'"{lab}"' for lab in pct_labels())
+    q["stage_heatmaps"] = _with(
+        f"SELECT 'Site_Real_PCT' AS stage, delay_bin, pct_bin, orders FROM (SELECT delay_bin, {p_cols} FROM heat) "
+        f"UNPIVOT (orders FOR pct_bin IN ({p_cols}))", _heatmap_ctes(""))
+    for name, key in (("state_success_rates", "customer_state AS state"),
+                      ("monthly_success_rates", "strftime(order_purchase_timestamp, '%Y-%m') AS month")):
+        alias = key.split(" AS ")[1]
+        q[name] = _with(f"""
+SELECT {alias}, orders, delivered, not_delivered, on_time_delivered,
+  {ratio('delivered', 'orders', '100', 'CAST(0 AS DOUBLE)')} AS delivery_rate,
+  {ratio('on_time_delivered', 'delivered', '100', 'CAST(0 AS DOUBLE)')} AS on_time_rate
+FROM (SELECT {key}, COUNT(*) AS orders,
+        COUNT(*) FILTER (WHERE Net_State = 'Delivered') AS delivered,
+        COUNT(*) FILTER (WHERE Net_State = 'Not_Delivered') AS not_delivered,
+        COUNT(*) FILTER (WHERE Net_State = 'Delivered' AND delay_seconds > 0) AS on_time_delivered
+      FROM seller_orders WHERE delay_seconds IS NOT NULL GROUP BY 1) WHERE {alias} IS NOT NULL""")
