@@ -62,14 +62,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as is. Only when it is unset (local runs, tests) a fresh scratch
-    folder is created.
+    used as is. Only a local-mode session (tests, local runs) gets a fresh
+    scratch folder when it is unset; on a cluster an unset directory is an
+    error, never a machine-local folder.
     """
     configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS/S3) for this cluster")
     local = tempfile.mkdtemp(prefix="feira-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
