@@ -24,17 +24,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feira.functions.bins import DEFAULT_DELAY_RANGES, edges_from_ranges, label_of, range_labels, right_closed_bin
-from feira.functions.numeric import MONEY, safe_ratio
+from feira.functions.numeric import UNITS, money_units, safe_ratio, units_to_money
 from feira.operators.delivery import DELIVERED, NOT_DELIVERED
 from feira.operators.heatmap import _with_delay_days, heatmap_long
 from feira.operators.ranking import with_global_position
 
 
 def exact_revenue_by(detailed: DataFrame, key: str, metric: str = "Total") -> DataFrame:
-    """(key, Total double, _exact decimal): Σ metric per non-null key."""
+    """(key, Total double, _exact): Σ metric per non-null key, ``_exact`` in
+    exact 1e-4 money units (ratios of two unit sums need no rescaling)."""
     return (detailed.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.coalesce(F.sum(F.col(metric).cast(MONEY)), F.lit(0).cast(MONEY)).alias("_exact"))
-            .withColumn("Total", F.col("_exact").cast("double")))
+            .agg(F.coalesce(F.sum(money_units(metric)), F.lit(0).cast(UNITS)).alias("_exact"))
+            .withColumn("Total", units_to_money(F.col("_exact"))))
+
+
+def _money_ratio(num: str, den: str):
+    return safe_ratio(units_to_money(F.col(num)), units_to_money(F.col(den)))
 
 
 def _ranked(detailed: DataFrame, key: str) -> DataFrame:
@@ -58,7 +63,7 @@ def vendor_concentration(detailed: DataFrame) -> DataFrame:
     return r.select(
         "seller_id", "Total", "position",
         safe_ratio(F.col("position"), F.col("n_rows")).alias("cum_vendor_share"),
-        safe_ratio(F.col("running_value"), F.col("total_value")).alias("cum_revenue_share"))
+        _money_ratio("running_value", "total_value").alias("cum_revenue_share"))
 
 
 def vendor_concentration_summary(detailed: DataFrame, top_percent: int = 10) -> DataFrame:
@@ -77,20 +82,20 @@ def vendor_concentration_summary(detailed: DataFrame, top_percent: int = 10) ->
         F.sum("_exact").alias("_total"),
         F.sum(F.when(F.col("position") <= top_k, F.col("_exact"))).alias("_top"))
     n = F.col("n_vendors").cast("double")
-    total = F.col("_total").cast("double")
+    total = units_to_money(F.col("_total"))
     gini = F.when((F.col("n_vendors") > 0) & (F.col("_total") != 0),
-                  F.lit(2.0) * F.col("_weighted").cast("double") / (n * total) - (n + F.lit(1.0)) / n)
-    return agg.select("n_vendors", gini.alias("gini"),
-                      safe_ratio(F.coalesce(F.col("_top"), F.lit(0)), F.col("_total")).alias("top_share"))
+                  F.lit(2.0) * units_to_money(F.col("_weighted")) / (n * total) - (n + F.lit(1.0)) / n)
+    top = units_to_money(F.coalesce(F.col("_top"), F.lit(0)))
+    return agg.select("n_vendors", gini.alias("gini"), safe_ratio(top, total).alias("top_share"))
 
 
 def category_share_rank(detailed: DataFrame) -> DataFrame:
     """(product_category_name, Total, share, rank, cum_share)."""
     r = _ranked(detailed, "product_category_name")
     return r.select("product_category_name", "Total",
-                    safe_ratio(F.col("_exact"), F.col("total_value")).alias("share"),
+                    _money_ratio("_exact", "total_value").alias("share"),
                     F.col("position").alias("rank"),
-                    safe_ratio(F.col("running_value"), F.col("total_value")).alias("cum_share"))
+                    _money_ratio("running_value", "total_value").alias("cum_share"))
 
 
 def state_order_share(orders: DataFrame) -> DataFrame:
@@ -117,16 +122,16 @@ def freight_efficiency(volume: DataFrame) -> DataFrame:
     rows = volume.filter(F.col("freight_value").isNotNull())
     agg = rows.groupBy("product_category_name").agg(
         F.count(F.lit(1)).alias("items"),
-        F.sum(F.col("freight_value").cast(MONEY)).alias("_freight"),
-        F.sum(F.col("product_weight_g").cast(MONEY)).alias("_grams"),
-        F.sum(F.col("Volume_cm").cast(MONEY)).alias("_cm3"),
-        F.sum(F.col("price").cast(MONEY)).alias("_price"))
-    freight = F.col("_freight").cast("double")
+        F.sum(money_units("freight_value")).alias("_freight"),
+        F.sum(money_units("product_weight_g")).alias("_grams"),
+        F.sum(money_units("Volume_cm")).alias("_cm3"),
+        F.sum(money_units("price")).alias("_price"))
+    freight = units_to_money(F.col("_freight"))
     return agg.select(
         "product_category_name", "items", freight.alias("freight"),
-        safe_ratio(freight * F.lit(1000.0), F.col("_grams")).alias("freight_per_kg"),
-        safe_ratio(freight * F.lit(1000.0), F.col("_cm3")).alias("freight_per_litre"),
-        safe_ratio(freight, F.col("_price")).alias("freight_to_price"))
+        safe_ratio(freight * F.lit(1000.0), units_to_money(F.col("_grams"))).alias("freight_per_kg"),
+        safe_ratio(freight * F.lit(1000.0), units_to_money(F.col("_cm3"))).alias("freight_per_litre"),
+        safe_ratio(freight, units_to_money(F.col("_price"))).alias("freight_to_price"))
 
 
 def stage_durations(order_items: DataFrame, orders: DataFrame,

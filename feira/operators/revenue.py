@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.functions.numeric import MONEY, money_sum, nan_to_null, safe_ratio
+from feira.functions.numeric import money_sum, money_units, nan_to_null, safe_ratio, units_to_money
 from feira.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, left_join_null_safe
 from feira.sources.schemas import ORDER_ITEMS_REQUIRED, PRODUCTS_REQUIRED, require_columns
 
@@ -42,12 +42,12 @@ def revenue_kpis(detailed: DataFrame) -> DataFrame:
     without an order id: they count in revenue and products, not in orders.
     """
     per_order = detailed.groupBy("order_id").agg(
-        F.sum(F.col("Total").cast(MONEY)).alias("order_sum"),
+        F.sum(money_units("Total")).alias("order_sum"),
         F.count(F.lit(1)).alias("n_items"))
     has_order = F.col("order_id").isNotNull()
     totals = per_order.agg(
-        F.coalesce(F.sum("order_sum").cast("double"), F.lit(0.0)).alias("total_revenue"),
-        F.coalesce(F.sum(F.when(has_order, F.col("order_sum"))).cast("double"), F.lit(0.0)).alias("_order_revenue"),
+        F.coalesce(units_to_money(F.sum("order_sum")), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(units_to_money(F.sum(F.when(has_order, F.col("order_sum")))), F.lit(0.0)).alias("_order_revenue"),
         F.count_if(has_order).alias("total_orders"),
         F.coalesce(F.sum("n_items"), F.lit(0)).cast("long").alias("total_products"))
     return totals.select(
