@@ -27,17 +27,19 @@ UNIT_NS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": NS_PER_SECOND,
 # pandas: optional sign, optional "<d> day(s)", optional "[+]hh:mm:ss[.f]".
 # With a day part the sign belongs to the days only ("-1 days +22:00:00" is
 # -2 hours); without one it applies to the time.
-PANDAS_FORM = r"^([+-]?)(?:(\d+) days?)?(?: ?\+?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?)?$"
-ISO_FORM = r"^([+-]?)P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d{1,9}))?S)?)?$"
-INTEGER_FORM = r"^[+-]?\d{1,19}$"
+PANDAS_FORM = r"([+-]?)(?:(\d+) days?)?(?: ?\+?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?)?"
+# ISO 8601 duration: sign applies to the whole duration.
+ISO_FORM = r"([+-]?)P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d{1,9}))?S)?)?"
+# a bare integer: nanoseconds
+INTEGER_FORM = r"([+-]?\d{1,19})"
 NULL_TEXTS = ["", "NaT", "nat", "NaN", "nan", "None"]
 
-
-def _parts(t: Column, pattern: str, groups: int) -> Column:
-    """Groups 1..n of ``pattern`` as an array ('' for an absent group), or
-    null when ``t`` does not match: one regex match plus one replacement."""
-    replacement = "|".join(f"${i}" for i in range(1, groups + 1))
-    return F.when(t.rlike(pattern), F.split(F.regexp_replace(t, pattern, replacement), r"\|", -1))
+# All three forms in one anchored alternation (groups 1-6 pandas, 7-12 ISO,
+# 13 integer), so each value is matched by a single regex evaluation; the
+# replacement lays the 13 groups out behind a marker for one ``split``.
+ANY_FORM = f"^(?:{PANDAS_FORM}|{ISO_FORM}|{INTEGER_FORM})$"
+_MARK = "#"
+_LAYOUT = _MARK + "|" + "|".join(f"${i}" for i in range(1, 14))
 
 
 def _int(g: Column) -> Column:
@@ -48,59 +50,61 @@ def _frac_ns(g: Column) -> Column:
     return F.when(g == "", F.lit(0).cast("long")).otherwise(F.rpad(g, 9, "0").cast("long"))
 
 
-def _time_ns(parts: Column, first: int) -> Column:
-    h, m, s, frac = (parts.getItem(first + i) for i in range(4))
-    return (((_int(h) * 60 + _int(m)) * 60 + _int(s)) * NS_PER_SECOND) + _frac_ns(frac)
-
-
 def _sign(g: Column) -> Column:
     return F.when(g == "-", F.lit(-1)).otherwise(F.lit(1))
 
 
-def parse_delay_text(text: Column) -> tuple[Column, Column]:
-    """Return ``(ns, malformed)`` for a text column.
+def _parse_stage(text: Column) -> Column:
+    """struct(t, g): trimmed text and, when it matches one accepted form, the
+    array [marker, g1 … g13] ('' for groups that did not take part)."""
+    t = F.trim(text)
+    laid_out = F.regexp_replace(t, ANY_FORM, _LAYOUT)
+    matched = ~t.contains("|") & laid_out.startswith(_MARK + "|")
+    return F.struct(t.alias("t"), F.when(matched, F.split(laid_out, r"\|", -1)).alias("g"))
 
-    ``ns`` is null for null / empty / ``NaT`` text and for malformed text;
-    ``malformed`` is true only for non-empty text matching no accepted form.
-    Meant to be evaluated over the struct built by ``_parse_stage`` (each
-    regex runs once per row); used directly it is still correct.
-    """
-    stage = _parse_stage(text)
-    return _ns_from_stage(stage), _malformed_from_stage(stage)
 
+def _forms(s: Column):
+    t, g = s.getField("t"), s.getField("g")
+    grp = lambda i: g.getItem(i)  # noqa: E731  (group i of the pattern; item 0 is the marker)
+    is_null = t.isNull() | t.isin(NULL_TEXTS)
+    pandas_ok = g.isNotNull() & ((grp(2) != "") | (grp(3) != ""))
+    iso_ok = g.isNotNull() & ((grp(8) != "") | (grp(9) != "") | (grp(10) != "") | (grp(11) != ""))
+    int_ok = g.isNotNull() & (grp(13) != "")
+    return t, grp, is_null, pandas_ok, iso_ok, int_ok
 
-def _parse_stage(text: Column) -> Column:
-    t = F.trim(text)  # idempotent when the caller already trimmed
-    return F.struct(
-        t.alias("t"),
-        _parts(t, PANDAS_FORM, 6).alias("p"),
-        _parts(t, ISO_FORM, 6).alias("i"),
-        t.rlike(INTEGER_FORM).alias("int_ok"))
+
+def _time_ns(grp, first: int) -> Column:
+    h, m, s, frac = (grp(first + i) for i in range(4))
+    return (((_int(h) * 60 + _int(m)) * 60 + _int(s)) * NS_PER_SECOND) + _frac_ns(frac)
 
 
 def _ns_from_stage(s: Column) -> Column:
-    t, p, i = s.getField("t"), s.getField("p"), s.getField("i")
-    is_null = t.isNull() | t.isin(NULL_TEXTS)
-    pandas_ok = p.isNotNull() & ((p.getItem(1) != "") | (p.getItem(2) != ""))
-    p_time = _time_ns(p, 2)
-    pandas_ns = F.when(p.getItem(1) != "", _sign(p.getItem(0)) * _int(p.getItem(1)) * NS_PER_DAY + p_time
-                       ).otherwise(_sign(p.getItem(0)) * p_time)
-    iso_ok = i.isNotNull() & ((i.getItem(1) != "") | (i.getItem(2) != "") | (i.getItem(3) != "")
-                              | (i.getItem(4) != ""))
-    iso_ns = _sign(i.getItem(0)) * (_int(i.getItem(1)) * NS_PER_DAY + _time_ns(i, 2))
+    t, grp, is_null, pandas_ok, iso_ok, int_ok = _forms(s)
+    p_time = _time_ns(grp, 3)
+    pandas_ns = F.when(grp(2) != "", _sign(grp(1)) * _int(grp(2)) * NS_PER_DAY + p_time
+                       ).otherwise(_sign(grp(1)) * p_time)
+    iso_ns = _sign(grp(7)) * (_int(grp(8)) * NS_PER_DAY + _time_ns(grp, 9))
     return (F.when(is_null, F.lit(None).cast("long"))
             .when(pandas_ok, pandas_ns)
             .when(iso_ok, iso_ns)
-            .when(s.getField("int_ok"), t.cast("long")))
+            .when(int_ok, grp(13).cast("long")))
 
 
 def _malformed_from_stage(s: Column) -> Column:
-    t, p, i = s.getField("t"), s.getField("p"), s.getField("i")
-    is_null = t.isNull() | t.isin(NULL_TEXTS)
-    pandas_ok = p.isNotNull() & ((p.getItem(1) != "") | (p.getItem(2) != ""))
-    iso_ok = i.isNotNull() & ((i.getItem(1) != "") | (i.getItem(2) != "") | (i.getItem(3) != "")
-                              | (i.getItem(4) != ""))
-    return ~is_null & ~pandas_ok & ~iso_ok & ~s.getField("int_ok")
+    _t, _grp, is_null, pandas_ok, iso_ok, int_ok = _forms(s)
+    return ~is_null & ~pandas_ok & ~iso_ok & ~int_ok
+
+
+def parse_delay_text(text: Column) -> tuple[Column, Column]:
+    """Return ``(ns, malformed)`` for a text column.
+
+    ``ns`` is null for null / empty / ``NaT`` text and for malformed text;
+    ``malformed`` is true only for non-empty text matching no accepted form.
+    ``normalize_delay`` evaluates the regex stage once per row; used directly
+    this is still correct.
+    """
+    stage = _parse_stage(text)
+    return _ns_from_stage(stage), _malformed_from_stage(stage)
 
 
 def interval_to_ns(c: Column) -> Column:
