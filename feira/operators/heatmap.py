@@ -31,26 +31,21 @@ def heatmap_grid(delayed: DataFrame, pct_col: str = "Site_Real_PCT",
     when some delay falls outside every bin, and one count column per
     percentage bin (``0–10 %`` … ``90–100 %``), zero filled.
 
-    Plan: per-row bin indexes → partial/final count by (delay bin, pct bin)
-    (≤ 66 groups) → union with the zero skeleton → pivot on fixed values.
+    Plan: per-row bin indexes → one conditional count per percentage bin,
+    grouped by delay bin (partial aggregation, so one shuffle of ≤ 6 rows per
+    task), plus a zero skeleton row per delay bin so every bin appears.
     """
     ranges = list(delay_day_ranges or DEFAULT_DELAY_RANGES)
     edges, labels, p_labels = edges_from_ranges(ranges), range_labels(ranges), pct_labels()
     rows = _with_delay_days(delayed).select(
         right_closed_bin(F.col("delay_days"), edges).alias("d_idx"),
         right_closed_bin(F.col(pct_col), PCT_EDGES).alias("p_idx"))
-    counts = rows.groupBy("d_idx", "p_idx").agg(F.count(F.lit(1)).alias("n"))
-    spark = delayed.sparkSession
-    skeleton = spark.range(len(ranges)).select(
-        F.col("id").cast("int").alias("d_idx"), F.lit(None).cast("int").alias("p_idx"),
-        F.lit(0).cast("long").alias("n"))
-    wide = (counts.unionByName(skeleton)
-            .groupBy("d_idx").pivot("p_idx", list(range(N_PCT))).agg(F.sum("n")))
-    value_cols = [str(i) for i in range(N_PCT)]
-    wide = wide.na.fill(0, subset=value_cols)
-    return (wide.orderBy(F.desc_nulls_last("d_idx"))
-            .select(label_of(F.col("d_idx"), labels).alias("delay_bin"),
-                    *[F.col(str(i)).cast("long").alias(p_labels[i]) for i in range(N_PCT)]))
+    skeleton = delayed.sparkSession.range(len(ranges)).select(
+        F.col("id").cast("int").alias("d_idx"), F.lit(None).cast("int").alias("p_idx"))
+    grid = rows.unionByName(skeleton).groupBy("d_idx").agg(
+        *[F.count_if(F.col("p_idx") == i).alias(p_labels[i]) for i in range(N_PCT)])
+    return (grid.orderBy(F.desc_nulls_last("d_idx"))
+            .select(label_of(F.col("d_idx"), labels).alias("delay_bin"), *[F.col(f"`{c}`") for c in p_labels]))
 
 
 def heatmap_long(delayed: DataFrame, pct_col: str = "Site_Real_PCT",
