@@ -143,7 +143,8 @@ def stage_durations(order_items: DataFrame, orders: DataFrame,
     items = order_items.filter(F.col("order_id").isNotNull()).select("order_id", end_col)
     heads = orders.filter(F.col("order_id").isNotNull()).select("order_id", start_col)
     return (items.join(heads, "order_id")
-            .select("order_id", F.datediff(F.to_date(end_col), F.to_date(start_col)).alias("duration_days"))
+            .select("order_id", F.datediff(F.to_date(end_col), F.to_date(start_col)).cast("long")
+                    .alias("duration_days"))
             .filter(F.col("duration_days").isNotNull()))
 
 

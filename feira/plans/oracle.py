@@ -303,8 +303,8 @@ FROM (SELECT product_category_name, COUNT(*) AS items,
   WHERE i.shipping_limit_date IS NOT NULL AND o.order_purchase_timestamp IS NOT NULL),
 hist AS (SELECT duration_days, COUNT(*) AS items FROM durations GROUP BY duration_days),
 cum AS (SELECT duration_days, items,
-          SUM(items) OVER (ORDER BY duration_days ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-          SUM(items) OVER () AS n FROM hist)"""
+          CAST(SUM(items) OVER (ORDER BY duration_days ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum,
+          CAST(SUM(items) OVER () AS BIGINT) AS n FROM hist)"""
     q["stage_duration_distribution"] = _with(
         f"SELECT duration_days, items, {ratio('cum', 'n')} AS cum_share FROM cum", durations)
     q["stage_duration_summary"] = _with(f"""

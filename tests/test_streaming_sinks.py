@@ -40,3 +40,32 @@ def test_csv_export(spark, tmp_path):
     back = spark.read.option("header", True).csv(out)
     assert back.columns == ["x", "y"] and back.count() == 1
     assert any(f.endswith(".csv") for f in os.listdir(out))
+
+
+def test_csv_inputs_round_trip(spark, tmp_path):
+    from feira.operators import revenue as R
+    from feira.plans.orders_analyzer import OrdersAnalyzer
+    from feira.sources.readers import read_order_items, read_orders, read_products
+
+    items = spark.createDataFrame(
+        [("o1", "1", "p1", "s1", "2020-01-01 10:00:00", "10.5", "1.25"),
+         ("o1", "2", "p9", "s1", "2020-01-01 10:00:00", "4.5", "")],
+        "order_id string, order_item_id string, product_id string, seller_id string, "
+        "shipping_limit_date string, price string, freight_value string")
+    prods = spark.createDataFrame([("12", "p1", "toys", "100", "10", "10")],
+                                  "product_width_cm string, product_id string, product_category_name string, "
+                                  "product_weight_g string, product_length_cm string, product_height_cm string")
+    orders = spark.createDataFrame([("o1", "SP", "Delivered", "-1 days +20:00:00", "55.5", "12.0", "2020-01-01")],
+                                   "order_id string, customer_state string, Net_State string, Delay string, "
+                                   "Site_Real_PCT string, TOTAL string, order_purchase_timestamp string")
+    for df, name in ((items, "items"), (prods, "products"), (orders, "orders")):
+        export_csv(df, str(tmp_path / name))
+    oi = read_order_items(spark, str(tmp_path / "items"))
+    pr = read_products(spark, str(tmp_path / "products"))
+    assert dict(oi.dtypes)["price"] == "double" and dict(pr.dtypes)["product_width_cm"] == "double"
+    k = R.revenue_kpis(R.prepare_data(oi, pr)).first()
+    assert (k.total_revenue, k.total_orders, k.total_products) == (11.75, 1, 2)
+    od = read_orders(spark, str(tmp_path / "orders"))
+    assert dict(od.dtypes)["Site_Real_PCT"] == "double"
+    perf = OrdersAnalyzer(od).get_delivery_performance()["kpis"].first()
+    assert (perf.total_orders, perf.delay_delivered) == (1, 1)
