@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feira.functions.delay import delay_days
+from feira.functions.formatting import fixed
 from feira.functions.numeric import safe_ratio
 
 DELIVERED, NOT_DELIVERED = "Delivered", "Not_Delivered"
@@ -79,7 +80,8 @@ def delayed_orders(orders: DataFrame, delivery_status: str = DELIVERED,
 
 def delivery_chart(performance: DataFrame, chart_type: str = "delivered") -> DataFrame:
     """A18: 'No Delay' / 'With Delay' counts of delivered (``'delivered'``) or
-    not-delivered (anything else) orders and their share of the two."""
+    not-delivered (anything else) orders, their share of the two, and the
+    bar label ``1,234<br>(50.0%)``."""
     if chart_type == "delivered":
         no_delay, with_delay = F.col(BUCKETS[2]), F.col(BUCKETS[0])
     else:
@@ -89,5 +91,7 @@ def delivery_chart(performance: DataFrame, chart_type: str = "delivered") -> Dat
             F.struct(F.lit(CHART_LABELS[0]).alias("category"), no_delay.alias("orders")),
             F.struct(F.lit(CHART_LABELS[1]).alias("category"), with_delay.alias("orders")))),
         (no_delay + with_delay).alias("_total"))
-    return two.select("category", "orders",
-                      safe_ratio(F.col("orders"), F.col("_total"), 100.0, F.lit(0.0)).alias("pct"))
+    pct = safe_ratio(F.col("orders"), F.col("_total"), 100.0, F.lit(0.0))
+    return two.select("category", "orders", pct.alias("pct"),
+                      F.concat(F.format_number(F.col("orders"), 0), F.lit("<br>("), fixed(pct, 1), F.lit("%)"))
+                      .alias("label"))

@@ -18,7 +18,7 @@ from feira.operators import extras as X
 from feira.operators import feeds as FD
 from feira.operators import revenue as R
 from feira.operators.geo import geo_feed
-from feira.operators.heatmap import heatmap_grid, heatmap_long
+from feira.operators.heatmap import heatmap_cell_text, heatmap_grid, heatmap_long
 from feira.operators.trend import daily_orders, daily_trend
 from feira.sources import fixtures
 
@@ -172,6 +172,11 @@ def q_delay_heatmap_long(spark, sf_dir):
     return heatmap_long(D.delayed_orders(orders(spark, sf_dir), "All"), "Site_Real_PCT")
 
 
+@query("delay_heatmap_text")
+def q_delay_heatmap_text(spark, sf_dir):
+    return heatmap_cell_text(heatmap_grid(D.delayed_orders(orders(spark, sf_dir), "All"), "Site_Real_PCT"))
+
+
 @query("delivery_chart_delivered")
 def q_chart_delivered(spark, sf_dir):
     return D.delivery_chart(D.delivery_performance(orders(spark, sf_dir)), "delivered")

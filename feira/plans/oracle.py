@@ -149,10 +149,12 @@ kpis AS (
 
 def _chart(no_delay: str, with_delay: str) -> str:
     pct = lambda n: ratio(n, f"({no_delay} + {with_delay})", "100", "CAST(0 AS DOUBLE)")
+    label = lambda n: f"format('{{:,}}', {n}) || '<br>(' || format('{{:.1f}}', {pct(n)}) || '%)'"
     return _with(f"""
-SELECT 'No Delay' AS category, {no_delay} AS orders, {pct(no_delay)} AS pct FROM kpis
+SELECT 'No Delay' AS category, {no_delay} AS orders, {pct(no_delay)} AS pct, {label(no_delay)} AS label FROM kpis
 UNION ALL
-SELECT 'With Delay' AS category, {with_delay} AS orders, {pct(with_delay)} AS pct FROM kpis""", _perf_cte())
+SELECT 'With Delay' AS category, {with_delay} AS orders, {pct(with_delay)} AS pct, {label(with_delay)} AS label
+FROM kpis""", _perf_cte())
 
 
 def _revenue_kpis_cte() -> str:
@@ -222,6 +224,9 @@ SELECT order_id, Net_State, delay_days, bucket FROM (
     q["delay_heatmap_long"] = _with(
         f"SELECT delay_bin, pct_bin, orders FROM (SELECT delay_bin, {p_cols} FROM heat) "
         f"UNPIVOT (orders FOR pct_bin IN ({p_cols}))", _heatmap_ctes(""))
+    texts = ", ".join("CASE WHEN \"{0}\" = 0 THEN '' ELSE CAST(\"{0}\" AS VARCHAR) END AS \"{0}\"".format(lab)
+                      for lab in pct_labels())
+    q["delay_heatmap_text"] = _with(f"SELECT delay_bin, {texts} FROM heat", _heatmap_ctes(""))
     q["delivery_chart_delivered"] = _chart("no_delay_delivered", "delay_delivered")
     q["delivery_chart_not_delivered"] = _chart("no_delay_not_delivered", "delay_not_delivered")
     q["delivery_metrics_display"] = _with("""
