@@ -58,6 +58,20 @@ def revenue_kpis(detailed: DataFrame) -> DataFrame:
         safe_ratio(F.col("total_products"), F.col("total_orders")).alias("avg_items_per_order"))
 
 
+def revenue_by_metrics(detailed: DataFrame, key: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Σ of several metrics per non-null key in one aggregation pass (one
+    scan, one shuffle); each ranking is then a projection of it. Catalyst
+    drops the sums a consumer does not select."""
+    return (detailed.filter(F.col(key).isNotNull())
+            .groupBy(key).agg(*[money_sum(m).alias(m) for m in metrics]))
+
+
+def ranking_of(per_key: DataFrame, key: str, metric: str, sort: bool = True) -> DataFrame:
+    """One metric of ``revenue_by_metrics`` as (key, Total), Total descending."""
+    out = per_key.select(key, F.col(metric).alias("Total"))
+    return out.orderBy(F.desc("Total"), F.asc(key)) if sort else out
+
+
 def revenue_by(detailed: DataFrame, key: str, metric: str = "Total", sort: bool = True) -> DataFrame:
     """Σ metric per key as column ``Total``, null keys dropped, sorted by
     Total descending (key ascending breaks ties deterministically)."""
