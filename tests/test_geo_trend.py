@@ -73,3 +73,14 @@ def test_golden_geo_and_trend_sf0001(spark, sf_small):
     assert sum(r.orders_roll for r in trend) == pytest.approx(1499.0)
     assert trend[3].orders_roll == 1.0
     assert daily_orders(fixtures.seller_orders(spark, sf_small)).count() == 1094
+
+
+def test_unique_orders_shortcut_agrees(spark, sf_small):
+    so = fixtures.seller_orders(spark, sf_small)  # one row per order
+    a = daily_trend(so).collect()
+    b = daily_trend(so, orders_unique=True).collect()
+    assert a == b
+    orders = normalize_delay(fixtures.orders_with_delay(spark, sf_small))
+    assert geo_feed(orders).collect() == geo_feed(orders, orders_unique=True).collect()
+    plan = daily_orders(so, orders_unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
