@@ -28,18 +28,23 @@ UNIT_NS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": NS_PER_SECOND,
 # With a day part the sign belongs to the days only ("-1 days +22:00:00" is
 # -2 hours); without one it applies to the time.
 PANDAS_FORM = r"([+-]?)(?:(\d+) days?)?(?: ?\+?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?)?"
-# ISO 8601 duration: sign applies to the whole duration.
-ISO_FORM = r"([+-]?)P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d{1,9}))?S)?)?"
+# ISO 8601 duration as pandas reads it: a leading "-" negates everything; a
+# sign right after "P" (or "PT") belongs to the first component only
+# ("P-1DT2H" is -22 hours, pandas' own isoformat() of negative durations);
+# weeks allowed; hours and minutes at most two digits.
+ISO_FORM = (r"(-?)P([+-]?)(?:(\d+)W)?(?:(\d+)D)?(?:T([+-]?))?"
+            r"(?:(\d{1,2})H)?(?:(\d{1,2})M)?(?:(\d+)(?:\.(\d{1,9}))?S)?")
 # a bare integer: nanoseconds
 INTEGER_FORM = r"([+-]?\d{1,19})"
 NULL_TEXTS = ["", "NaT", "nat", "NaN", "nan", "None"]
 
-# All three forms in one anchored alternation (groups 1-6 pandas, 7-12 ISO,
-# 13 integer), so each value is matched by a single regex evaluation; the
-# replacement lays the 13 groups out behind a marker for one ``split``.
+# All three forms in one anchored alternation (groups 1-6 pandas, 7-15 ISO,
+# 16 integer), so each value is matched by a single regex evaluation; the
+# replacement lays the 16 groups out behind a marker for one ``split``.
 ANY_FORM = f"^(?:{PANDAS_FORM}|{ISO_FORM}|{INTEGER_FORM})$"
 _MARK = "#"
-_LAYOUT = _MARK + "|" + "|".join(f"${i}" for i in range(1, 14))
+_GROUPS = 16
+_LAYOUT = _MARK + "|" + "|".join(f"${i}" for i in range(1, _GROUPS + 1))
 
 
 def _int(g: Column) -> Column:
@@ -66,10 +71,14 @@ def _parse_stage(text: Column) -> Column:
 def _forms(s: Column):
     t, g = s.getField("t"), s.getField("g")
     grp = lambda i: g.getItem(i)  # noqa: E731  (group i of the pattern; item 0 is the marker)
+    present = lambda i: grp(i) != ""
     is_null = t.isNull() | t.isin(NULL_TEXTS)
-    pandas_ok = g.isNotNull() & ((grp(2) != "") | (grp(3) != ""))
-    iso_ok = g.isNotNull() & ((grp(8) != "") | (grp(9) != "") | (grp(10) != "") | (grp(11) != ""))
-    int_ok = g.isNotNull() & (grp(13) != "")
+    pandas_ok = g.isNotNull() & (present(2) | present(3))
+    iso_date, iso_time = present(9) | present(10), present(12) | present(13) | present(14)
+    iso_ok = (g.isNotNull() & (iso_date | iso_time)
+              & (~present(8) | iso_date)                  # a sign after P needs a date component
+              & (~present(11) | (~iso_date & iso_time)))  # a sign after T only on the first component
+    int_ok = g.isNotNull() & present(16)
     return t, grp, is_null, pandas_ok, iso_ok, int_ok
 
 
@@ -78,16 +87,26 @@ def _time_ns(grp, first: int) -> Column:
     return (((_int(h) * 60 + _int(m)) * 60 + _int(s)) * NS_PER_SECOND) + _frac_ns(frac)
 
 
+def _iso_ns(grp) -> Column:
+    parts = [_int(grp(9)) * (7 * NS_PER_DAY), _int(grp(10)) * NS_PER_DAY, _int(grp(12)) * (3600 * NS_PER_SECOND),
+             _int(grp(13)) * (60 * NS_PER_SECOND), _int(grp(14)) * NS_PER_SECOND + _frac_ns(grp(15))]
+    first = (F.when(grp(9) != "", parts[0]).when(grp(10) != "", parts[1]).when(grp(12) != "", parts[2])
+             .when(grp(13) != "", parts[3]).otherwise(parts[4]))
+    inner_negative = (grp(8) == "-") | (grp(11) == "-")
+    total = parts[0] + parts[1] + parts[2] + parts[3] + parts[4]
+    signed = F.when(inner_negative, total - 2 * first).otherwise(total)  # only the first component flips
+    return F.when(grp(7) == "-", -signed).otherwise(signed)
+
+
 def _ns_from_stage(s: Column) -> Column:
     t, grp, is_null, pandas_ok, iso_ok, int_ok = _forms(s)
     p_time = _time_ns(grp, 3)
     pandas_ns = F.when(grp(2) != "", _sign(grp(1)) * _int(grp(2)) * NS_PER_DAY + p_time
                        ).otherwise(_sign(grp(1)) * p_time)
-    iso_ns = _sign(grp(7)) * (_int(grp(8)) * NS_PER_DAY + _time_ns(grp, 9))
     return (F.when(is_null, F.lit(None).cast("long"))
             .when(pandas_ok, pandas_ns)
-            .when(iso_ok, iso_ns)
-            .when(int_ok, grp(13).cast("long")))
+            .when(iso_ok, _iso_ns(grp))
+            .when(int_ok, grp(16).cast("long")))
 
 
 def _malformed_from_stage(s: Column) -> Column:

@@ -34,8 +34,15 @@ def test_iso_and_integer_text(spark):
         DAY + 2 * H, -DAY, 30 * 60 * 10**9, 1_500_000_000, 3, -7]
 
 
+def test_iso_sign_rules_follow_pandas(spark):
+    # pandas' isoformat() writes negative durations with the sign on the days
+    assert _ns(spark, ["P-1DT22H0M0S", "P-1W2D", "PT-2H30M", "-P-1D", "P+1D", "P1DT", "P1D2H"]) == [
+        -2 * H, -5 * DAY, -90 * 60 * 10**9, DAY, DAY, DAY, DAY + 2 * H]
+
+
 def test_malformed_text(spark):
-    assert _ns(spark, ["junk", "-1 days -22:00:00", "-", "P"], on_error="null") == [None] * 4
+    assert _ns(spark, ["junk", "-1 days -22:00:00", "-", "P", "PT", "+P1D", "P1DT-2H", "PT100H"],
+               on_error="null") == [None] * 8
     with pytest.raises(Exception, match="cannot convert Delay"):
         _ns(spark, ["1 days 02:00:00", "junk"], on_error="fail")
 
