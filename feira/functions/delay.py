@@ -27,7 +27,7 @@ UNIT_NS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": NS_PER_SECOND,
 # pandas: optional sign, optional "<d> day(s)", optional "[+]hh:mm:ss[.f]".
 # With a day part the sign belongs to the days only ("-1 days +22:00:00" is
 # -2 hours); without one it applies to the time.
-PANDAS_FORM = r"([+-]?)(?:(\d+) days?)?(?: ?\+?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?)?"
+PANDAS_FORM = r"([+-]?)(?:(\d+) days?,?)?(?: ?\+?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?)?"
 # ISO 8601 duration as pandas reads it: a leading "-" negates everything; a
 # sign right after "P" (or "PT") belongs to the first component only
 # ("P-1DT2H" is -22 hours, pandas' own isoformat() of negative durations);
@@ -36,14 +36,29 @@ ISO_FORM = (r"(-?)P([+-]?)(?:(\d+)W)?(?:(\d+)D)?(?:T([+-]?))?"
             r"(?:(\d{1,2})H)?(?:(\d{1,2})M)?(?:(\d+)(?:\.(\d{1,9}))?S)?")
 # a bare integer: nanoseconds
 INTEGER_FORM = r"([+-]?\d{1,19})"
+# number + unit components ("1d2h3m", "1.5h", "1 day 2 hours") in the order
+# weeks, days, hours, minutes, seconds, ms, us, ns; a leading "-" negates all
+_NUM = r"(\d+(?:\.\d+)?)\s*"
+UNIT_WORDS = [
+    ("w", r"w(?![a-z])"),
+    ("D", r"(?:days?|d)(?![a-z])"),
+    ("h", r"(?:hours?|hrs?|h)(?![a-z])"),
+    ("m", r"(?:minutes?|mins?|min|m|t)(?![a-z])"),
+    ("s", r"(?:seconds?|secs?|sec|s)(?![a-z])"),
+    ("ms", r"(?:milliseconds?|millis?|ms|l)(?![a-z])"),
+    ("us", r"(?:microseconds?|micros?|us|u|µs)(?![a-z])"),
+    ("ns", r"(?:nanoseconds?|nanos?|ns|n)(?![a-z])"),
+]
+UNIT_FORM = r"(-?)\s*" + "".join(f"(?:{_NUM}{word}\\s*)?" for _, word in UNIT_WORDS)
 NULL_TEXTS = ["", "NaT", "nat", "NaN", "nan", "None"]
 
-# All three forms in one anchored alternation (groups 1-6 pandas, 7-15 ISO,
-# 16 integer), so each value is matched by a single regex evaluation; the
-# replacement lays the 16 groups out behind a marker for one ``split``.
-ANY_FORM = f"^(?:{PANDAS_FORM}|{ISO_FORM}|{INTEGER_FORM})$"
+# All forms in one anchored, case-insensitive alternation (groups 1-6 pandas,
+# 7-15 ISO, 16 integer, 17-25 unit form), so each value is matched by a
+# single regex evaluation; the replacement lays the groups out behind a
+# marker for one ``split``.
+ANY_FORM = f"(?i)^(?:{PANDAS_FORM}|{ISO_FORM}|{INTEGER_FORM}|{UNIT_FORM})$"
 _MARK = "#"
-_GROUPS = 16
+_GROUPS = 25
 _LAYOUT = _MARK + "|" + "|".join(f"${i}" for i in range(1, _GROUPS + 1))
 
 
@@ -79,7 +94,27 @@ def _forms(s: Column):
               & (~present(8) | iso_date)                  # a sign after P needs a date component
               & (~present(11) | (~iso_date & iso_time)))  # a sign after T only on the first component
     int_ok = g.isNotNull() & present(16)
-    return t, grp, is_null, pandas_ok, iso_ok, int_ok
+    unit_ok = g.isNotNull() & _any_present(present, range(18, 26))
+    return t, grp, is_null, pandas_ok, iso_ok, int_ok, unit_ok
+
+
+def _any_present(present, groups) -> Column:
+    out = None
+    for i in groups:
+        out = present(i) if out is None else out | present(i)
+    return out
+
+
+def _unit_ns(grp) -> Column:
+    """Σ number × unit, exact in decimal, truncated to whole nanoseconds."""
+    total = None
+    for i, (unit, _) in enumerate(UNIT_WORDS):
+        g = grp(18 + i)
+        part = F.when(g == "", F.lit(0).cast("decimal(38,9)")).otherwise(
+            g.cast("decimal(38,9)") * F.lit(UNIT_NS[unit] if unit != "w" else 7 * NS_PER_DAY))
+        total = part if total is None else total + part
+    ns = total.cast("long")
+    return F.when(grp(17) == "-", -ns).otherwise(ns)
 
 
 def _time_ns(grp, first: int) -> Column:
@@ -99,19 +134,20 @@ def _iso_ns(grp) -> Column:
 
 
 def _ns_from_stage(s: Column) -> Column:
-    t, grp, is_null, pandas_ok, iso_ok, int_ok = _forms(s)
+    t, grp, is_null, pandas_ok, iso_ok, int_ok, unit_ok = _forms(s)
     p_time = _time_ns(grp, 3)
     pandas_ns = F.when(grp(2) != "", _sign(grp(1)) * _int(grp(2)) * NS_PER_DAY + p_time
                        ).otherwise(_sign(grp(1)) * p_time)
     return (F.when(is_null, F.lit(None).cast("long"))
             .when(pandas_ok, pandas_ns)
             .when(iso_ok, _iso_ns(grp))
-            .when(int_ok, grp(16).cast("long")))
+            .when(int_ok, grp(16).cast("long"))
+            .when(unit_ok, _unit_ns(grp)))
 
 
 def _malformed_from_stage(s: Column) -> Column:
-    _t, _grp, is_null, pandas_ok, iso_ok, int_ok = _forms(s)
-    return ~is_null & ~pandas_ok & ~iso_ok & ~int_ok
+    _t, _grp, is_null, pandas_ok, iso_ok, int_ok, unit_ok = _forms(s)
+    return ~is_null & ~pandas_ok & ~iso_ok & ~int_ok & ~unit_ok
 
 
 def parse_delay_text(text: Column) -> tuple[Column, Column]:
