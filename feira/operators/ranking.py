@@ -11,8 +11,8 @@ and running sums are computed in a distributed way instead:
    frozen and survives executor loss;
 3. per-partition row counts and value sums (one row per partition) give each
    partition's offset through a tiny window over the partitions;
-4. position and running sum inside a partition come from a window
-   partitioned by the partition index.
+4. position (row number) and running sum inside a partition come from one
+   window partitioned by the partition index.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ def with_global_position(df: DataFrame, order: list[Column], value: str | None =
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id())
                .checkpoint(eager=True))
-    # monotonically_increasing_id = (partition index << 33) + row index in partition
-    in_part = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     if value is not None:
         aggs.append(F.sum(value).alias("_sum"))
@@ -50,8 +48,12 @@ def with_global_position(df: DataFrame, order: list[Column], value: str | None =
         F.sum("_cnt").over(everything).alias("n_rows"),
         *([F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_sum_offset"),
            F.sum("_sum").over(everything).alias("total_value")] if value is not None else []))
-    out = ordered.join(F.broadcast(offsets), "_pid").withColumn("position", F.col("_row_offset") + in_part + 1)
+    # inside a partition the increasing id keeps the sorted order; one window
+    # keyed by partition gives both the row number and the running sum
+    within = Window.partitionBy("_pid").orderBy("_mid")
+    out = (ordered.join(F.broadcast(offsets), "_pid")
+           .withColumn("position", F.col("_row_offset") + F.row_number().over(within)))
     if value is not None:
-        within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("running_value", F.col("_sum_offset") + F.sum(value).over(within))
+        upto = within.rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("running_value", F.col("_sum_offset") + F.sum(value).over(upto))
     return out.drop("_pid", "_mid", "_row_offset", "_sum_offset")
