@@ -167,6 +167,12 @@ def q_delay_heatmap(spark, sf_dir):
     return heatmap_grid(D.delayed_orders(orders(spark, sf_dir), "All"), "Site_Real_PCT")
 
 
+@query("delay_heatmap_delivered")
+def q_delay_heatmap_delivered(spark, sf_dir):
+    # the dashboard's default view: late orders of the default status 'Delivered'
+    return heatmap_grid(D.delayed_orders(orders(spark, sf_dir)), "Site_Real_PCT")
+
+
 @query("delay_heatmap_long")
 def q_delay_heatmap_long(spark, sf_dir):
     return heatmap_long(D.delayed_orders(orders(spark, sf_dir), "All"), "Site_Real_PCT")
@@ -223,6 +229,12 @@ def q_daily_trend(spark, sf_dir):
     return daily_trend(fixtures.seller_orders(spark, sf_dir), "orders", window=7)
 
 
+@query("daily_trend_revenue_7")
+def q_daily_trend_revenue(spark, sf_dir):
+    # metric='revenue' still rolls the daily order count, as the reference does
+    return daily_trend(fixtures.seller_orders(spark, sf_dir), "revenue", window=7)
+
+
 # ------------------------------------------- readme-only (definitions ours)
 
 @query("vendor_segments")

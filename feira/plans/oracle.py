@@ -221,6 +221,8 @@ SELECT order_id, Net_State, delay_days, bucket FROM (
                         f"WHERE delay_seconds < 0 {where}")
     p_cols = ", ".join(f'"{lab}"' for lab in pct_labels())
     q["delay_heatmap"] = _with(f"SELECT delay_bin, {p_cols} FROM heat", _heatmap_ctes(""))
+    q["delay_heatmap_delivered"] = _with(f"SELECT delay_bin, {p_cols} FROM heat",
+                                         _heatmap_ctes("AND Net_State = 'Delivered'"))
     q["delay_heatmap_long"] = _with(
         f"SELECT delay_bin, pct_bin, orders FROM (SELECT delay_bin, {p_cols} FROM heat) "
         f"UNPIVOT (orders FOR pct_bin IN ({p_cols}))", _heatmap_ctes(""))
@@ -245,6 +247,9 @@ FROM kpis""", _perf_cte())
     q["daily_orders"] = _with("SELECT date, orders FROM daily", daily)
     q["daily_trend_7"] = _with("""
 SELECT date, orders, AVG(orders) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS orders_roll
+FROM daily""", daily)
+    q["daily_trend_revenue_7"] = _with("""
+SELECT date, orders, AVG(orders) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS revenue_roll
 FROM daily""", daily)
     _extras(q)
     return q
