@@ -2,8 +2,9 @@
 
 The analyses receive ``Delay`` as a signed duration (negative = late) in
 whatever form the upstream cleaning produced: a pandas ``timedelta`` (an
-interval here), pandas' text form (``-8 days +07:32:10``), ISO 8601
-(``P1DT2H``) or a plain number. ``normalize_delay`` turns each form into
+interval here), pandas' or Python's text form (``-8 days +07:32:10``,
+``-1 day, 22:00:00``), ISO 8601 (``P1DT2H``), number + unit text
+(``1d2h``) or a plain number. ``normalize_delay`` turns each form into
 ``delay_ns`` (bigint, exact, pandas' own unit) and a ``Delay`` day-time
 interval (microseconds, truncated toward zero). Lateness is classified from
 ``delay_ns`` so sub-microsecond numeric delays keep their sign.
@@ -76,7 +77,7 @@ def _sign(g: Column) -> Column:
 
 def _parse_stage(text: Column) -> Column:
     """struct(t, g): trimmed text and, when it matches one accepted form, the
-    array [marker, g1 … g13] ('' for groups that did not take part)."""
+    array [marker, g1 … g25] ('' for groups that did not take part)."""
     t = F.trim(text)
     laid_out = F.regexp_replace(t, ANY_FORM, _LAYOUT)
     matched = ~t.contains("|") & laid_out.startswith(_MARK + "|")
