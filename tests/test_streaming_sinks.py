@@ -69,3 +69,28 @@ def test_csv_inputs_round_trip(spark, tmp_path):
     assert dict(od.dtypes)["Site_Real_PCT"] == "double"
     perf = OrdersAnalyzer(od).get_delivery_performance()["kpis"].first()
     assert (perf.total_orders, perf.delay_delivered) == (1, 1)
+
+
+def test_daily_orders_stream_matches_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from feira.operators.trend import daily_orders
+    from feira.streaming.daily_stream import latest_daily_orders, start_daily_orders
+    from feira.streaming.delivery_stream import orders_stream
+
+    src, ckpt, out = str(tmp_path / "in"), str(tmp_path / "ckpt"), str(tmp_path / "out")
+    day = lambda d, h=12: dt.datetime(2020, 1, d, h)
+    first = [(1, "SP", "Delivered", "1 days", 1.0, 1.0, day(1)), (2, "SP", "Delivered", "1 days", 1.0, 1.0, day(1)),
+             (3, "SP", "Delivered", "1 days", 1.0, 1.0, day(2))]
+    # a duplicate of order 2, a late order for Jan 1 (within the 2-day watermark), a new day
+    second = [(2, "SP", "Delivered", "1 days", 1.0, 1.0, day(1)), (4, "SP", "Delivered", "1 days", 1.0, 1.0, day(1, 20)),
+              (5, "SP", "Delivered", "1 days", 1.0, 1.0, day(3))]
+    _batch(spark, first, src)
+    start_daily_orders(orders_stream(spark, src), ckpt, out, available_now=True).awaitTermination(120)
+    _batch(spark, second, src)
+    # restarted query: resumes from the checkpoint (offsets, watermark, dedup state)
+    start_daily_orders(orders_stream(spark, src), ckpt, out, available_now=True).awaitTermination(120)
+    streamed = {r.date: r.orders for r in latest_daily_orders(spark, out).collect()}
+    batch = {r.date: r.orders for r in daily_orders(
+        spark.createDataFrame(first + second, ORDERS_STREAM_SCHEMA).withColumn("x", F.lit(1))).collect()}
+    assert streamed == batch == {dt.date(2020, 1, 1): 3, dt.date(2020, 1, 2): 1, dt.date(2020, 1, 3): 1}
