@@ -52,6 +52,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # a dashboard runs dozens of distinct plans; keep their generated
+        # classes instead of recompiling them (default cache: 100 entries)
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )
     for key, value in SQL_SETTINGS.items():
