@@ -52,6 +52,9 @@ UNIT_WORDS = [
 ]
 UNIT_FORM = r"(-?)\s*" + "".join(f"(?:{_NUM}{word}\\s*)?" for _, word in UNIT_WORDS)
 NULL_TEXTS = ["", "NaT", "nat", "NaN", "nan", "None"]
+# pandas' own str(Timedelta) layout, by far the common input: parsed with
+# fixed-position substrings after one match, without the general layout
+STRICT_PANDAS = r"^-?\d+ days \+?\d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
 
 # All forms in one anchored, case-insensitive alternation (groups 1-6 pandas,
 # 7-15 ISO, 16 integer, 17-25 unit form), so each value is matched by a
@@ -76,16 +79,29 @@ def _sign(g: Column) -> Column:
 
 
 def _parse_stage(text: Column) -> Column:
-    """struct(t, g): trimmed text and, when it matches one accepted form, the
+    """struct(t, strict, g): trimmed text; whether it has pandas' exact
+    str(Timedelta) layout; otherwise, when it matches one accepted form, the
     array [marker, g1 … g25] ('' for groups that did not take part)."""
     t = F.trim(text)
+    strict = t.rlike(STRICT_PANDAS)
     laid_out = F.regexp_replace(t, ANY_FORM, _LAYOUT)
-    matched = ~t.contains("|") & laid_out.startswith(_MARK + "|")
-    return F.struct(t.alias("t"), F.when(matched, F.split(laid_out, r"\|", -1)).alias("g"))
+    general = F.when(~t.contains("|") & laid_out.startswith(_MARK + "|"), F.split(laid_out, r"\|", -1))
+    return F.struct(t.alias("t"), strict.alias("strict"), F.when(~strict, general).alias("g"))
+
+
+def _strict_ns(t: Column) -> Column:
+    """``[-]D days [+]HH:MM:SS[.f]`` by fixed positions; the sign belongs to the days."""
+    days = F.substring_index(t, " ", 1).cast("long")
+    clock = F.substring_index(t, " ", -1)
+    clock = F.when(clock.startswith("+"), F.substring(clock, 2, 64)).otherwise(clock)
+    hms = ((F.substring(clock, 1, 2).cast("long") * 60 + F.substring(clock, 4, 2).cast("long")) * 60
+           + F.substring(clock, 7, 2).cast("long")) * NS_PER_SECOND
+    return days * NS_PER_DAY + hms + _frac_ns(F.substring(clock, 10, 9))
 
 
 def _forms(s: Column):
     t, g = s.getField("t"), s.getField("g")
+    strict = s.getField("strict")
     grp = lambda i: g.getItem(i)  # noqa: E731  (group i of the pattern; item 0 is the marker)
     present = lambda i: grp(i) != ""
     is_null = t.isNull() | t.isin(NULL_TEXTS)
@@ -96,7 +112,7 @@ def _forms(s: Column):
               & (~present(11) | (~iso_date & iso_time)))  # a sign after T only on the first component
     int_ok = g.isNotNull() & present(16)
     unit_ok = g.isNotNull() & _any_present(present, range(18, 26))
-    return t, grp, is_null, pandas_ok, iso_ok, int_ok, unit_ok
+    return t, grp, is_null, pandas_ok | strict, iso_ok, int_ok, unit_ok
 
 
 def _any_present(present, groups) -> Column:
@@ -140,6 +156,7 @@ def _ns_from_stage(s: Column) -> Column:
     pandas_ns = F.when(grp(2) != "", _sign(grp(1)) * _int(grp(2)) * NS_PER_DAY + p_time
                        ).otherwise(_sign(grp(1)) * p_time)
     return (F.when(is_null, F.lit(None).cast("long"))
+            .when(s.getField("strict"), _strict_ns(t))
             .when(pandas_ok, pandas_ns)
             .when(iso_ok, _iso_ns(grp))
             .when(int_ok, grp(16).cast("long"))
