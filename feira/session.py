@@ -27,14 +27,23 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+}
+
+# Static settings: only take effect when the session is created.
+STATIC_SETTINGS = {
     # Driver-side only: skip capturing the Python call site for every column
     # function (used to decorate error messages); it made building a query
     # plan ~10x slower than executing it at small scale.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # a dashboard runs dozens of distinct plans; keep their generated
+    # classes instead of recompiling them (default cache: 100 entries)
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
 def tune_session(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings to an existing session (static ones,
+    ``STATIC_SETTINGS``, belong in the session builder)."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -52,12 +61,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        # a dashboard runs dozens of distinct plans; keep their generated
-        # classes instead of recompiling them (default cache: 100 entries)
-        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )
-    for key, value in SQL_SETTINGS.items():
+    for key, value in {**SQL_SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -13,14 +13,14 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from feira.session import SQL_SETTINGS
+    from feira.session import SQL_SETTINGS, STATIC_SETTINGS
 
     builder = (SparkSession.builder.master("local[*]")
                .appName("feira-tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))
-    for k, v in SQL_SETTINGS.items():
+    for k, v in {**SQL_SETTINGS, **STATIC_SETTINGS}.items():
         builder = builder.config(k, v)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
