@@ -4,6 +4,6 @@ Every public function takes DataFrames and returns DataFrames built from
 native Spark expressions; nothing is collected inside the library.
 """
 
-from feira.session import build_session, ensure_checkpoint_dir
+from feira.session import build_session, ensure_checkpoint_dir, tune_session
 
-__all__ = ["build_session", "ensure_checkpoint_dir"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "tune_session"]
