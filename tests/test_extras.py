@@ -112,3 +112,15 @@ def test_success_rates_and_severity(spark):
     assert [r.month for r in X.success_rates(orders, "month").collect()] == ["2020-01", "2020-02"]
     sev = [(r.delay_bin, r.orders) for r in X.delay_severity(orders.filter("delay_ns < 0")).collect()]
     assert sev == [("-5–-2", 1), (None, 1)]
+
+
+def test_argument_validation(spark):
+    det = _detailed(spark, [("s1", 1.0)])
+    with pytest.raises(ValueError):
+        X.vendor_segments(det, 0)
+    no_stage = spark.createDataFrame([(1, -1.0)], "order_id long, delay_days double")
+    with pytest.raises(ValueError, match="_PCT"):
+        X.stage_heatmaps(no_stage)
+    with pytest.raises(ValueError):
+        X.success_rates(normalize_delay(spark.createDataFrame([(1, "SP", "Delivered", "1 days")],
+                        "order_id long, customer_state string, Net_State string, Delay string")), by="week")
