@@ -112,3 +112,36 @@ def test_rolling_mean_equals_pandas(spark):
         daily["orders_roll"] = daily["orders"].rolling(window, min_periods=1).mean()
         assert list(got["orders"]) == list(daily["orders"])
         assert np.allclose(got["orders_roll"], daily["orders_roll"], rtol=0, atol=1e-12)
+
+
+def test_geo_feed_equals_pandas(spark):
+    from feira.operators.geo import geo_feed
+    from feira.sources.states import STATES
+
+    rng = np.random.default_rng(15)
+    codes = [s[0] for s in STATES[:10]] + ["XX"]
+    n = 3000
+    pdf = pd.DataFrame({
+        "order_id": rng.integers(0, 1200, n),
+        "customer_state": rng.choice(codes, n),
+        "Net_State": rng.choice(["Delivered", "Not_Delivered"], n),
+        "Delay": [f"{int(d)} days" for d in rng.integers(-5, 5, n)],
+        "TOTAL": np.round(rng.uniform(1, 500, n), 2),
+    })
+    orders = normalize_delay(spark.createDataFrame(pdf))
+    centroids = {s: (lat, lon) for s, lat, lon, _ in STATES}
+    for metric in ("orders", "revenue"):
+        got = geo_feed(orders, metric, bubble_size_multiplier=1.5).toPandas()
+        # the reference's computation, in pandas
+        agg = (pdf.groupby("customer_state", as_index=False).agg(value=("order_id", "nunique")) if metric == "orders"
+               else pdf.groupby("customer_state", as_index=False).agg(value=("TOTAL", "sum")))
+        agg = agg.rename(columns={"customer_state": "state"})
+        agg = agg[agg["state"].map(lambda s: s in centroids)]
+        lo, hi = agg["value"].min(), agg["value"].max()
+        agg["bubble_size"] = (10 + 30 * (agg["value"] - lo) / (hi - lo)) * 1.5
+        want = agg.sort_values("state").reset_index(drop=True)
+        assert list(got["state"]) == list(want["state"])
+        assert np.allclose(got["value"], want["value"], rtol=1e-12, atol=1e-6)
+        assert np.allclose(got["bubble_size"], want["bubble_size"], rtol=1e-9)
+        if metric == "orders":
+            assert list(got["label"]) == [f"{s}<br>{v:,}" for s, v in zip(want["state"], want["value"])]
