@@ -6,6 +6,7 @@ import datetime as dt
 import re
 
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -145,3 +146,50 @@ def test_geo_feed_equals_pandas(spark):
         assert np.allclose(got["bubble_size"], want["bubble_size"], rtol=1e-9)
         if metric == "orders":
             assert list(got["label"]) == [f"{s}<br>{v:,}" for s, v in zip(want["state"], want["value"])]
+
+
+def test_revenue_path_equals_pandas(spark):
+    from feira.operators import revenue as R
+
+    rng = np.random.default_rng(16)
+    n, m = 2000, 60
+    pid = rng.integers(0, 80, n).astype(float)
+    pid[rng.random(n) < 0.05] = np.nan                       # null product ids on the item side
+    items = pd.DataFrame({
+        "order_id": np.where(rng.random(n) < 0.03, np.nan, rng.integers(0, 500, n).astype(float)),
+        "product_id": pid,
+        "seller_id": np.where(rng.random(n) < 0.04, np.nan, rng.integers(0, 30, n).astype(float)),
+        "price": np.round(rng.uniform(1, 900, n), 2),
+        "freight_value": np.where(rng.random(n) < 0.05, np.nan, np.round(rng.uniform(0, 60, n), 2)),
+    })
+    ppid = rng.integers(0, 70, m).astype(float)              # duplicates fan out; ids 70-79 unmatched
+    ppid[:2] = np.nan                                        # null keys on the product side too
+    prods = pd.DataFrame({
+        "product_id": ppid,
+        "product_category_name": rng.choice(["a", "b", "c", None], m),
+        "product_weight_g": np.where(rng.random(m) < 0.1, np.nan, rng.uniform(100, 900, m).round(0)),
+        "product_length_cm": rng.uniform(10, 30, m).round(0),
+        "product_height_cm": rng.uniform(5, 20, m).round(0),
+        "product_width_cm": np.where(rng.random(m) < 0.1, np.nan, rng.uniform(5, 25, m).round(0)),
+    })
+    det = R.prepare_data(spark.createDataFrame(items), spark.createDataFrame(prods))
+
+    # the reference's computation, in pandas
+    ref = pd.merge(items, prods, on="product_id", how="left")
+    ref["product_category_name"] = ref["product_category_name"].fillna("Others")
+    ref["Total"] = ref["price"] + ref["freight_value"]
+    assert det.count() == len(ref)
+    k = R.revenue_kpis(det).first()
+    totals = ref.groupby("order_id")["Total"].sum()
+    assert k.total_revenue == pytest.approx(ref["Total"].sum(), rel=1e-12)
+    assert k.total_orders == len(totals) and k.total_products == len(ref)
+    assert k.average_order_value == pytest.approx(totals.mean(), rel=1e-12)
+    for key in ("product_category_name", "seller_id"):
+        for metric in ("Total", "freight_value", "price"):
+            want = ref.groupby(key)[metric].sum()
+            got = {r[key]: r.Total for r in R.revenue_by(det, key, metric).collect()}
+            assert set(got) == set(want.index)
+            assert all(abs(got[i] - want[i]) < 1e-6 for i in want.index)
+    miss = {r.column_name: r.missing_count for r in R.missing_dimensional_data(det).collect()}
+    assert miss == {c: int(ref[c].isna().sum()) for c in R.DIMENSION_COLUMNS}
+    assert R.volume_analysis_data(det).count() == len(ref.dropna(subset=R.DIMENSION_COLUMNS))
