@@ -193,3 +193,36 @@ def test_revenue_path_equals_pandas(spark):
     miss = {r.column_name: r.missing_count for r in R.missing_dimensional_data(det).collect()}
     assert miss == {c: int(ref[c].isna().sum()) for c in R.DIMENSION_COLUMNS}
     assert R.volume_analysis_data(det).count() == len(ref.dropna(subset=R.DIMENSION_COLUMNS))
+
+
+def test_delivery_kpis_equal_pandas(spark):
+    from feira.operators import delivery as D
+    from feira.operators import feeds as FD
+
+    rng = np.random.default_rng(17)
+    n = 3000
+    ns = rng.integers(-20 * 86400, 20 * 86400, n) * 10**9
+    ns[rng.random(n) < 0.05] = 0
+    texts = [None if rng.random() < 0.04 else str(pd.Timedelta(int(v))) for v in ns]
+    pdf = pd.DataFrame({"order_id": np.arange(n), "Delay": texts,
+                        "Net_State": rng.choice(["Delivered", "Not_Delivered", "Other", None], n, p=[.55, .3, .1, .05])})
+    perf = D.delivery_performance(normalize_delay(spark.createDataFrame(pdf)))
+    k = perf.first()
+    # the reference's computation, in pandas
+    w = pdf[["Net_State", "Delay"]].copy()
+    w["Delay"] = pd.to_timedelta(w["Delay"])
+    w = w.dropna(subset=["Delay"])
+    zero = pd.Timedelta(0)
+    late, early = w["Delay"] < zero, w["Delay"] > zero
+    dlv, ndl = w["Net_State"] == "Delivered", w["Net_State"] == "Not_Delivered"
+    total, delivered = len(w), int(dlv.sum())
+    assert (k.total_orders, k.delivered_orders, k.not_delivered_orders) == (total, delivered, int(ndl.sum()))
+    assert (k.delay_delivered, k.delay_not_delivered, k.no_delay_delivered, k.no_delay_not_delivered) == (
+        int((late & dlv).sum()), int((late & ndl).sum()), int((early & dlv).sum()), int((early & ndl).sum()))
+    assert k.delivery_rate == delivered / total * 100
+    assert k.on_time_rate == int((early & dlv).sum()) / delivered * 100
+    chart = {r.category: r.pct for r in D.delivery_chart(perf, "delivered").collect()}
+    both = int((early & dlv).sum()) + int((late & dlv).sum())
+    assert chart == {"No Delay": int((early & dlv).sum()) / both * 100, "With Delay": int((late & dlv).sum()) / both * 100}
+    disp = FD.delivery_metrics_display(perf).first()
+    assert disp.delivered_orders == f"{delivered:,} ({delivered / total * 100:.1f}%)"
