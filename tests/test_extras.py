@@ -124,3 +124,12 @@ def test_argument_validation(spark):
     with pytest.raises(ValueError):
         X.success_rates(normalize_delay(spark.createDataFrame([(1, "SP", "Delivered", "1 days")],
                         "order_id long, customer_state string, Net_State string, Delay string")), by="week")
+
+
+def test_rankings_on_empty_input(spark):
+    det = R.prepare_data(spark.createDataFrame([], ITEMS), spark.createDataFrame([], PRODUCTS))
+    assert X.vendor_segments(det).count() == 0
+    assert X.vendor_concentration(det).count() == 0
+    assert X.category_share_rank(det).count() == 0
+    s = X.vendor_concentration_summary(det).first()
+    assert s.n_vendors == 0 and s.gini is None and s.top_share is None
