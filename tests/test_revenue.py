@@ -146,3 +146,10 @@ def test_revenue_display_row(small):
     assert row.total_revenue == "R$278,734,223.39"
     assert row.total_orders == "1,465" and row.total_products == "6,000"
     assert row.avg_items_per_order == "4.10"
+
+
+def test_top_feed_bounds_like_head(spark):
+    items = _items(spark, [("o", "a", "s1", 3.0, 0.0), ("o", "a", "s2", 2.0, 0.0)])
+    det = R.prepare_data(items, _products(spark, [("a", "c", 1.0, 1.0, 1.0, 1.0)]))
+    assert FD.top_feed(R.vendor_revenue(det), "seller_id", 0).count() == 0
+    assert [r.seller_id for r in FD.top_feed(R.vendor_revenue(det), "seller_id", 15).collect()] == ["s1", "s2"]
