@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import decontaminate, mixing, near_dup, quality, toxicity
+from feira.llm import ctw, decontaminate, mixing, near_dup, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def crc_is_2(id_col: str, modulus: int) -> Column:
+    """The fold that is held out: crc32 of the id as text, modulo ``modulus``, is 2."""
+    return F.crc32(F.col(id_col).cast("string")) % modulus == 2
+
+
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"), crc_is_2("doc_id", 7))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_ctw": op3_ctw,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op10_toxicity": op10_toxicity,
