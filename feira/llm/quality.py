@@ -94,7 +94,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("__words", words_of(F.col("__t")))
             .withColumn("__n_words", F.size("__words").cast("long"))
             .withColumn("__word_chars", F.char_length(F.regexp_replace("__t", rf"[{WS}]+", "")).cast("long"))
-            .withColumn("__n_symbols", (F.char_length("__t") - F.char_length(F.translate("__t", SYMBOLS, ""))).cast("long"))
+            .withColumn("__n_symbols", F.char_length(F.regexp_replace("__t", f"[^{SYMBOLS}]+", "")).cast("long"))
             .withColumn("__n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")))
 
 
@@ -107,7 +107,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), t.alias("t"))
     word_chars = F.char_length(F.regexp_replace("t", rf"[{WS}]+", ""))
-    symbols = F.char_length("t") - F.char_length(F.translate("t", SYMBOLS, ""))
+    symbols = F.char_length(F.regexp_replace("t", f"[^{SYMBOLS}]+", ""))
     counts = _char_counts(F.col("t"), word_chars, symbols)
     chars = rows.groupBy("lang").agg(*[F.sum(c.cast("long")).alias(n) for c, n in zip(counts, CLASSES)])
     word = (rows.select("lang", F.explode(words_of(F.lower("t"))).alias("word"))
