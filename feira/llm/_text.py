@@ -15,15 +15,17 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 50_000
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows holding about ``max_bytes`` of ``column``."""
+    """Cut a batch into runs of at most SLICE_ROWS rows holding about ``max_bytes`` of ``column``."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    block = (np.cumsum(sizes.astype(np.int64)) // max_bytes).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(block)) + 1
+    block = np.cumsum(sizes.astype(np.int64)) // max_bytes
+    part = np.arange(batch.num_rows) // SLICE_ROWS
+    cuts = np.flatnonzero((np.diff(block) > 0) | (np.diff(part) > 0)) + 1
     start = 0
     for end in [*cuts.tolist(), batch.num_rows]:
         if end > start:

@@ -1,3 +1,81 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The limits are written out here on their own, not taken from the operators.
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight,
+             (3 * source_size)::DOUBLE AS cap FROM s),
+t AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS turn FROM w),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE
+                 - coalesce(sum(cap) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
+f AS (SELECT level AS share FROM l WHERE level <= cap / weight ORDER BY turn LIMIT 1),
+g AS (SELECT source, source_size, least(cap, coalesce((SELECT share FROM f) * weight, cap)) AS target FROM l),
+p AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target + 1e-6)::BIGINT AS budget,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE
+         (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END::BIGINT AS taken
+FROM p
+"""
+
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+c AS (SELECT r, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+             length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper,
+             length(regexp_replace(t, '[^0-9]+', '', 'g')) AS n_digit,
+             length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS n_mark, length(t) AS n_all FROM d),
+h AS (SELECT r, lang, unnest([(n_all - word_chars), n_upper, n_digit, n_mark, n_symbols,
+                              n_all - (n_all - word_chars) - n_upper - n_digit - n_mark - n_symbols]) AS n,
+             unnest(range(6)) AS class FROM c),
+ct AS (SELECT lang, class, sum(n) AS n FROM h WHERE lang IS NOT NULL GROUP BY lang, class),
+lw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word
+                                              FROM d WHERE lang IS NOT NULL) GROUP BY lang, word),
+lt AS (SELECT lang, sum(n) AS n FROM lw GROUP BY lang),
+refs AS (SELECT lang, n FROM lt WHERE n >= (SELECT sum(n) FROM lt) * 0.01),
+cq AS (SELECT lang, class, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM ct WHERE lang IN (SELECT lang FROM refs)),
+wq AS (SELECT lang, word, n / (SELECT n FROM refs WHERE refs.lang = lw.lang) AS q FROM lw
+       WHERE lang IN (SELECT lang FROM refs)
+       QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 32),
+wt AS (SELECT lang, sum(q) AS top FROM wq GROUP BY lang),
+cp AS (SELECT r, class, n / greatest(sum(n) OVER (PARTITION BY r), 1) AS p FROM h),
+cd AS (SELECT r, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+                                         + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist
+       FROM cp JOIN cq USING (class) GROUP BY r, lang),
+cm AS (SELECT r, min(dist) AS char_dist FROM cd GROUP BY r),
+dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, lower(unnest(ws)) AS word FROM c) GROUP BY r, word),
+n AS (SELECT r, len(ws) AS n_words FROM c),
+wp AS (SELECT n.r, wt.lang, wt.top, sum(dw.n / n.n_words) AS p, sum(wq.q) AS q,
+              sum((dw.n / n.n_words) * log2(2 * (dw.n / n.n_words) / (dw.n / n.n_words + wq.q))
+                  + wq.q * log2(2 * wq.q / (dw.n / n.n_words + wq.q))) AS terms
+       FROM n CROSS JOIN wt LEFT JOIN (dw JOIN wq USING (word)) ON dw.r = n.r AND wq.lang = wt.lang
+       GROUP BY n.r, wt.lang, wt.top),
+wo AS (SELECT r, coalesce(terms, 0) AS terms, coalesce(q, 0) AS q, top, greatest(1 - coalesce(p, 0), 0) AS po, 1 - top AS qo FROM wp),
+wm AS (SELECT r, min(sqrt(greatest((terms + (top - q) + CASE WHEN po > 0 THEN po * log2(2 * po / (po + qo)) ELSE 0 END
+                                    + CASE WHEN qo > 0 THEN qo * log2(2 * qo / (po + qo)) ELSE 0 END) / 2, 0))) AS word_dist
+       FROM wo GROUP BY r),
+g AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM c WHERE len(ws) >= 5)),
+twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM twice) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+x AS (SELECT c.doc_id, n.n_words::BIGINT AS n_words, c.word_chars::BIGINT AS word_chars, c.n_symbols::BIGINT AS n_symbols,
+             coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             n.n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n.n_words AS base_failed, cm.char_dist, wm.word_dist
+      FROM c JOIN n USING (r) LEFT JOIN rep USING (r) LEFT JOIN lines USING (r) LEFT JOIN cm USING (r) LEFT JOIN wm USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (n_words < 20 OR coalesce(char_dist, 0) <= 0.30) AND (n_words < 50 OR coalesce(word_dist, 0) <= 0.45) AS kept
+FROM x
+"""
+
+ORACLE: dict[str, str] = {"op5_mixing": OP5, "op6_quality": OP6}
