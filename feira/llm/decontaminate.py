@@ -22,7 +22,7 @@ An item with fewer than WINDOW words gives one window of all its words (at
 least SHORTEST words, of which at least half are no placeholders); shorter
 items cannot be told from chance and match nothing.
 
-Before the join, documents' windows pass a filter of FILTER_BITS bits that
+Before the join, documents' windows pass a filter of 2^24 bits that
 holds all benchmark windows. Its size is fixed, so it can be broadcast
 whatever the benchmark's size; it only saves shuffling, the join decides.
 
@@ -43,13 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feira.llm import _text as T
+from feira.llm._filter import bit_filter, passes, unpacked
 from feira.llm._ship import map_arrow
 
 WINDOW = 8
 CONTENT = 4
 SHORTEST = 4
 COVER = 0.5
-FILTER_BITS = 24
 
 #: Unit words (fixed values).
 UNITS = frozenset("""mm cm m km in ft yd mi mile miles g kg mg lb lbs oz ton tons l ml s sec second seconds min minute
@@ -156,29 +156,11 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return map_arrow(items, run, _SCHEMA)
 
 
-def _filter_slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    m = np.uint64((1 << FILTER_BITS) - 1)
-    return (h & m).astype(np.int64), ((h >> np.uint64(32)) & m).astype(np.int64)
-
-
-def window_filter(windows: DataFrame) -> np.ndarray:
-    """The filter over the window hashes, as 2^FILTER_BITS / 64 words: two bits
-    per hash, merged in Spark; at most that many words reach the driver."""
-    mask = (1 << FILTER_BITS) - 1
-    bit = F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask)))
-    words = (windows.select("hash").distinct().select(bit.alias("bit"))
-             .groupBy(F.shiftright("bit", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))).toPandas()
-    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
-
-
 def document_windows(docs: DataFrame, packed, widths: list[int]) -> DataFrame:
     """The windows of ``docs`` (id, t) that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.value.view(np.uint8), bitorder="little").view(bool)
+        bits = unpacked(packed.value)
         for batch in batches:
             for part in T.slices(batch, "t"):
                 template, values, slot, counts = _template(part.column("t"))
@@ -186,8 +168,7 @@ def document_windows(docs: DataFrame, packed, widths: list[int]) -> DataFrame:
                 rows = []
                 for n in widths:
                     h, text, at = _windows(template, slot, counts, n, CONTENT if n == WINDOW else (n + 1) // 2)
-                    one, two = _filter_slots(h)
-                    hit = np.flatnonzero(bits[one] & bits[two])
+                    hit = np.flatnonzero(passes(bits, h))
                     for x, i, p in zip(T.signed(h[hit]).tolist(), text[hit].tolist(), at[hit].tolist()):
                         rows.append((i, n, x, p, _slots(values, slot, first[i] + p, n)))
                 if rows:
@@ -206,7 +187,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("t"))
     bench = benchmark_windows(items)
-    packed = spark.sparkContext.broadcast(window_filter(bench))
+    packed = spark.sparkContext.broadcast(bit_filter(bench))
     widths = sorted({r["width"] for r in bench.select("width").distinct().collect()})  # at most WINDOW - SHORTEST + 1 values
     found = document_windows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), packed, widths)
     total = bench.groupBy("id").agg(F.countDistinct("pos").alias("item_windows"))

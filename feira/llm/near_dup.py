@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feira.llm import _text as T
+from feira.llm._filter import bit_filter, passes, unpacked
 from feira.llm._ship import map_arrow
 from feira.llm._graph import components
 from feira.llm._store import cut
@@ -191,8 +192,31 @@ def _signatures(texts: DataFrame, idf) -> DataFrame:
     return map_arrow(texts, run, "node long, samples array<int>, keys array<long>")
 
 
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, t), once for each of ``nodes``. A bit filter spares the shuffle of all other texts."""
+    packed = texts.sparkSession.sparkContext.broadcast(bit_filter(nodes.select(F.col("node").alias("hash"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = unpacked(packed.value)
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits, batch.column("node").to_numpy().view(np.uint64))))
+
+    some = map_arrow(texts.select("node", "t"), run, "node long, t string")
+    return some.join(nodes, "node").groupBy("node").agg(F.first("t").alias("t"))
+
+
+def _is_similar(a: tuple, b: tuple) -> bool:
+    """Whether two (shingles in order, weights, sum of weights) reach THRESHOLD."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    same = b[0][at] == a[0]
+    shared = np.minimum(b[1][at[same]], a[1][same]).sum()
+    return bool(shared >= (THRESHOLD - 1e-9) * (a[2] + b[2] - shared))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) of nodes whose weighted Jaccard similarity reaches THRESHOLD."""
+    """The pairs (a, b) of nodes whose weighted Jaccard similarity reaches THRESHOLD; ``texts``: (node, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,35 +229,30 @@ def _similar(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 for i in range(part.num_rows):
                     if known is None or known[0] != a_col[i]:
                         ha, _, wa = _weighted(part.column("ta").slice(i, 1), idf.value)
-                        known = (a_col[i], ha, wa, wa.sum())
-                    hb, wb = h[cut_b[i]:cut_b[i + 1]], weight[cut_b[i]:cut_b[i + 1]]
-                    at = np.minimum(np.searchsorted(known[1], hb), len(known[1]) - 1)
-                    same = known[1][at] == hb
-                    shared = np.minimum(known[2][at[same]], wb[same]).sum()
-                    keep.append(shared >= (THRESHOLD - 1e-9) * (known[3] + wb.sum() - shared))
+                        known = (a_col[i], (ha, wa, wa.sum()))
+                    own = slice(cut_b[i], cut_b[i + 1])
+                    keep.append(_is_similar(known[1], (h[own], weight[own], weight[own].sum())))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)),
                                                   part.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    text = texts.join(ends, "node").groupBy("node").agg(F.first("t").alias("t"))
-    text = cut(text)
-    joined = (pairs.join(text.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-              .join(text.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+    joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+              .join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
               .select("a", "b", "ta", "tb"))
     return map_arrow(joined, run, "a long, b long")
 
 
-def _sketched(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and agree on SKETCH samples.
+def _similar_in_blocks(members: DataFrame, idf) -> DataFrame:
+    """The similar pairs (a, b) of different components that share a bucket.
 
-    ``members``: (bucket, node, comp, samples, n), n the bucket's size.
+    ``members``: (bucket, node, comp, samples, n, t), n the bucket's size. Pairs
+    that agree on SKETCH samples are checked on their texts, in the same task.
     """
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
     dealt = (members.withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") <= F.col("other")).alias("first"), "node", "comp", "samples"))
+                     (F.col("own") <= F.col("other")).alias("first"), "node", "comp", "samples", "t"))
 
     def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
@@ -253,6 +272,13 @@ def _sketched(members: DataFrame) -> DataFrame:
             shared = keys[a] == keys[b]
             here = T.signed(keys[a, shared.argmax(1)].copy()) == rows["bucket"][0].as_py()
             a, b = a[here], b[here]
+        if len(a):
+            used = np.unique(np.concatenate([a, b]))
+            h, text, weight = _weighted(rows["t"].combine_chunks().take(pa.array(used)), idf.value)
+            cuts = np.searchsorted(text, np.arange(len(used) + 1))
+            of = {u: (h[s:e], weight[s:e], weight[s:e].sum()) for u, s, e in zip(used.tolist(), cuts[:-1], cuts[1:])}
+            good = np.fromiter((_is_similar(of[x], of[y]) for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
+            a, b = a[good], b[good]
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,16 +319,14 @@ def classes_of_nodes(texts: DataFrame) -> DataFrame:
                .agg(F.max(F.struct("met", "node"))["node"].alias("lead")))
     star = (members.join(lead, "bucket").filter("node <> lead")
             .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    links = cut(_similar(cut(star), texts, idf))
+    own_text = cut(_texts_of(texts, members.select("node").distinct()))
+    links = cut(_similar(cut(star), own_text, idf))
     comps = components(links)
     seen = (members.join(comps, "node", "left")
             .select("bucket", "node", "n", F.coalesce("component", "node").alias("comp")))
     live = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = cut(seen.join(live, "bucket").join(drawn.select("node", "samples"), "node")
-                .select("bucket", "node", "comp", "samples", "n"))
-    known = cut(_sketched(open_)).join(links, ["a", "b"], "left_anti")
-    more = cut(_similar(cut(known), texts, idf))
-    return components(links.union(more))
+    left = seen.join(live, "bucket").join(drawn.select("node", "samples"), "node").join(own_text, "node")
+    return components(links.union(cut(_similar_in_blocks(left, idf))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
