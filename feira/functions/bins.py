@@ -18,26 +18,38 @@ DEFAULT_DELAY_RANGES = [(-30, -20), (-20, -10), (-10, -5), (-5, -2), (-2, 0)]
 PCT_EDGES = [0.0, 10.0, 20.0, 30.0, 40.0, 50.0, 60.0, 70.0, 80.0, 90.0, 100.0]
 
 
+def _label(low, high, unit: str = "") -> str:
+    return "".join((str(low), "–", str(high), unit))
+
+
 def edges_from_ranges(ranges: Sequence[tuple]) -> list:
-    """Edges are the first start followed by every end; later starts only
-    shape the labels."""
-    if not ranges:
+    """The bin edges: each range closes a bin at its end, and only the first
+    range's start opens one (later starts only shape the labels)."""
+    edges: list = []
+    for low, high in ranges:
+        if not edges:
+            edges.append(low)
+        if high <= edges[-1]:
+            raise ValueError(f"a bin must end after {edges[-1]}, not at {high}")
+        edges.append(high)
+    if not edges:
         raise ValueError("at least one range is required")
-    edges = [ranges[0][0]] + [r[1] for r in ranges]
-    if any(b <= a for a, b in zip(edges, edges[1:])):
-        raise ValueError(f"bin edges must increase monotonically: {edges}")
     return edges
 
 
 def range_labels(ranges: Sequence[tuple]) -> list[str]:
-    labels = [f"{start}–{end}" for start, end in ranges]
-    if len(set(labels)) != len(labels):
-        raise ValueError(f"bin labels must be unique: {labels}")
-    return labels
+    seen: dict[str, None] = {}
+    for low, high in ranges:
+        label = _label(low, high)
+        if label in seen:
+            raise ValueError(f"two ranges share the label {label!r}")
+        seen[label] = None
+    return list(seen)
 
 
 def pct_labels() -> list[str]:
-    return [f"{int(lo)}–{int(hi)} %" for lo, hi in zip(PCT_EDGES, PCT_EDGES[1:])]
+    step = round(PCT_EDGES[-1] / (len(PCT_EDGES) - 1))
+    return [_label(low, low + step, " %") for low in range(0, round(PCT_EDGES[-1]), step)]
 
 
 def right_closed_bin(c: Column, edges: Sequence[float]) -> Column:

@@ -1,4 +1,4 @@
-"""Null/NaN handling and exact money sums."""
+"""Null/NaN handling and exact sums."""
 
 from __future__ import annotations
 
@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Money is summed exactly, so totals do not depend on the order in which
-# partitions are combined. Each value becomes an integer number of 1e-4 units
-# (a long, then decimal(20,0): the sum buffer is decimal(30,0), so there is no
-# overflow at any realistic row count), and the sum is turned back into a
-# double at the end. Converting through a long is ~2.5x cheaper per row than
-# casting the double straight to a decimal.
-MONEY_SCALE = 4
-MONEY_UNIT = 10.0 ** MONEY_SCALE
-UNITS = T.DecimalType(20, 0)
+# Values are summed exactly, so totals do not depend on the order in which
+# partitions are combined. A decimal keeps its own scale; a double goes in by
+# its shortest decimal form with EXACT_SCALE digits after the point, which
+# keeps every digit of a double of 0.1 or more and leaves out less than 1e-16
+# of a smaller one. Nothing is rounded to cents, and a value or a sum beyond
+# 1e22 is an ANSI overflow error.
+EXACT_SCALE = 16
+EXACT = T.DecimalType(38, EXACT_SCALE)
 
 
 def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -31,21 +30,15 @@ def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ])
 
 
-def money_units(c: Column | str) -> Column:
-    """Exact integer count of 1e-4 money units (null for null/NaN)."""
+def exact(c: Column | str) -> Column:
+    """The value as an exactly summable decimal (null for null/NaN)."""
     col = F.col(c) if isinstance(c, str) else c
-    col = F.nanvl(col.cast("double"), F.lit(None).cast("double"))
-    return F.rint(col * F.lit(MONEY_UNIT)).cast("long").cast(UNITS)
+    return F.nanvl(col.cast("double"), F.lit(None).cast("double")).cast(EXACT)
 
 
-def units_to_money(c: Column) -> Column:
-    """A (summed) unit count back to a money double."""
-    return c.cast("double") / F.lit(MONEY_UNIT)
-
-
-def money_sum(c: Column | str) -> Column:
-    """Σ of a money column: nulls skipped, all-null or empty group -> 0.0."""
-    return F.coalesce(units_to_money(F.sum(money_units(c))), F.lit(0.0))
+def exact_sum(c: Column | str) -> Column:
+    """Σ of a column as a double: nulls skipped, all-null or empty group -> 0.0."""
+    return F.coalesce(F.sum(exact(c)).cast("double"), F.lit(0.0))
 
 
 def safe_ratio(num: Column, den: Column, scale: float = 1.0, otherwise: Column | None = None) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feira.functions.bins import DEFAULT_DELAY_RANGES, edges_from_ranges, label_of, range_labels, right_closed_bin
-from feira.functions.numeric import UNITS, money_units, safe_ratio, units_to_money
+from feira.functions.numeric import EXACT, exact, safe_ratio
 from feira.operators.delivery import DELIVERED, NOT_DELIVERED
 from feira.operators.heatmap import _with_delay_days, heatmap_long
 from feira.operators.ranking import with_global_position
@@ -32,14 +32,14 @@ from feira.operators.ranking import with_global_position
 
 def exact_revenue_by(detailed: DataFrame, key: str, metric: str = "Total") -> DataFrame:
     """(key, Total double, _exact): Σ metric per non-null key, ``_exact`` in
-    exact 1e-4 money units (ratios of two unit sums need no rescaling)."""
+    as an exact decimal."""
     return (detailed.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.coalesce(F.sum(money_units(metric)), F.lit(0).cast(UNITS)).alias("_exact"))
-            .withColumn("Total", units_to_money(F.col("_exact"))))
+            .agg(F.coalesce(F.sum(exact(metric)), F.lit(0).cast(EXACT)).alias("_exact"))
+            .withColumn("Total", F.col("_exact").cast("double")))
 
 
 def _money_ratio(num: str, den: str):
-    return safe_ratio(units_to_money(F.col(num)), units_to_money(F.col(den)))
+    return safe_ratio(F.col(num).cast("double"), F.col(den).cast("double"))
 
 
 def _ranked(detailed: DataFrame, key: str) -> DataFrame:
@@ -71,21 +71,21 @@ def vendor_concentration_summary(detailed: DataFrame, top_percent: int = 10) ->
     ``ceil(top_percent * n / 100)`` vendors).
 
     Gini over ascending order i = n + 1 - position:
-    ``G = 2 Σ i·x / (n Σ x) - (n + 1) / n`` with Σ i·x summed exactly.
+    ``G = 2 Σ i·x / (n Σ x) - (n + 1) / n``, rounded to 10 decimals.
     """
     r = _ranked(detailed, "seller_id")
-    weight = (F.col("n_rows") + 1 - F.col("position")).cast("decimal(20,0)")
+    weight = (F.col("n_rows") + 1 - F.col("position")).cast("double")
     top_k = F.ceil(F.col("n_rows") * F.lit(int(top_percent)) / F.lit(100))
     agg = r.agg(
         F.count(F.lit(1)).alias("n_vendors"),
-        F.sum(weight * F.col("_exact")).alias("_weighted"),
+        F.sum(weight * F.col("_exact").cast("double")).alias("_weighted"),
         F.sum("_exact").alias("_total"),
         F.sum(F.when(F.col("position") <= top_k, F.col("_exact"))).alias("_top"))
     n = F.col("n_vendors").cast("double")
-    total = units_to_money(F.col("_total"))
+    total = F.col("_total").cast("double")
     gini = F.when((F.col("n_vendors") > 0) & (F.col("_total") != 0),
-                  F.lit(2.0) * units_to_money(F.col("_weighted")) / (n * total) - (n + F.lit(1.0)) / n)
-    top = units_to_money(F.coalesce(F.col("_top"), F.lit(0)))
+                  F.round(F.lit(2.0) * F.col("_weighted") / (n * total) - (n + F.lit(1.0)) / n, 10))
+    top = F.coalesce(F.col("_top"), F.lit(0)).cast("double")
     return agg.select("n_vendors", gini.alias("gini"), safe_ratio(top, total).alias("top_share"))
 
 
@@ -122,16 +122,16 @@ def freight_efficiency(volume: DataFrame) -> DataFrame:
     rows = volume.filter(F.col("freight_value").isNotNull())
     agg = rows.groupBy("product_category_name").agg(
         F.count(F.lit(1)).alias("items"),
-        F.sum(money_units("freight_value")).alias("_freight"),
-        F.sum(money_units("product_weight_g")).alias("_grams"),
-        F.sum(money_units("Volume_cm")).alias("_cm3"),
-        F.sum(money_units("price")).alias("_price"))
-    freight = units_to_money(F.col("_freight"))
+        F.sum(exact("freight_value")).alias("_freight"),
+        F.sum(exact("product_weight_g")).alias("_grams"),
+        F.sum(exact("Volume_cm")).alias("_cm3"),
+        F.sum(exact("price")).alias("_price"))
+    freight = F.col("_freight").cast("double")
     return agg.select(
         "product_category_name", "items", freight.alias("freight"),
-        safe_ratio(freight * F.lit(1000.0), units_to_money(F.col("_grams"))).alias("freight_per_kg"),
-        safe_ratio(freight * F.lit(1000.0), units_to_money(F.col("_cm3"))).alias("freight_per_litre"),
-        safe_ratio(freight, units_to_money(F.col("_price"))).alias("freight_to_price"))
+        safe_ratio(freight * F.lit(1000.0), F.col("_grams").cast("double")).alias("freight_per_kg"),
+        safe_ratio(freight * F.lit(1000.0), F.col("_cm3").cast("double")).alias("freight_per_litre"),
+        safe_ratio(freight, F.col("_price").cast("double")).alias("freight_to_price"))
 
 
 def stage_durations(order_items: DataFrame, orders: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feira.functions.formatting import plain_number
-from feira.functions.numeric import money_sum
+from feira.functions.numeric import exact_sum
 from feira.sources.states import states_df
 
 
@@ -32,7 +32,7 @@ def state_values(orders: DataFrame, metric: str = "orders", status: str = "All",
     if metric in ("orders", "delayed") or "TOTAL" not in df.columns:
         value = F.count("order_id") if orders_unique else F.count_distinct("order_id")
     else:
-        value = money_sum("TOTAL")
+        value = exact_sum("TOTAL")
     return df.groupBy("customer_state").agg(value.alias("value"))
 
 

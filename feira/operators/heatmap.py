@@ -22,7 +22,7 @@ def _with_delay_days(delayed: DataFrame) -> DataFrame:
     if "Delay" in delayed.columns:
         norm = normalize_delay(delayed, on_error="null")
         return norm.withColumn("delay_days", delay_days(F.col("delay_ns")))
-    raise ValueError("No delay information available in delayed_orders DataFrame")
+    raise ValueError("the frame has none of the columns delay_days, delay_ns and Delay")
 
 
 def heatmap_grid(delayed: DataFrame, pct_col: str = "Site_Real_PCT",

@@ -1,46 +1,17 @@
-"""Joins: the order-items/products left join (J1) with a checked broadcast."""
+"""Joins: the order-items/products left join.
 
-from __future__ import annotations
+No broadcast hint and no row count: Spark picks the join by the byte size of
+the pruned side (``spark.sql.autoBroadcastJoinThreshold``), and AQE re-plans at
+run time and splits skewed partitions. Building the join runs no job.
+"""
 
-import time
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it has at most this many rows (after
-# column pruning: a handful of numeric/string columns, well under 100 MB).
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
-
-_SIZE_CHECKS: dict[tuple[int, int], tuple[float, bool]] = {}
-SIZE_CHECK_TTL_SECONDS = 600.0
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Bounded size check: counts at most ``max_rows + 1`` rows per task.
-
-    The answer is remembered per logical plan (``semanticHash``) for
-    ``SIZE_CHECK_TTL_SECONDS``, so building many queries over the same
-    dimension runs the check once, while a table that grows is re-checked.
-    """
-    key = (df.semanticHash(), max_rows)
-    now = time.monotonic()
-    hit = _SIZE_CHECKS.get(key)
-    if hit is None or now - hit[0] > SIZE_CHECK_TTL_SECONDS:
-        hit = (now, df.limit(max_rows + 1).count() <= max_rows)
-        _SIZE_CHECKS[key] = hit
-    return hit[1]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked row bound; otherwise the plain
-    frame, which Spark joins by sort-merge (AQE splits skewed partitions and
-    may still switch to broadcast when runtime statistics allow)."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
 
-def left_join_null_safe(left: DataFrame, right: DataFrame, key: str,
-                        max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def left_join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """pandas ``merge(left, right, on=key, how='left')``.
 
     * null keys match null keys (``<=>``), as in pandas;
@@ -52,8 +23,6 @@ def left_join_null_safe(left: DataFrame, right: DataFrame, key: str,
     overlap = (set(left.columns) & set(right.columns)) - {key}
     if overlap:
         raise ValueError(f"columns on both sides of the join besides {key!r}: {sorted(overlap)}")
-    if max_broadcast_rows is not None:
-        right = bounded_broadcast(right, max_broadcast_rows)
     l, r = left.alias("_l"), right.alias("_r")
     joined = l.join(r, F.col(f"_l.{key}").eqNullSafe(F.col(f"_r.{key}")), "left")
     return joined.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns],

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.functions.numeric import money_sum, money_units, nan_to_null, safe_ratio, units_to_money
-from feira.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, left_join_null_safe
+from feira.functions.numeric import exact, exact_sum, nan_to_null, safe_ratio
+from feira.operators.joins import left_join_null_safe
 from feira.sources.schemas import ORDER_ITEMS_REQUIRED, PRODUCTS_REQUIRED, require_columns
 
 DIMENSION_COLUMNS = ["product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"]
@@ -14,14 +14,12 @@ METRICS = ("Total", "freight_value", "price")
 OTHERS = "Others"
 
 
-def prepare_data(order_items: DataFrame, products: DataFrame,
-                 max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def prepare_data(order_items: DataFrame, products: DataFrame) -> DataFrame:
     """Left join on product_id, missing category -> 'Others',
     ``Total = price + freight_value`` (null if either is null)."""
     require_columns(order_items, ORDER_ITEMS_REQUIRED, "order_items")
     require_columns(products, PRODUCTS_REQUIRED, "products")
-    joined = left_join_null_safe(nan_to_null(order_items), nan_to_null(products), "product_id",
-                                 max_broadcast_rows)
+    joined = left_join_null_safe(nan_to_null(order_items), nan_to_null(products), "product_id")
     return (joined
             .withColumn("product_category_name", F.coalesce(F.col("product_category_name"), F.lit(OTHERS)))
             .withColumn("Total", F.col("price") + F.col("freight_value")))
@@ -30,7 +28,7 @@ def prepare_data(order_items: DataFrame, products: DataFrame,
 def order_totals(detailed: DataFrame) -> DataFrame:
     """A2: Σ Total per order (null order ids dropped, all-null order -> 0.0)."""
     return (detailed.filter(F.col("order_id").isNotNull())
-            .groupBy("order_id").agg(money_sum("Total").alias("Total")))
+            .groupBy("order_id").agg(exact_sum("Total").alias("Total")))
 
 
 def revenue_kpis(detailed: DataFrame) -> DataFrame:
@@ -42,12 +40,12 @@ def revenue_kpis(detailed: DataFrame) -> DataFrame:
     without an order id: they count in revenue and products, not in orders.
     """
     per_order = detailed.groupBy("order_id").agg(
-        F.sum(money_units("Total")).alias("order_sum"),
+        F.sum(exact("Total")).alias("order_sum"),
         F.count(F.lit(1)).alias("n_items"))
     has_order = F.col("order_id").isNotNull()
     totals = per_order.agg(
-        F.coalesce(units_to_money(F.sum("order_sum")), F.lit(0.0)).alias("total_revenue"),
-        F.coalesce(units_to_money(F.sum(F.when(has_order, F.col("order_sum")))), F.lit(0.0)).alias("_order_revenue"),
+        F.coalesce(F.sum("order_sum").cast("double"), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(F.sum(F.when(has_order, F.col("order_sum"))).cast("double"), F.lit(0.0)).alias("_order_revenue"),
         F.count_if(has_order).alias("total_orders"),
         F.coalesce(F.sum("n_items"), F.lit(0)).cast("long").alias("total_products"))
     return totals.select(
@@ -63,7 +61,7 @@ def revenue_by_metrics(detailed: DataFrame, key: str, metrics: tuple[str, ...] =
     scan, one shuffle); each ranking is then a projection of it. Catalyst
     drops the sums a consumer does not select."""
     return (detailed.filter(F.col(key).isNotNull())
-            .groupBy(key).agg(*[money_sum(m).alias(m) for m in metrics]))
+            .groupBy(key).agg(*[exact_sum(m).alias(m) for m in metrics]))
 
 
 def ranking_of(per_key: DataFrame, key: str, metric: str, sort: bool = True) -> DataFrame:
@@ -78,7 +76,7 @@ def revenue_by(detailed: DataFrame, key: str, metric: str = "Total", sort: bool
     if metric not in detailed.columns:
         raise KeyError(f"unknown metric column {metric!r}")
     out = (detailed.filter(F.col(key).isNotNull())
-           .groupBy(key).agg(money_sum(metric).alias("Total")))
+           .groupBy(key).agg(exact_sum(metric).alias("Total")))
     return out.orderBy(F.desc("Total"), F.asc(key)) if sort else out
 
 

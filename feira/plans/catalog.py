@@ -123,6 +123,13 @@ def q_price_weight_volume(spark, sf_dir):
     return FD.price_weight_volume_feed(volume(spark, sf_dir))
 
 
+@query("small_value_totals")
+def q_small_values(spark, sf_dir):
+    """Sums of values with six decimals per vendor (nothing is rounded before it is summed)."""
+    items = fixtures.order_items(spark, sf_dir).withColumn("small", (F.col("order_id") % 1000003).cast("double") / 1000000.0)
+    return R.vendor_revenue(items, "small", sort=False)
+
+
 @query("revenue_metrics_display")
 def q_revenue_display(spark, sf_dir):
     return FD.revenue_metrics_display(R.revenue_kpis(detailed(spark, sf_dir)))
@@ -130,8 +137,8 @@ def q_revenue_display(spark, sf_dir):
 
 # --------------------------------------------------------------- delivery
 
-def orders(spark: SparkSession, sf_dir: str, delay_format: str = "interval", on_error: str = "fail") -> DataFrame:
-    return normalize_delay(fixtures.orders_with_delay(spark, sf_dir, delay_format), on_error=on_error)
+def orders(spark: SparkSession, sf_dir: str, delay_format: str = "interval", on_error: str = "fail", state: bool = False) -> DataFrame:
+    return normalize_delay(fixtures.orders_with_delay(spark, sf_dir, delay_format, state), on_error=on_error)
 
 
 @query("delay_normalized")
@@ -200,39 +207,39 @@ def q_delivery_display(spark, sf_dir):
 
 @query("geo_orders")
 def q_geo_orders(spark, sf_dir):
-    return geo_feed(orders(spark, sf_dir), metric="orders")
+    return geo_feed(orders(spark, sf_dir, state=True), metric="orders")
 
 
 @query("geo_delayed")
 def q_geo_delayed(spark, sf_dir):
-    return geo_feed(orders(spark, sf_dir, on_error="null"), metric="delayed")
+    return geo_feed(orders(spark, sf_dir, on_error="null", state=True), metric="delayed")
 
 
 @query("geo_revenue")
 def q_geo_revenue(spark, sf_dir):
-    return geo_feed(orders(spark, sf_dir), metric="revenue")
+    return geo_feed(orders(spark, sf_dir, state=True), metric="revenue")
 
 
 @query("geo_delivered_delayed_only")
 def q_geo_delivered_delayed(spark, sf_dir):
-    return geo_feed(orders(spark, sf_dir, on_error="null"), metric="orders", status="Delivered",
+    return geo_feed(orders(spark, sf_dir, on_error="null", state=True), metric="orders", status="Delivered",
                     delayed_only=True)
 
 
 @query("daily_orders")
 def q_daily_orders(spark, sf_dir):
-    return daily_orders(fixtures.seller_orders(spark, sf_dir))
+    return daily_orders(fixtures.seller_orders(spark, sf_dir, state=False))
 
 
 @query("daily_trend_7")
 def q_daily_trend(spark, sf_dir):
-    return daily_trend(fixtures.seller_orders(spark, sf_dir), "orders", window=7)
+    return daily_trend(fixtures.seller_orders(spark, sf_dir, state=False), "orders", window=7)
 
 
 @query("daily_trend_revenue_7")
 def q_daily_trend_revenue(spark, sf_dir):
     # metric='revenue' still rolls the daily order count, as the reference does
-    return daily_trend(fixtures.seller_orders(spark, sf_dir), "revenue", window=7)
+    return daily_trend(fixtures.seller_orders(spark, sf_dir, state=False), "revenue", window=7)
 
 
 # ------------------------------------------- readme-only (definitions ours)
@@ -273,7 +280,7 @@ def q_freight_efficiency(spark, sf_dir):
 
 
 def durations(spark, sf_dir):
-    return X.stage_durations(fixtures.order_items(spark, sf_dir), fixtures.seller_orders(spark, sf_dir))
+    return X.stage_durations(fixtures.order_items(spark, sf_dir), fixtures.seller_orders(spark, sf_dir, state=False))
 
 
 @query("stage_duration_distribution")
@@ -298,7 +305,7 @@ def q_stage_heatmaps(spark, sf_dir):
 
 @query("state_success_rates")
 def q_state_success_rates(spark, sf_dir):
-    return X.success_rates(orders(spark, sf_dir), "state")
+    return X.success_rates(orders(spark, sf_dir, state=True), "state")
 
 
 @query("monthly_success_rates")

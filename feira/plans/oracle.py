@@ -3,7 +3,7 @@
 The base tables are views in the checking database; each statement starts
 from the same input derivation as ``feira.sources.fixtures``, written as SQL
 CTEs, and computes the result with plain SQL aggregates. Money sums go
-through DECIMAL(18,4) on both sides so totals are exact; ratios are double
+through DECIMAL(38,16) on both sides so totals are exact; ratios are double
 divisions in the same order on both sides.
 """
 
@@ -21,7 +21,7 @@ INPUTS = f"""
 order_items AS (
   SELECT CASE WHEN l_orderkey % 211 = 0 THEN NULL ELSE l_orderkey END AS order_id,
     l_linenumber AS order_item_id,
-    CASE WHEN l_partkey % 173 = 0 THEN NULL ELSE l_partkey END AS product_id,
+    CASE WHEN l_partkey % 173 = 0 THEN NULL WHEN l_partkey % 50 = 7 THEN -l_partkey ELSE l_partkey END AS product_id,
     CASE WHEN l_suppkey % 61 = 0 THEN NULL ELSE l_suppkey END AS seller_id,
     l_extendedprice AS price,
     CASE WHEN l_linenumber = 7 THEN NULL
@@ -35,7 +35,7 @@ products AS (
     CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE CAST(10 + p_partkey % 23 AS DOUBLE) END AS product_length_cm,
     CAST(5 + p_partkey % 17 AS DOUBLE) AS product_height_cm,
     CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE CAST(8 + p_partkey % 19 AS DOUBLE) END AS product_width_cm
-  FROM part WHERE p_partkey % 50 <> 7),
+  FROM part),
 seller_orders AS (
   SELECT o_orderkey AS order_id,
     CASE c_nationkey {_STATE_CASE} ELSE 'XX' END AS customer_state,
@@ -66,12 +66,22 @@ timed AS (
 """
 
 
+def exact(expr: str) -> str:
+    """A double by its shortest decimal form (a direct cast multiplies in floating point)."""
+    return f"CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,16))"
+
+
+def dbl(expr: str) -> str:
+    """The nearest double of a decimal."""
+    return f"CAST(CAST({expr} AS VARCHAR) AS DOUBLE)"
+
+
 def money(expr: str) -> str:
-    return f"COALESCE(CAST(SUM(CAST({expr} AS DECIMAL(18,4))) AS DOUBLE), CAST(0 AS DOUBLE))"
+    return f"COALESCE({dbl(f'SUM({exact(expr)})')}, CAST(0 AS DOUBLE))"
 
 
 def ratio(num: str, den: str, scale: str = "", otherwise: str = "NULL") -> str:
-    body = f"CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE)"
+    body = f"{dbl(num)} / {dbl(den)}"
     if scale:
         body = f"{body} * CAST({scale} AS DOUBLE)"
     return f"CASE WHEN {den} <> 0 THEN {body} ELSE {otherwise} END"
@@ -173,6 +183,9 @@ def oracle_sql() -> dict[str, str]:
     q["order_items_detailed"] = _with("""
 SELECT order_id, order_item_id, product_id, seller_id, price, freight_value, product_category_name, Total
 FROM detailed""")
+    q["small_value_totals"] = _with(f"""
+SELECT seller_id, {money("CAST(order_id % 1000003 AS DOUBLE) / CAST(1000000 AS DOUBLE)")} AS Total
+FROM order_items WHERE seller_id IS NOT NULL GROUP BY seller_id""")
     q["order_totals"] = _with(f"SELECT order_id, {money('Total')} AS Total FROM detailed "
                               "WHERE order_id IS NOT NULL GROUP BY order_id")
     q["revenue_kpis"] = _with("SELECT * FROM kpis", _revenue_kpis_cte())
@@ -258,10 +271,10 @@ FROM daily""", daily)
 def _ranked_cte(key: str) -> str:
     return f"""
 per_key AS (
-  SELECT {key}, COALESCE(SUM(CAST(Total AS DECIMAL(18,4))), CAST(0 AS DECIMAL(18,4))) AS x
+  SELECT {key}, COALESCE(SUM({exact('Total')}), CAST(0 AS DECIMAL(38,16))) AS x
   FROM detailed WHERE {key} IS NOT NULL GROUP BY {key}),
 ranked AS (
-  SELECT {key}, x, CAST(x AS DOUBLE) AS Total,
+  SELECT {key}, x, {dbl('x')} AS Total,
     ROW_NUMBER() OVER (ORDER BY x DESC, {key} ASC) AS position,
     COUNT(*) OVER () AS n_rows,
     SUM(x) OVER (ORDER BY x DESC, {key} ASC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running,
@@ -276,14 +289,14 @@ def _extras(q: dict[str, str]) -> None:
     q["vendor_concentration"] = _with(f"""
 SELECT seller_id, Total, position, {ratio('position', 'n_rows')} AS cum_vendor_share,
   {ratio('running', 'grand_total')} AS cum_revenue_share FROM ranked""", _ranked_cte("seller_id"))
-    q["vendor_concentration_summary"] = _with("""
+    q["vendor_concentration_summary"] = _with(f"""
 SELECT COUNT(*) AS n_vendors,
-  CASE WHEN COUNT(*) > 0 AND SUM(x) <> 0 THEN
-    CAST(2.0 AS DOUBLE) * CAST(SUM(CAST(n_rows + 1 - position AS DECIMAL(18,0)) * CAST(x AS DECIMAL(18,4))) AS DOUBLE)
-      / (CAST(COUNT(*) AS DOUBLE) * CAST(SUM(x) AS DOUBLE))
-    - (CAST(COUNT(*) AS DOUBLE) + CAST(1.0 AS DOUBLE)) / CAST(COUNT(*) AS DOUBLE) END AS gini,
-  CASE WHEN SUM(x) <> 0 THEN CAST(COALESCE(SUM(CASE WHEN position <= CEIL(n_rows * 10 / 100) THEN x END), 0) AS DOUBLE)
-       / CAST(SUM(x) AS DOUBLE) END AS top_share
+  CASE WHEN COUNT(*) > 0 AND SUM(x) <> 0 THEN ROUND(
+    CAST(2.0 AS DOUBLE) * SUM(CAST(n_rows + 1 - position AS DOUBLE) * {dbl('x')})
+      / (CAST(COUNT(*) AS DOUBLE) * {dbl('SUM(x)')})
+    - (CAST(COUNT(*) AS DOUBLE) + CAST(1.0 AS DOUBLE)) / CAST(COUNT(*) AS DOUBLE), 10) END AS gini,
+  CASE WHEN SUM(x) <> 0 THEN {dbl('COALESCE(SUM(CASE WHEN position <= CEIL(n_rows * 10 / 100) THEN x END), 0)')}
+       / {dbl('SUM(x)')} END AS top_share
 FROM ranked""", _ranked_cte("seller_id"))
     q["category_share_rank"] = _with(f"""
 SELECT product_category_name, Total, {ratio('x', 'grand_total')} AS share, position AS rank,
@@ -302,10 +315,10 @@ SELECT product_category_name, items, freight,
   {ratio('freight * CAST(1000.0 AS DOUBLE)', 'cm3')} AS freight_per_litre,
   {ratio('freight', 'price_sum')} AS freight_to_price
 FROM (SELECT product_category_name, COUNT(*) AS items,
-        CAST(SUM(CAST(freight_value AS DECIMAL(18,4))) AS DOUBLE) AS freight,
-        SUM(CAST(product_weight_g AS DECIMAL(18,4))) AS grams,
-        SUM(CAST(Volume_cm AS DECIMAL(18,4))) AS cm3,
-        SUM(CAST(price AS DECIMAL(18,4))) AS price_sum
+        {money('freight_value')} AS freight,
+        {dbl('SUM(' + exact('product_weight_g') + ')')} AS grams,
+        {dbl('SUM(' + exact('Volume_cm') + ')')} AS cm3,
+        {dbl('SUM(' + exact('price') + ')')} AS price_sum
       FROM complete WHERE freight_value IS NOT NULL GROUP BY product_category_name)""")
     durations = """durations AS (
   SELECT date_diff('day', CAST(o.order_purchase_timestamp AS DATE), CAST(i.shipping_limit_date AS DATE)) AS duration_days

@@ -7,7 +7,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from feira.operators import revenue as R
-from feira.operators.joins import DEFAULT_MAX_BROADCAST_ROWS
 
 
 class RevenueAnalyzer:
@@ -21,18 +20,16 @@ class RevenueAnalyzer:
     are small. Call ``release`` when done.
     """
 
-    def __init__(self, order_items: DataFrame, products: DataFrame, persist: bool = False,
-                 max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS):
+    def __init__(self, order_items: DataFrame, products: DataFrame, persist: bool = False):
         self.order_items = order_items
         self.products = products
         self.persist = persist
-        self.max_broadcast_rows = max_broadcast_rows
         self.order_items_detailed: DataFrame | None = None
         self.analysis_results: dict | None = None
 
     def prepare_data(self) -> DataFrame:
         if self.order_items_detailed is None:
-            detailed = R.prepare_data(self.order_items, self.products, self.max_broadcast_rows)
+            detailed = R.prepare_data(self.order_items, self.products)
             if self.persist:
                 detailed = detailed.persist(StorageLevel.MEMORY_AND_DISK)
             self.order_items_detailed = detailed

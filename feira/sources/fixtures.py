@@ -35,7 +35,9 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         _null_when(F.col("l_orderkey") % 211 == 0, F.col("l_orderkey")).alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
-        _null_when(F.col("l_partkey") % 173 == 0, F.col("l_partkey")).alias("product_id"),
+        # ids below zero are in no catalogue: the left join's unmatched side
+        _null_when(F.col("l_partkey") % 173 == 0,
+                   F.when(F.col("l_partkey") % 50 == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey"))).alias("product_id"),
         _null_when(F.col("l_suppkey") % 61 == 0, F.col("l_suppkey")).alias("seller_id"),
         F.col("l_extendedprice").alias("price"),
         _null_when(F.col("l_linenumber") == 7, freight).alias("freight_value"),
@@ -44,11 +46,9 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Parts with p_partkey % 50 == 7 are left out of the catalogue so that
-    # some order items have no matching product (the left join's null side).
     part = read_table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    return part.filter(k % 50 != 7).select(
+    return part.select(
         k.alias("product_id"),
         _null_when(k % 20 == 3, F.col("p_brand")).alias("product_category_name"),
         _null_when(k % 37 == 0, (F.col("p_size") * 250).cast("double")).alias("product_weight_g"),
@@ -58,12 +58,13 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seller_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned orders with ``delay_seconds`` (negative = late)."""
+def seller_orders(spark: SparkSession, sf_dir: str, state: bool = True) -> DataFrame:
+    """Cleaned orders with ``delay_seconds`` (negative = late); without
+    ``state`` there is no ``customer_state`` and no join."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    state = F.try_element_at(F.array(*[F.lit(s) for s in NATION_STATE]), F.col("c_nationkey") + 1)
+    code = F.try_element_at(F.array(*[F.lit(s) for s in NATION_STATE]), F.col("c_nationkey") + 1)
     in_range = (F.col("c_nationkey") >= 0) & (F.col("c_nationkey") < len(NATION_STATE))
     k = F.col("o_orderkey")
     net_state = (F.when(F.col("o_orderstatus") == "O", "Not_Delivered")
@@ -76,10 +77,10 @@ def seller_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     pct = F.when(k % 101 == 0, F.lit(None)).otherwise(((k * 31) % 1101 - 50).cast("double") / 10.0)
     # customer is a dimension of orders (|customer| = |orders| / 10); Spark
     # broadcasts it below the broadcast threshold and sort-merges above it.
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left") if state else orders
     return joined.select(
         k.alias("order_id"),
-        F.when(in_range, state).otherwise("XX").alias("customer_state"),
+        *([F.when(in_range, code).otherwise("XX").alias("customer_state")] if state else []),
         net_state.alias("Net_State"),
         delay.alias("delay_seconds"),
         pct.alias("Site_Real_PCT"),
@@ -88,7 +89,8 @@ def seller_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders_with_delay(spark: SparkSession, sf_dir: str, delay_format: str = "interval") -> DataFrame:
+def orders_with_delay(spark: SparkSession, sf_dir: str, delay_format: str = "interval",
+                      state: bool = True) -> DataFrame:
     """``seller_orders`` with a ``Delay`` column as the analyses receive it.
 
     ``interval``: a day-time interval (pandas ``timedelta64``);
@@ -96,7 +98,7 @@ def orders_with_delay(spark: SparkSession, sf_dir: str, delay_format: str = "int
     """
     from feira.functions.delay import format_seconds_as_text
 
-    so = seller_orders(spark, sf_dir)
+    so = seller_orders(spark, sf_dir, state)
     if delay_format == "interval":
         delay = F.col("delay_seconds") * F.expr("INTERVAL '1' SECOND")
     elif delay_format == "text":

@@ -27,17 +27,41 @@ ORDERS_TYPES = {
 }
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+# Words a CSV field holds for a missing value.
+NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+              "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _read(spark: SparkSession, path: str, fmt: str, null_words: tuple[str, ...] = NULL_WORDS) -> DataFrame:
     if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        return raw.select(*[F.when(~F.col(f"`{c}`").isin(*null_words), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError("fmt must be 'csv' or 'parquet'")
 
 
-def _typed(df: DataFrame, types: dict[str, str], pct_columns: bool = False) -> DataFrame:
-    """Cast the known columns (malformed numbers or dates become null, as
-    with a coercing reader); other columns pass through unchanged."""
+def _cast(df: DataFrame, c: str, target: str, on_error: str):
+    value = F.col(f"`{c}`")
+    read = value.try_cast(target)
+    if on_error == "null":
+        return read.alias(c)
+    bad = F.concat(F.lit(f"column {c}: not a {target}: "), value.cast("string"))
+    return F.when(value.isNotNull() & read.isNull(), F.raise_error(bad).cast(target)).otherwise(read).alias(c)
+
+
+def rejected(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """One row: per known column, how many values its type cannot hold."""
+    return df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(c)
+                    for c, t in types.items() if c in df.columns])
+
+
+def _typed(df: DataFrame, types: dict[str, str], pct_columns: bool = False, on_error: str = "fail") -> DataFrame:
+    """Cast the known columns; other columns pass through unchanged. A value
+    that its type cannot hold is an error naming column and value
+    (``on_error="fail"``), or null (``"null"``; ``rejected`` counts them)."""
+    if on_error not in ("fail", "null"):
+        raise ValueError("on_error must be 'fail' or 'null'")
     out = []
     for c in df.columns:
         target = types.get(c) or ("double" if pct_columns and c.endswith("_PCT") else None)
@@ -46,18 +70,21 @@ def _typed(df: DataFrame, types: dict[str, str], pct_columns: bool = False) -> D
         elif c == "Delay" and df.schema[c].dataType.simpleString() != "string":
             out.append(F.col("Delay"))  # already a duration or number: normalize_delay handles it
         else:
-            out.append(F.col(f"`{c}`").try_cast(target).alias(c))
+            out.append(_cast(df, c, target, on_error))
     return df.select(*out)
 
 
-def read_order_items(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _typed(_read(spark, path, fmt), ORDER_ITEMS_TYPES)
+def read_order_items(spark: SparkSession, path: str, fmt: str = "csv", on_error: str = "fail",
+               null_words: tuple[str, ...] = NULL_WORDS) -> DataFrame:
+    return _typed(_read(spark, path, fmt, null_words), ORDER_ITEMS_TYPES, on_error=on_error)
 
 
-def read_products(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _typed(_read(spark, path, fmt), PRODUCTS_TYPES)
+def read_products(spark: SparkSession, path: str, fmt: str = "csv", on_error: str = "fail",
+               null_words: tuple[str, ...] = NULL_WORDS) -> DataFrame:
+    return _typed(_read(spark, path, fmt, null_words), PRODUCTS_TYPES, on_error=on_error)
 
 
-def read_orders(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_orders(spark: SparkSession, path: str, fmt: str = "csv", on_error: str = "fail",
+               null_words: tuple[str, ...] = NULL_WORDS) -> DataFrame:
     """Cleaned orders; every ``*_PCT`` stage column is read as a double."""
-    return _typed(_read(spark, path, fmt), ORDERS_TYPES, pct_columns=True)
+    return _typed(_read(spark, path, fmt, null_words), ORDERS_TYPES, pct_columns=True, on_error=on_error)

@@ -1,9 +1,10 @@
 """Daily distinct orders (A16) maintained over a stream of orders.
 
 Event-time version of ``feira.operators.trend.daily_orders``: a watermark
-bounds how late an order may arrive, order ids are de-duplicated within that
-watermark (state is evicted once it passes, so it does not grow with the
-stream), and orders are counted per one-day event-time window. The rolling
+bounds how late an order may arrive, (order, day) pairs are de-duplicated
+within that watermark (state is evicted once it passes, so it does not grow
+with the stream; a repeat further apart than the lateness counts again), and
+orders are counted per one-day event-time window. The rolling
 mean (W1) stays a batch step over the emitted daily rows.
 """
 
@@ -18,12 +19,13 @@ def daily_orders_stream(orders: DataFrame, date_col: str = "order_purchase_times
                         lateness: str = "2 days") -> DataFrame:
     """(date, orders) over a streaming frame of orders. Orders later than
     ``lateness`` behind the latest event time seen are dropped."""
-    events = (orders.select("order_id", F.col(date_col).cast("timestamp").alias("event_time"))
+    events = (orders.select("order_id", F.col(date_col).cast("timestamp").alias("event_time"),
+                            F.to_date(date_col).alias("day"))
               .filter(F.col("event_time").isNotNull() & F.col("order_id").isNotNull()))
-    deduped = events.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["order_id"])
-    return (deduped.groupBy(F.window("event_time", "1 day").alias("day"))
+    deduped = events.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["order_id", "day"])
+    return (deduped.groupBy(F.window("event_time", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("orders"))
-            .select(F.to_date(F.col("day.start")).alias("date"), "orders"))
+            .select(F.to_date(F.col("w.start")).alias("date"), "orders"))
 
 
 def start_daily_orders(orders: DataFrame, checkpoint: str, sink_path: str, query_name: str = "daily_orders",

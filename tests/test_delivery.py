@@ -67,7 +67,7 @@ def test_heatmap_without_null_row_and_empty_input(spark):
 
 def test_heatmap_requires_delay_information(spark):
     df = spark.createDataFrame([(1, 5.0)], "order_id long, Site_Real_PCT double")
-    with pytest.raises(ValueError, match="No delay information"):
+    with pytest.raises(ValueError, match="none of the columns"):
         heatmap_grid(df)
 
 

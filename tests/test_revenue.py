@@ -26,8 +26,8 @@ def test_null_safe_join_fans_out_and_fills_others(spark):
                            ("o2", "z", "s", 1.0, 1.0), ("o3", "a", "s", 1.0, 1.0)])
     prods = _products(spark, [("a", "c", 1.0, 1.0, 1.0, 1.0), (None, None, 1.0, 1.0, 1.0, 1.0),
                               ("a", "d", 1.0, 1.0, 1.0, 1.0)])
-    for bound in (1_000_000, 0):  # broadcast path and sort-merge path
-        det = R.prepare_data(items, prods, max_broadcast_rows=bound)
+    for prods in (prods, prods.hint("broadcast"), prods.hint("merge")):
+        det = R.prepare_data(items, prods)
         cats = sorted(((r.product_id or "", r.product_category_name) for r in det.collect()))
         assert cats == [("", "Others"), ("a", "c"), ("a", "c"), ("a", "d"), ("a", "d"), ("z", "Others")]
 

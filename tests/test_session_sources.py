@@ -66,3 +66,31 @@ def test_parquet_reader_and_persisted(spark, tmp_path):
     with persisted(orders) as kept:
         assert kept.is_cached and kept.count() == 1
     assert not orders.is_cached
+
+
+def test_readers_name_bad_values_and_know_null_words(spark, tmp_path):
+    import pytest
+
+    from feira.sources import readers
+
+    path = str(tmp_path / "orders")
+    rows = [("1", "NA", "1,000.5", "01/02/2020 10:00"), ("2", "SP", "7.5", "2020-01-02 10:00:00"), ("3", "RJ", "n/a", "")]
+    spark.createDataFrame(rows, "order_id string, customer_state string, TOTAL string, order_purchase_timestamp string") \
+        .write.option("header", True).csv(path)
+    with pytest.raises(Exception, match="column TOTAL: not a double: 1,000.5|column order_purchase_timestamp: not a timestamp: 01/02"):
+        readers.read_orders(spark, path).collect()
+    got = {r.order_id: r for r in readers.read_orders(spark, path, on_error="null").collect()}
+    assert got["1"].customer_state is None and got["1"].TOTAL is None and got["2"].TOTAL == 7.5 and got["3"].TOTAL is None
+    raw = readers._read(spark, path, "csv")
+    assert readers.rejected(raw, {"TOTAL": "double", "order_purchase_timestamp": "timestamp"}).first() == (1, 1)
+
+
+def test_sums_keep_small_values(spark):
+    from pyspark.sql import functions as F
+
+    from feira.functions.numeric import exact_sum
+
+    df = spark.createDataFrame([("a", 0.00004), ("a", 0.00004), ("b", 0.12345), ("c", None), ("d", float("nan"))], "k string, v double")
+    got = {r.k: r.s for r in df.groupBy("k").agg(exact_sum("v").alias("s")).collect()}
+    assert got == {"a": 0.00008, "b": 0.12345, "c": 0.0, "d": 0.0}
+    assert df.limit(0).agg(exact_sum(F.col("v")).alias("s")).first().s == 0.0

@@ -35,7 +35,7 @@ def test_hot_key_is_split_and_exact(spark):
             F.col("id").alias("product_id"), F.concat(F.lit("c"), (F.col("id") % 5).cast("string"))
             .alias("product_category_name"),
             *[F.lit(1.0).alias(c) for c in R.DIMENSION_COLUMNS])
-        detailed = R.prepare_data(items, products, max_broadcast_rows=0)  # force the shuffle join
+        detailed = R.prepare_data(items, products.hint("merge"))  # force the shuffle join
         out = R.category_revenue(detailed, "price")
         rows = {r.product_category_name: r.Total for r in out.collect()}
         plan = out._jdf.queryExecution().executedPlan().toString()

@@ -84,7 +84,8 @@ def test_daily_orders_stream_matches_batch(spark, tmp_path):
              (3, "SP", "Delivered", "1 days", 1.0, 1.0, day(2))]
     # a duplicate of order 2, a late order for Jan 1 (within the 2-day watermark), a new day
     second = [(2, "SP", "Delivered", "1 days", 1.0, 1.0, day(1)), (4, "SP", "Delivered", "1 days", 1.0, 1.0, day(1, 20)),
-              (5, "SP", "Delivered", "1 days", 1.0, 1.0, day(3))]
+              (5, "SP", "Delivered", "1 days", 1.0, 1.0, day(3)),
+              (1, "SP", "Delivered", "1 days", 1.0, 1.0, day(2))]  # order 1 on a second day counts there too
     _batch(spark, first, src)
     start_daily_orders(orders_stream(spark, src), ckpt, out, available_now=True).awaitTermination(120)
     _batch(spark, second, src)
@@ -93,4 +94,4 @@ def test_daily_orders_stream_matches_batch(spark, tmp_path):
     streamed = {r.date: r.orders for r in latest_daily_orders(spark, out).collect()}
     batch = {r.date: r.orders for r in daily_orders(
         spark.createDataFrame(first + second, ORDERS_STREAM_SCHEMA).withColumn("x", F.lit(1))).collect()}
-    assert streamed == batch == {dt.date(2020, 1, 1): 3, dt.date(2020, 1, 2): 1, dt.date(2020, 1, 3): 1}
+    assert streamed == batch == {dt.date(2020, 1, 1): 3, dt.date(2020, 1, 2): 2, dt.date(2020, 1, 3): 1}
