@@ -200,6 +200,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they came."""
+    """The rows of ``docs`` that pass, with their columns as they came.
+
+    The verdict goes through a one-element generator: a filter on it would be
+    pushed below the projections and repeat their work at every reference.
+    """
     out = judged(docs, references(docs, text_col, lang_col), text_col)
-    return out.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode_outer(F.array("__kept")).alias("__pass"))
+    return once.filter("__pass").drop("__pass")
