@@ -152,3 +152,13 @@ def test_interval_and_text_inputs_agree(spark, sf_small):
     b = D.delivery_performance(normalize_delay(fixtures.orders_with_delay(spark, sf_small, "text"))).first()
     assert a == b
 
+
+def test_bundle_has_every_figure_by_key_and_reads_days(spark):
+    from feira.plans.orders_analyzer import KPI_KEYS, analyze_orders_data
+
+    orders = spark.createDataFrame(
+        [(1, "Delivered", -2.0, "SP", 1.0), (2, "Delivered", 1.5, "RJ", 2.0), (3, "Not_Delivered", -1.0, "SP", 3.0)],
+        "order_id long, Net_State string, Delay double, customer_state string, TOTAL double")
+    perf = analyze_orders_data(orders, unit="D")["performance"]
+    assert [perf[key].first()[0] for key in KPI_KEYS] == [3, 2, 1, 2 / 3 * 100, 50.0]
+    assert perf["delay_delivered"].count() == 1
