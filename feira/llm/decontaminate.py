@@ -3,12 +3,20 @@
 Words are lower-cased and stripped of edge punctuation; numbers, names and
 units become typed placeholders (<num>, <name>, <unit>) and their values are
 kept as slots. Windows of WINDOW template words of all documents are
-hash-joined with those of the benchmark; windows of one (document, item,
-offset) line up to an alignment. An alignment counts if its slots are
-consistent - one benchmark value always stands for the same document value
-and the other way round, over the whole alignment - and it covers at least
-COVER of the item's windows. So copies and re-parameterised questions are
-both found, and chance overlaps of templates are not.
+hash-joined with those of the benchmark. Matching windows of one document and
+item line up to alignments: runs of consecutive windows, chained in the order
+of both texts, where a step from one run to the next may insert or leave out
+at most as many words as the item has. So inserted, missing and replaced words
+split an item into several runs of one alignment. An alignment counts if its
+slots are consistent - one benchmark value always stands for the same document
+value and the other way round, over the whole alignment - and it covers at
+least COVER of the item's windows, or its windows hold at least COVER_WORDS of
+the item's words (an edit takes up to WINDOW windows from a short item but few
+words), or it holds VERBATIM consecutive words of the item unchanged, whatever
+share of the item they are. So copies, edited copies,
+excerpts and re-parameterised questions are found, and chance overlaps of
+templates are not. Where a chain is not consistent, its runs at one distance
+are tried alone.
 
 * number: a token with a digit and otherwise only digits and ., : / % + - or
   currency signs.
@@ -28,7 +36,8 @@ whatever the benchmark's size; it only saves shuffling, the join decides.
 
 Defined cases: null or blank texts (either side) match nothing; repeated
 items or rows give repeated results only through their ids; extra columns are
-ignored. Every (document, item) pair is returned once, with its best alignment.
+ignored. Every (document, item) pair is returned once, with its best alignment;
+texts that share an id are aligned one by one.
 """
 
 from __future__ import annotations
@@ -50,6 +59,8 @@ WINDOW = 8
 CONTENT = 4
 SHORTEST = 4
 COVER = 0.5
+COVER_WORDS = 0.75
+VERBATIM = 13
 
 #: Unit words (fixed values).
 UNITS = frozenset("""mm cm m km in ft yd mi mile miles g kg mg lb lbs oz ton tons l ml s sec second seconds min minute
@@ -124,40 +135,41 @@ def _slots(values, slot, start: int, width: int) -> list[int]:
     return T.signed(np.column_stack([w.astype(np.uint64), values[start + w]]).ravel().copy()).tolist()
 
 
-_SCHEMA = "id long, width int, hash long, pos long, slots array<long>"
+_SCHEMA = "id long, row long, width int, hash long, pos long, slots array<long>"
 
 
-def _emit(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        ids.take(pa.array([r[0] for r in rows], pa.int64())).cast(pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-        pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
-        pa.array([r[4] for r in rows], pa.list_(pa.int64()))], ["id", "width", "hash", "pos", "slots"])
+def _emit(part: pa.RecordBatch, rows: list[tuple], more: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
+    """One row per window; ``more`` has values per text."""
+    at = pa.array([r[0] for r in rows], pa.int64())
+    out = {"id": part.column("id").take(at).cast(pa.int64()), "row": part.column("row").take(at),
+           "width": pa.array([r[1] for r in rows], pa.int32()), "hash": pa.array([r[2] for r in rows], pa.int64()),
+           "pos": pa.array([r[3] for r in rows], pa.int64()), "slots": pa.array([r[4] for r in rows], pa.list_(pa.int64()))}
+    out |= {name: pa.array(v, pa.int64()).take(at) for name, v in (more or {}).items()}
+    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """All windows of the benchmark; ``items``: (id, t)."""
+    """All windows of the benchmark, with the item's windows and words; ``items``: (id, row, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "t"):
                 template, values, slot, counts = _template(part.column("t"))
                 first = np.concatenate([[0], np.cumsum(counts)])
-                rows = []
-                h, text, at = _windows(template, slot, counts, WINDOW, CONTENT)
-                for x, i, p in zip(T.signed(h).tolist(), text.tolist(), at.tolist()):
-                    rows.append((i, WINDOW, x, p, _slots(values, slot, first[i] + p, WINDOW)))
-                for n in range(SHORTEST, WINDOW):
-                    h, text, at = _windows(template, slot, counts, n, (n + 1) // 2)
-                    for x, i, p in zip(T.signed(h).tolist(), text.tolist(), at.tolist()):
-                        if counts[i] == n:
-                            rows.append((i, n, x, p, _slots(values, slot, first[i] + p, n)))
-                yield _emit(part.column("id"), rows)
+                rows, total = [], np.zeros(len(counts), np.int64)
+                for n in range(SHORTEST, WINDOW + 1):
+                    h, text, at = _windows(template, slot, counts, n, CONTENT if n == WINDOW else (n + 1) // 2)
+                    own = (n == WINDOW) | (counts[text] == n)
+                    total += np.bincount(text[own], minlength=len(counts))
+                    for x, i, p in zip(T.signed(h[own]).tolist(), text[own].tolist(), at[own].tolist()):
+                        rows.append((i, n, x, p, _slots(values, slot, first[i] + p, n)))
+                yield _emit(part, rows, {"total": total, "words": counts})
 
-    return map_arrow(items, run, _SCHEMA)
+    return map_arrow(items, run, f"{_SCHEMA}, total long, words long")
 
 
 def document_windows(docs: DataFrame, packed, widths: list[int]) -> DataFrame:
-    """The windows of ``docs`` (id, t) that pass the filter."""
+    """The windows of ``docs`` (id, row, t) that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpacked(packed.value)
@@ -172,11 +184,124 @@ def document_windows(docs: DataFrame, packed, widths: list[int]) -> DataFrame:
                     for x, i, p in zip(T.signed(h[hit]).tolist(), text[hit].tolist(), at[hit].tolist()):
                         rows.append((i, n, x, p, _slots(values, slot, first[i] + p, n)))
                 if rows:
-                    yield _emit(part.column("id"), rows)
+                    yield _emit(part, rows)
 
     return map_arrow(docs, run, _SCHEMA)
 
 
+def _runs(points: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(offset, first, last item position) of the runs of consecutive windows, by first position."""
+    out: list[list[int]] = []
+    for offset, i in sorted((d - i, i) for i, d in points):
+        if out and out[-1][0] == offset and out[-1][2] == i - 1:
+            out[-1][2] = i
+        else:
+            out.append([offset, i, i])
+    return sorted(((o, a, b) for o, a, b in out), key=lambda r: (r[1], r[0]))
+
+
+def _chain(runs: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]]:
+    """The windows (item, document position) of the chain of ``runs`` with most windows."""
+    best: list[tuple[int, int, int]] = []  # (windows, first position used, run before or -1)
+    at: dict[int, list[int]] = {}
+    for k, (o, a, b) in enumerate(runs):
+        top = (b - a + 1, a, -1)
+        for other in (range(o - reach, o + reach + 1) if len(at) > 2 * reach else [x for x in at if abs(x - o) <= reach]):
+            for j in at.get(other, ()):
+                last = runs[j][2]
+                start = max(a, last + 1, last + other + 1 - o)  # later in the item and in the document
+                if start <= b and best[j][0] + b - start + 1 > top[0]:
+                    top = (best[j][0] + b - start + 1, start, j)
+        best.append(top)
+        at.setdefault(o, []).append(k)
+    k, out = max(range(len(runs)), key=lambda x: (best[x][0], -x)), []
+    while k >= 0:
+        out += [(i, i + runs[k][0]) for i in range(best[k][1], runs[k][2] + 1)]
+        k = best[k][2]
+    return out
+
+
+def _alignment(used: list[tuple[int, int]], points: dict[tuple[int, int], bool], islots: dict[int, list[int]],
+               slots: dict[int, list[int]], total: int, words: int) -> tuple[int, int, int, int] | None:
+    """(windows, item windows, slots, changed) of the windows ``used``, None if they do not count.
+
+    ``points`` says of each window whether its words are the item's."""
+    held = {i + k for i, _ in used for k in range(min(WINDOW, words))}
+    if len(used) < COVER * total and len(held) < COVER_WORDS * words:
+        same = [p for p in used if points[p]]
+        if max((b - a + 1 for _, a, b in _runs(same)), default=0) < VERBATIM - WINDOW + 1:
+            return None
+    pairs = set()
+    for p in used:
+        own = islots[p[0]][1::2]
+        pairs.update(zip(own, own if points[p] else slots[p[1]][1::2]))
+    if not len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
+        return None
+    return len(used), total, len(pairs), sum(a != b for a, b in pairs)
+
+
+def _best(points: dict[tuple[int, int], bool], islots: dict[int, list[int]], slots: dict[int, list[int]],
+          total: int, words: int) -> tuple[int, int, int, int] | None:
+    """The best alignment of one document and item."""
+    found, least = [], min(COVER * total, VERBATIM - WINDOW + 1, COVER_WORDS * words / WINDOW)
+    near: list[set[tuple[int, int]]] = []  # no chain goes over more than 2 * words words without a window
+    for d, i in sorted((d, i) for i, d in points):
+        if not near or d - end > 2 * words:
+            near.append(set())
+        near[-1].add((i, d))
+        end = d
+    for left in near:
+        while len(left) >= least:
+            used = _chain(_runs(list(left)), words)
+            one = _alignment(used, points, islots, slots, total, words) if len(used) >= least else None
+            if one or len(used) < least:
+                found += [one] if one else []
+                break  # later chains are shorter
+            left -= set(used)
+    line: dict[int, list[tuple[int, int]]] = {}
+    for i, d in points:
+        line.setdefault(d - i, []).append((i, d))
+    found += [x for x in (_alignment(used, points, islots, slots, total, words) for used in line.values() if len(used) >= least) if x]
+    return max(found, key=lambda x: (x[0], -x[3]), default=None)
+
+
+_KEY = ["doc_id", "doc_row", "item_id", "item_row"]
+
+
+def _aligned(pairs: DataFrame) -> DataFrame:
+    """Alignments of (document, item) pairs from their matching windows, one pair after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, points, islots, slots, total, words = None, {}, {}, {}, 0, 0
+
+        def out() -> list[tuple]:
+            best = _best(points, islots, slots, total, words) if last is not None else None
+            return [(last[0], last[2], *best)] if best else []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)],
+                                              ["doc_id", "item_id", "windows", "item_windows", "slots", "changed"])
+
+        for batch in batches:
+            rows = []
+            columns = [batch.column(c).to_pylist() for c in (*_KEY, "ipos", "pos", "islots", "slots", "total", "words")]
+            for *key, i, d, own, other, n, m in zip(*columns):
+                if key != last:
+                    rows += out()
+                    last, points, islots, slots, total, words = key, {}, {}, {}, n, m
+                points[i, d] = own == other
+                islots.setdefault(i, own)
+                slots.setdefault(d, other)
+            if rows:
+                yield batch_of(rows)
+        rows = out()
+        if rows:
+            yield batch_of(rows)
+
+    return map_arrow(pairs.repartition(*_KEY).sortWithinPartitions(*_KEY), run,
+                     "doc_id long, item_id long, windows long, item_windows long, slots long, changed long")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, item_windows, slots, changed) of every leak.
@@ -185,35 +310,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     ``changed`` how many of them differ from the benchmark's (0: a copy).
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("t"))
-    bench = benchmark_windows(items)
+
+    def slim(df: DataFrame, ident: str, text: str) -> DataFrame:
+        return df.select(F.col(ident).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("t"))
+
+    bench = benchmark_windows(slim(benchmark, item_col, item_text_col))
     packed = spark.sparkContext.broadcast(bit_filter(bench))
     widths = sorted({r["width"] for r in bench.select("width").distinct().collect()})  # at most WINDOW - SHORTEST + 1 values
-    found = document_windows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), packed, widths)
-    total = bench.groupBy("id").agg(F.countDistinct("pos").alias("item_windows"))
-    b = bench.join(total, "id").select(F.col("id").alias("item_id"), "width", "hash", F.col("pos").alias("ipos"),
-                                       F.col("slots").alias("islots"), "item_windows")
-    pair = (found.join(b, ["width", "hash"])
-            .select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("ipos")).alias("offset"),
-                    "ipos", "item_windows", "slots", "islots"))
-    key = ["doc_id", "item_id", "offset"]
-    lined = pair.groupBy(*key).agg(F.countDistinct("ipos").alias("windows"), F.max("item_windows").alias("item_windows"))
-    covered = lined.filter(F.col("windows") >= F.col("item_windows") * COVER)
-    # values of the slots, as (benchmark value, document value), once each
-    slot = pair.filter("size(islots) > 0").select(*key, F.explode(F.expr(
-        "transform(sequence(1, cast(size(islots) / 2 as int)),"
-        " i -> struct(islots[2 * i - 1] as iv, slots[2 * i - 1] as dv))")).alias("z"))
-    slot = slot.select(*key, "z.iv", "z.dv").distinct()
-    checked = slot.groupBy(*key).agg(F.count("*").alias("pairs"), F.countDistinct("iv").alias("ivs"),
-                                     F.countDistinct("dv").alias("dvs"),
-                                     F.count_if(F.col("iv") != F.col("dv")).alias("changed"))
-    good = (covered.join(checked, key, "left")
-            .filter("pairs IS NULL OR (pairs = ivs AND pairs = dvs)")
-            .select(*key, "windows", "item_windows", F.coalesce("pairs", F.lit(0).cast("long")).alias("slots"),
-                    F.coalesce("changed", F.lit(0).cast("long")).alias("changed")))
-    return (good.groupBy("doc_id", "item_id")
+    found = document_windows(slim(docs, id_col, text_col), packed, widths)
+    b = bench.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "width", "hash", F.col("pos").alias("ipos"),
+                     F.col("slots").alias("islots"), "total", "words")
+    pairs = (found.join(b, ["width", "hash"])
+             .select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id", "item_row",
+                     "ipos", "pos", "islots", "slots", "total", "words"))
+    return (_aligned(pairs).groupBy("doc_id", "item_id")
             .agg(F.max_by(F.struct("windows", "item_windows", "slots", "changed"),
-                          F.struct("windows", -F.col("changed"), -F.col("offset"))).alias("best"))
+                          F.struct("windows", -F.col("changed"))).alias("best"))
             .select("doc_id", "item_id", "best.*"))
 
 

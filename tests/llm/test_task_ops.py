@@ -136,6 +136,27 @@ def test_copies_and_reparameterised_items_are_found(leaks):
     assert leaks[1, 10].changed == 0 and leaks[2, 10].changed > 0 and leaks[2, 10].windows == leaks[2, 10].item_windows
 
 
+def test_edited_copies_and_excerpts_are_found(spark):
+    w = ITEM.split()
+    long = prose(3, 120)
+    bench = spark.createDataFrame([(10, ITEM), (20, " ".join(prose(4, 38))), (30, " ".join(long)),
+                                   (40, " ".join(prose(6, 18)))], "item_id long, text string")
+    half = prose(4, 38)
+    changed = ITEM.replace("120", "300").replace("80", "90").replace("2 hours", "5 hours").replace("Alice", "Maria").split()
+    docs = frame(spark, [
+        doc(1, " ".join([*half[:19], "indeed", *half[19:]])), doc(2, " ".join([*half[:18], *half[19:]])),
+        doc(3, " ".join([*half[:19], "one", "two", "three", "four", "five", "six", *half[19:]])),
+        doc(4, " ".join([*changed[:15], "then", *changed[15:]])),
+        doc(5, " ".join([*prose(50, 30), *long[40:53], *prose(51, 30)])), doc(6, " ".join([*prose(50, 30), *long[40:52], *prose(51, 30)])),
+        doc(7, " ".join([*half[19:], *prose(52, 400), *half[:12]])),
+        doc(8, " ".join([*w[:15], "then", *w[15:]]).replace("80 km in then 2", "80 km in then 7")),  # 2 -> 2 and 7
+        doc(9, " ".join([*half[:19], "indeed", *half[19:]]) + " " + " ".join(prose(60, 200)) + " " + " ".join(half)),
+        doc(11, " ".join([*prose(6, 18)[:9], "indeed", *prose(6, 18)[9:]]))])
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == {(1, 20), (2, 20), (3, 20), (4, 10), (5, 30), (7, 20), (9, 20), (11, 40)}
+    assert got[1, 20].windows == 24 and got[9, 20].windows == 31 == got[9, 20].item_windows and got[4, 10].changed > 0
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert decontaminate.matches(frame(spark, []), bench).count() == 0
