@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are lower-cased and stripped of edge punctuation; numbers, names and
+Words are case-folded and stripped of edge punctuation; numbers, names and
 units become typed placeholders (<num>, <name>, <unit>) and their values are
 kept as slots. Windows of WINDOW template words of all documents are
 hash-joined with those of the benchmark. Matching windows of one document and
@@ -15,8 +15,8 @@ the item's words (an edit takes up to WINDOW windows from a short item but few
 words), or it holds VERBATIM consecutive words of the item unchanged, whatever
 share of the item they are. So copies, edited copies,
 excerpts and re-parameterised questions are found, and chance overlaps of
-templates are not. Where a chain is not consistent, its runs at one distance
-are tried alone.
+templates are not. Where a chain is not consistent, its windows at one
+distance count alone if they reach COVER of those with a template.
 
 * number: a token with a digit and otherwise only digits and ., : / % + - or
   currency signs.
@@ -25,10 +25,14 @@ are tried alone.
   beyond one letter, and follows a token that doesn't end a sentence; the
   first token of a text or line is no name.
 
-Only windows with at least CONTENT words that are no placeholders are used.
+Every window is also joined on the hash of its case-folded words, so copies in
+another case are found although names are told by their capital. Windows with
+fewer than CONTENT words that are no placeholders (names, tables of numbers)
+match in this way only: their templates alone are too common. COVER is a share
+of the windows with at least CONTENT such words, or of all windows.
 An item with fewer than WINDOW words gives one window of all its words (at
-least SHORTEST words, of which at least half are no placeholders); shorter
-items cannot be told from chance and match nothing.
+least SHORTEST words; by its template only if at least half are no
+placeholders); shorter items cannot be told from chance and match nothing.
 
 Before the join, documents' windows pass a filter of 2^24 bits that
 holds all benchmark windows. Its size is fixed, so it can be broadcast
@@ -74,7 +78,7 @@ _WORD, _IS_NUM, _IS_UNIT, _IS_CAP, _ENDS = 0, 1, 2, 4, 8
 
 
 def _kinds(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the bare lower-case word, flags) of every distinct token."""
+    """(hash of the bare case-folded word, flags) of every distinct token."""
     bare = [v.strip(_EDGE) for v in vocabulary]
     flags = np.zeros(len(vocabulary), np.int64)
     for i, (v, b) in enumerate(zip(vocabulary, bare)):
@@ -88,7 +92,7 @@ def _kinds(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if v.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "…"):
             f |= _ENDS
         flags[i] = f
-    return T.hash_strings([b.lower() for b in bare]), flags
+    return T.hash_strings([b.casefold() for b in bare]), flags
 
 
 def _template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,15 +123,21 @@ def _template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return template, values, number | unit | name, counts
 
 
-def _windows(template, slot, counts, width, content) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _content(width: int) -> int:
+    """Words that are no placeholders in a window that is joined by its template."""
+    return CONTENT if width == WINDOW else (width + 1) // 2
+
+
+def _windows(template, values, slot, counts, width) -> tuple[np.ndarray, ...]:
+    """(template hash, hash of the words, text, position, words that are no slots) of each window."""
     h, text, at = T.rolling(template, counts, width)
     if not len(h):
-        return h, text, at
+        return h, h, text, at, at
+    plain_h, _, _ = T.rolling(values, counts, width)
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     plain = np.concatenate([[0], np.cumsum(~slot)])
     start = first[text] + at
-    ok = plain[start + width] - plain[start] >= content
-    return h[ok], text[ok], at[ok]
+    return h, plain_h, text, at, plain[start + width] - plain[start]
 
 
 def _slots(values, slot, start: int, width: int) -> list[int]:
@@ -135,7 +145,7 @@ def _slots(values, slot, start: int, width: int) -> list[int]:
     return T.signed(np.column_stack([w.astype(np.uint64), values[start + w]]).ravel().copy()).tolist()
 
 
-_SCHEMA = "id long, row long, width int, hash long, pos long, slots array<long>"
+_SCHEMA = "id long, row long, width int, hash long, plain boolean, pos long, slots array<long>"
 
 
 def _emit(part: pa.RecordBatch, rows: list[tuple], more: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
@@ -143,29 +153,34 @@ def _emit(part: pa.RecordBatch, rows: list[tuple], more: dict[str, np.ndarray] |
     at = pa.array([r[0] for r in rows], pa.int64())
     out = {"id": part.column("id").take(at).cast(pa.int64()), "row": part.column("row").take(at),
            "width": pa.array([r[1] for r in rows], pa.int32()), "hash": pa.array([r[2] for r in rows], pa.int64()),
-           "pos": pa.array([r[3] for r in rows], pa.int64()), "slots": pa.array([r[4] for r in rows], pa.list_(pa.int64()))}
+           "plain": pa.array([r[3] for r in rows], pa.bool_()), "pos": pa.array([r[4] for r in rows], pa.int64()),
+           "slots": pa.array([r[5] for r in rows], pa.list_(pa.int64()))}
     out |= {name: pa.array(v, pa.int64()).take(at) for name, v in (more or {}).items()}
     return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """All windows of the benchmark, with the item's windows and words; ``items``: (id, row, t)."""
+    """All windows of the benchmark by template and by words (``plain``), with the
+    item's windows, those that have a template, and words; ``items``: (id, row, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "t"):
                 template, values, slot, counts = _template(part.column("t"))
                 first = np.concatenate([[0], np.cumsum(counts)])
-                rows, total = [], np.zeros(len(counts), np.int64)
+                rows, total, typed = [], np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
                 for n in range(SHORTEST, WINDOW + 1):
-                    h, text, at = _windows(template, slot, counts, n, CONTENT if n == WINDOW else (n + 1) // 2)
+                    h, plain, text, at, content = _windows(template, values, slot, counts, n)
                     own = (n == WINDOW) | (counts[text] == n)
                     total += np.bincount(text[own], minlength=len(counts))
-                    for x, i, p in zip(T.signed(h[own]).tolist(), text[own].tolist(), at[own].tolist()):
-                        rows.append((i, n, x, p, _slots(values, slot, first[i] + p, n)))
-                yield _emit(part, rows, {"total": total, "words": counts})
+                    typed += np.bincount(text[own & (content >= _content(n))], minlength=len(counts))
+                    # without slots, the template is the words
+                    for hashes, some, by_words in ((h, own & (content >= _content(n)) & (content < n), False), (plain, own, True)):
+                        for x, i, p in zip(T.signed(hashes[some]).tolist(), text[some].tolist(), at[some].tolist()):
+                            rows.append((i, n, x, by_words, p, _slots(values, slot, first[i] + p, n)))
+                yield _emit(part, rows, {"total": total, "typed": typed, "words": counts})
 
-    return map_arrow(items, run, f"{_SCHEMA}, total long, words long")
+    return map_arrow(items, run, f"{_SCHEMA}, total long, typed long, words long")
 
 
 def document_windows(docs: DataFrame, packed, widths: list[int]) -> DataFrame:
@@ -179,10 +194,11 @@ def document_windows(docs: DataFrame, packed, widths: list[int]) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(counts)])
                 rows = []
                 for n in widths:
-                    h, text, at = _windows(template, slot, counts, n, CONTENT if n == WINDOW else (n + 1) // 2)
-                    hit = np.flatnonzero(passes(bits, h))
-                    for x, i, p in zip(T.signed(h[hit]).tolist(), text[hit].tolist(), at[hit].tolist()):
-                        rows.append((i, n, x, p, _slots(values, slot, first[i] + p, n)))
+                    h, plain, text, at, content = _windows(template, values, slot, counts, n)
+                    for hashes, some, by_words in ((h, (content >= _content(n)) & (content < n), False), (plain, True, True)):
+                        hit = np.flatnonzero(passes(bits, hashes) & some)
+                        for x, i, p in zip(T.signed(hashes[hit]).tolist(), text[hit].tolist(), at[hit].tolist()):
+                            rows.append((i, n, x, by_words, p, _slots(values, slot, first[i] + p, n)))
                 if rows:
                     yield _emit(part, rows)
 
@@ -222,14 +238,19 @@ def _chain(runs: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]
 
 
 def _alignment(used: list[tuple[int, int]], points: dict[tuple[int, int], bool], islots: dict[int, list[int]],
-               slots: dict[int, list[int]], total: int, words: int) -> tuple[int, int, int, int] | None:
+               slots: dict[int, list[int]], total: int, typed: int, words: int) -> tuple[int, int, int, int] | None:
     """(windows, item windows, slots, changed) of the windows ``used``, None if they do not count.
 
-    ``points`` says of each window whether its words are the item's."""
-    held = {i + k for i, _ in used for k in range(min(WINDOW, words))}
-    if len(used) < COVER * total and len(held) < COVER_WORDS * words:
+    ``points`` says of each window whether its words are the item's. Counted
+    are the windows with a template (``typed`` in all) if these reach COVER,
+    else all."""
+    width = min(WINDOW, words)
+    known = sum(width - len(islots[i]) // 2 >= _content(width) for i, _ in used)
+    by_template = typed > 0 and known >= COVER * typed
+    if not by_template and len(used) < COVER * total:
+        held = {i + k for i, _ in used for k in range(width)}
         same = [p for p in used if points[p]]
-        if max((b - a + 1 for _, a, b in _runs(same)), default=0) < VERBATIM - WINDOW + 1:
+        if len(held) < COVER_WORDS * words and max((b - a + 1 for _, a, b in _runs(same)), default=0) < VERBATIM - WINDOW + 1:
             return None
     pairs = set()
     for p in used:
@@ -237,13 +258,14 @@ def _alignment(used: list[tuple[int, int]], points: dict[tuple[int, int], bool],
         pairs.update(zip(own, own if points[p] else slots[p[1]][1::2]))
     if not len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
         return None
-    return len(used), total, len(pairs), sum(a != b for a, b in pairs)
+    return *((known, typed) if by_template else (len(used), total)), len(pairs), sum(a != b for a, b in pairs)
 
 
 def _best(points: dict[tuple[int, int], bool], islots: dict[int, list[int]], slots: dict[int, list[int]],
-          total: int, words: int) -> tuple[int, int, int, int] | None:
+          total: int, typed: int, words: int) -> tuple[int, int, int, int] | None:
     """The best alignment of one document and item."""
-    found, least = [], min(COVER * total, VERBATIM - WINDOW + 1, COVER_WORDS * words / WINDOW)
+    found = []
+    least = min(COVER * total, COVER * typed if typed else total, VERBATIM - WINDOW + 1, COVER_WORDS * words / WINDOW)
     near: list[set[tuple[int, int]]] = []  # no chain goes over more than 2 * words words without a window
     for d, i in sorted((d, i) for i, d in points):
         if not near or d - end > 2 * words:
@@ -251,9 +273,9 @@ def _best(points: dict[tuple[int, int], bool], islots: dict[int, list[int]], slo
         near[-1].add((i, d))
         end = d
     for left in near:
-        while len(left) >= least:
+        while left and len(left) >= least:
             used = _chain(_runs(list(left)), words)
-            one = _alignment(used, points, islots, slots, total, words) if len(used) >= least else None
+            one = _alignment(used, points, islots, slots, total, typed, words) if len(used) >= least else None
             if one or len(used) < least:
                 found += [one] if one else []
                 break  # later chains are shorter
@@ -261,21 +283,23 @@ def _best(points: dict[tuple[int, int], bool], islots: dict[int, list[int]], slo
     line: dict[int, list[tuple[int, int]]] = {}
     for i, d in points:
         line.setdefault(d - i, []).append((i, d))
-    found += [x for x in (_alignment(used, points, islots, slots, total, words) for used in line.values() if len(used) >= least) if x]
+    alone = (_alignment(used, points, islots, slots, total, typed, words) for used in line.values() if len(used) >= least)
+    found += [x for x in alone if x and x[1] == typed and x[0] >= COVER * typed]
     return max(found, key=lambda x: (x[0], -x[3]), default=None)
 
 
 _KEY = ["doc_id", "doc_row", "item_id", "item_row"]
+_POINT = ["plain", "ipos", "pos", "islots", "slots", "total", "typed", "words"]
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
     """Alignments of (document, item) pairs from their matching windows, one pair after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, points, islots, slots, total, words = None, {}, {}, {}, 0, 0
+        last, points, islots, slots, sizes = None, {}, {}, {}, ()
 
         def out() -> list[tuple]:
-            best = _best(points, islots, slots, total, words) if last is not None else None
+            best = _best(points, islots, slots, *sizes) if last is not None else None
             return [(last[0], last[2], *best)] if best else []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -284,12 +308,12 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            columns = [batch.column(c).to_pylist() for c in (*_KEY, "ipos", "pos", "islots", "slots", "total", "words")]
-            for *key, i, d, own, other, n, m in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in (*_KEY, *_POINT)]
+            for *key, plain, i, d, own, other, total, typed, words in zip(*columns):
                 if key != last:
                     rows += out()
-                    last, points, islots, slots, total, words = key, {}, {}, {}, n, m
-                points[i, d] = own == other
+                    last, points, islots, slots, sizes = key, {}, {}, {}, (total, typed, words)
+                points[i, d] = points.get((i, d), False) or plain
                 islots.setdefault(i, own)
                 slots.setdefault(d, other)
             if rows:
@@ -318,11 +342,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     packed = spark.sparkContext.broadcast(bit_filter(bench))
     widths = sorted({r["width"] for r in bench.select("width").distinct().collect()})  # at most WINDOW - SHORTEST + 1 values
     found = document_windows(slim(docs, id_col, text_col), packed, widths)
-    b = bench.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "width", "hash", F.col("pos").alias("ipos"),
-                     F.col("slots").alias("islots"), "total", "words")
-    pairs = (found.join(b, ["width", "hash"])
-             .select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id", "item_row",
-                     "ipos", "pos", "islots", "slots", "total", "words"))
+    b = bench.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "width", "hash", "plain", F.col("pos").alias("ipos"),
+                     F.col("slots").alias("islots"), "total", "typed", "words")
+    pairs = (found.join(b, ["width", "hash", "plain"])
+             .select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id", "item_row", *_POINT))
     return (_aligned(pairs).groupBy("doc_id", "item_id")
             .agg(F.max_by(F.struct("windows", "item_windows", "slots", "changed"),
                           F.struct("windows", -F.col("changed"))).alias("best"))

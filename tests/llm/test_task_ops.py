@@ -157,6 +157,19 @@ def test_edited_copies_and_excerpts_are_found(spark):
     assert got[1, 20].windows == 24 and got[9, 20].windows == 31 == got[9, 20].item_windows and got[4, 10].changed > 0
 
 
+def test_names_numbers_and_other_case_are_found(spark):
+    names = " ".join(f"{a} {b}" for a, b in zip("Anna Berta Carla Dora Emil Franz Gerd Hans".split(), "Maier Schulz Weber Koch Braun Wolf Neumann Vogel".split()))
+    table = " ".join(str(1000 + 37 * i) for i in range(20))
+    mixed = "when Alice Smith and Robert Jones met Carol White in Paris they sold Peter Green and Anna Black nine cars for Henry Ford"
+    bench = spark.createDataFrame([(1, "list " + names), (2, table), (3, mixed), (4, "Total 55 17 91 2024")], "item_id long, text string")
+    docs = frame(spark, [doc(1, "before list " + names + " after"), doc(2, "see " + table + " there"), doc(3, mixed.lower()),
+                         doc(4, "x " + mixed.upper() + " y"), doc(5, "x total 55 17 91 2024 y"), doc(6, " ".join(str(7 * i) for i in range(40))),
+                         doc(7, "list " + " ".join(reversed(names.split())))])
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4)}
+    assert all(r.changed == 0 and r.windows == r.item_windows for r in got.values())
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert decontaminate.matches(frame(spark, []), bench).count() == 0
