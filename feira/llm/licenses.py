@@ -3,9 +3,9 @@
 TEMPLATES are short licence texts, each with a label and a mandatory key
 phrase. The document frequency of every template word is counted over all
 documents; of each template the RARE words with the highest idf are indexed
-with their positions. Per file the distinct indexed words it holds are ranked
-by idf and the TOP highest are looked up: every occurrence votes, through the
-postings, for an alignment (template, file position - template position). An
+with their positions. Per file every indexed word it holds is looked up (the
+templates bound their number): every occurrence votes, through the postings,
+for an alignment (template, file position - template position). An
 alignment with votes of at least VOTES different template words (all of them
 if the template has fewer indexed words) is verified on the words themselves:
 the key phrase must stand where the template has it, and the share of template
@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RARE = 6
-TOP = 16
 VOTES = 2
 COVER = 0.75
 
@@ -116,10 +115,9 @@ def _base_places(w: Column) -> list[Column]:
             for phrase, _ in BASE]
 
 
-def _alignments(w: Column, idf: dict[str, float], postings: dict[str, list[tuple[int, int]]]) -> Column:
+def _alignments(w: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
     """Verified (template, offset, cover) of one file's words."""
     indexed = sorted(postings)
-    rank = F.create_map(*[F.lit(x) for k in indexed for x in (k, -idf[k])])
     post = F.create_map(*[x for k in indexed for x in (
         F.lit(k), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[k]]))])
     templates = F.array(*[_strings(t.split()) for _, t, _ in TEMPLATES])
@@ -130,12 +128,8 @@ def _alignments(w: Column, idf: dict[str, float], postings: dict[str, list[tuple
                    for _, t, k in TEMPLATES])
     held = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: x["w"].isin(indexed))
 
-    def ranked(h: Column) -> Column:
-        order = F.sort_array(F.transform(F.array_distinct(F.transform(h, lambda x: x["w"])),
-                                         lambda x: F.struct(F.try_element_at(rank, x).alias("r"), x.alias("w"))))
-        top = F.transform(F.slice(order, 1, TOP), lambda x: x["w"])
-        used = let(top, lambda best: F.filter(h, lambda x: F.array_contains(best, x["w"])))
-        votes = F.flatten(F.transform(used, lambda x: F.transform(
+    def voted(h: Column) -> Column:
+        votes = F.flatten(F.transform(h, lambda x: F.transform(
             F.try_element_at(post, x["w"]),
             lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("o"), p["p"].alias("p")))))
         return F.sort_array(F.array_distinct(votes))
@@ -156,14 +150,14 @@ def _alignments(w: Column, idf: dict[str, float], postings: dict[str, list[tuple
         holds = F.forall(F.transform(key, lambda x, i: F.coalesce(x == F.get(w, o + place + i), F.lit(False))), lambda x: x)
         return F.struct(t.alias("t"), o.alias("o"), (same / F.size(words)).alias("cover"), holds.alias("holds"))
 
-    candidates = let(let(held, ranked), lambda v: F.filter(runs(v), lambda c: c["n"] >= F.get(needed, c["t"])))
+    candidates = let(let(held, voted), lambda v: F.filter(runs(v), lambda c: c["n"] >= F.get(needed, c["t"])))
     return F.filter(F.transform(candidates, checked), lambda c: c["holds"] & (c["cover"] >= COVER))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row."""
     n_docs = docs.count()
-    idf, postings = build_index(document_frequencies(docs, text_col), n_docs)
+    _, postings = build_index(document_frequencies(docs, text_col), n_docs)
     labels_of = _strings([label for label, _, _ in TEMPLATES])
     anchors = _strings(sorted({*postings, *(p.split()[-1] for p, _ in BASE)}))
     none = F.struct(F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"),
@@ -176,7 +170,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             every = F.flatten(found)
             base = F.filter(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, (_, label) in zip(places, BASE)]),
                             lambda x: x.isNotNull())
-            return let(_alignments(w, idf, postings), lambda a: F.struct(
+            return let(_alignments(w, postings), lambda a: F.struct(
                 F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
                 F.array_max(every).cast("long").alias("last_word"), F.sort_array(F.array_distinct(base)).alias("base"),
                 F.sort_array(F.array_distinct(F.concat(base, F.transform(a, lambda x: F.get(labels_of, x["t"]))))).alias("all"),

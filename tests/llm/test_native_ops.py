@@ -167,6 +167,15 @@ def test_licence_base_and_labels(spark):
     assert got[11].labels == "mit,reserved" and got[7].labels == "" and got[0].score == 0
 
 
+def test_licences_of_a_file_with_every_notice(spark):
+    every = " ".join(f"{t}. some filler words between" for _, t, _ in licenses.TEMPLATES)
+    four = " ".join(t for label, t, _ in licenses.TEMPLATES if label in ("bsd", "isc", "mit", "apache"))
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, [doc_row for doc_row in (
+        (1, every, "s", None, 0), (2, four, "s", None, 0), (3, "nothing here", "s", None, 0))])).collect()}
+    assert got[1] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert got[2] == "apache,bsd,isc,mit" and got[3] == ""
+
+
 def test_native_plans_have_no_python(docs):
     for df in (mixing.mix(docs), quality.quality(docs), licenses.scan(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
