@@ -6,7 +6,7 @@ idf, scaled to length 1. Document frequencies are counted over all training
 documents. The weights are trained with follow-the-regularised-leader
 (proximal, per coordinate, elastic net) on a bounded sample: about PER_LANGUAGE
 training documents of each language, those with the lowest hash of their id,
-at most LANGUAGES languages (the most frequent), whole texts. Every fifth
+whole texts; every language with training documents is learned. Every fifth
 document of the sample is kept from training and sets the temperature that
 divides the scores before the softmax. Every document is classified over its
 whole text; only the text is an input of a prediction.
@@ -35,7 +35,6 @@ BITS = 14
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 2000
-LANGUAGES = 64
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 
@@ -138,12 +137,11 @@ def calibrate(scores: np.ndarray, y: np.ndarray) -> float:
 
 def fit(rows: DataFrame) -> Model | None:
     """Train on (doc_id, t, lang), all rows labelled."""
-    spark_rows = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    spark_rows = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one per language
     if not spark_rows:
         return None
     count = {r["lang"]: r["n"] for r in spark_rows}
     languages = sorted(count)
-    known = rows.filter(F.col("lang").isin(languages))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(BUCKETS, np.int64)
@@ -156,7 +154,7 @@ def fit(rows: DataFrame) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], ["bucket", "n"])
 
     df = np.zeros(BUCKETS)
-    for r in (map_arrow(known.select("t"), frequencies, "bucket long, n long")
+    for r in (map_arrow(rows.select("t"), frequencies, "bucket long, n long")
               .groupBy("bucket").agg(F.sum("n").alias("n")).collect()):  # at most BUCKETS rows
         df[r["bucket"]] = r["n"]
     idf = 1 + np.log((1 + sum(count.values())) / (1 + df))
@@ -176,7 +174,7 @@ def fit(rows: DataFrame) -> Model | None:
                              pa.array([f[0].astype(np.int16)], pa.list_(pa.int16())),
                              pa.array([f[1].astype(np.float32)], pa.list_(pa.float32()))], ["place", "y", "at", "tf"])
 
-    chosen = known.withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
+    chosen = rows.withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
     taken = (map_arrow(chosen.select("place", code[F.col("lang")].alias("y"), "t"), sampled,
                        "place double, y int, at array<short>, tf array<float>")
              .limit(2 * PER_LANGUAGE * len(languages)).toArrow())
@@ -202,7 +200,7 @@ def fit(rows: DataFrame) -> Model | None:
 def predict(rows: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of (doc_id, held_out, t)."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS * LANGUAGES weights at most
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS weights for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -329,6 +329,14 @@ def test_language_held_out_accuracy(spark, sf_small):
     assert out.filter("score < 0 OR score > 1").count() == 0 and out.count() == docs.count() + 4
 
 
+def test_more_languages_than_64_are_learned(spark):
+    r = random.Random(8)
+    words = {f"l{k:02d}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(70)}
+    rows = [doc(100 * k + i, " ".join(r.choice(w) for _ in range(30)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(8)]
+    out = langid.identify(frame(spark, rows), F.col("doc_id") % 100 >= 6).filter("held_out").collect()
+    assert len(out) == 140 and {x.doc_id: x.lang_pred for x in out} == {x.doc_id: f"l{x.doc_id // 100:02d}" for x in out}
+
+
 def test_language_without_labels(spark):
     out = langid.identify(frame(spark, [doc(1, "some text", None), doc(2, None, None)]), F.lit(False))
     assert {r.lang_pred for r in out.collect()} == {"und"}
