@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feira.llm import _text as T
@@ -329,15 +329,19 @@ def classes_of_nodes(texts: DataFrame) -> DataFrame:
     return components(links.union(cut(_similar_in_blocks(left, idf))))
 
 
+def _node(text_col: str) -> Column:
+    """The hash of a text; null if it is null or blank."""
+    blank = F.coalesce(F.trim(F.regexp_replace(text_col, r"[\x20\x09-\x0D]+", " ")), F.lit("")) == ""
+    return F.when(~blank, F.xxhash64(text_col))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its id as doc_id, class_id (smallest id of its class), is_kept.
 
     is_kept marks the row whose id is the class id (repeated rows of that id
     are all marked; ``deduplicate`` keeps one of them).
     """
-    blank = F.coalesce(F.trim(F.regexp_replace(text_col, r"[\x20\x09-\x0D]+", " ")), F.lit("")) == ""
-    rows = docs.select(F.col(id_col).alias("doc_id"),
-                       F.when(~blank, F.xxhash64(text_col)).alias("node"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _node(text_col).alias("node"), F.col(text_col).alias("t"))
     texts = rows.filter("node IS NOT NULL").select("node", "t")
     comp = cut(classes_of_nodes(texts))
     keyed = (rows.drop("t").join(comp, "node", "left")
@@ -351,12 +355,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, one per class: the row with the class's smallest id (of
     repeated rows with that id, one; rows without an id only if the class has
-    no other). Columns as they came."""
-    marked = near_duplicates(docs, id_col, text_col)
-    kept = cut(marked.groupBy(F.col("doc_id").alias("__id"), F.col("is_kept").alias("__k")).agg(F.count("*").alias("__n")))
-    keep = kept.filter("__k AND __id IS NOT NULL")
-    body = docs.join(keep.select("__id", "__n"), F.col(id_col) == F.col("__id")).drop("__id")
-    single = body.filter("__n = 1").drop("__n")
-    # ids given to several rows: one row per distinct text stays if it has no duplicate elsewhere
-    several = body.filter("__n > 1").drop("__n").dropDuplicates([id_col, text_col])
-    return single.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
+    no other). Rows without a text are no duplicates; of those with the same
+    id and text, one stays. Columns as they came."""
+    rows = docs.withColumn("__node", _node(text_col))
+    comp = cut(classes_of_nodes(rows.filter("__node IS NOT NULL").select(F.col("__node").alias("node"), F.col(text_col).alias("t"))))
+    # the decision is on (id, text): an id may be given to texts of several classes
+    counted = (rows.filter("__node IS NOT NULL").groupBy("__node", F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
+               .join(comp, F.col("__node") == F.col("node"), "left"))
+    best = (counted.groupBy(F.coalesce("component", "__node").alias("comp"))
+            .agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__node", "__n")).alias("best")))
+    keep = cut(best.select(F.col("best.__id").alias("__id"), F.col("best.__node").alias("__kept"), F.col("best.__n").alias("__n")))
+    body = (rows.join(keep, rows["__node"].eqNullSafe(F.col("__kept")) & rows[id_col].eqNullSafe(F.col("__id")))
+            .drop("__id", "__kept"))
+    single = body.filter("__n = 1").drop("__n", "__node")
+    several = body.filter("__n > 1").dropDuplicates([id_col, "__node"]).drop("__n", "__node")
+    blank = rows.filter("__node IS NULL").drop("__node")
+    named = blank.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
+    return single.unionByName(several).unionByName(named).unionByName(blank.filter(F.col(id_col).isNull()))

@@ -103,6 +103,14 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert near_dup.deduplicate(frame(spark, [])).count() == 0
 
 
+def test_deduplicate_decides_on_rows_not_on_ids(spark):
+    a, b, c = (" ".join(prose(k)) for k in (1, 2, 3))
+    df = frame(spark, [doc(1, a), doc(2, a), doc(2, b), doc(None, a), doc(None, a), doc(None, c), doc(None, c), doc(None, ""), doc(None, None),
+                       doc(7, ""), doc(7, ""), doc(7, c + " x")])
+    kept = sorted((r.doc_id or -1, r.text or "") for r in near_dup.deduplicate(df).collect())
+    assert kept == sorted([(1, a), (2, b), (-1, ""), (-1, ""), (7, ""), (7, c + " x")])
+
+
 def test_samples_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(0, 1 << 48, 200, dtype=np.uint64))
