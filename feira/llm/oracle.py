@@ -78,4 +78,111 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM x
 """
 
-ORACLE: dict[str, str] = {"op5_mixing": OP5, "op6_quality": OP6}
+
+
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    """Every vector against every centroid; one pair of subqueries a round."""
+    parts = [f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS c, q FROM v
+       WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id) LIMIT {k})"""]
+
+    def assigned(i: int) -> str:
+        return f"""
+a{i} AS (SELECT v.r, min({{'d': list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT,
+                        'c': c.c}}) AS best FROM v CROSS JOIN c{i} c GROUP BY v.r)"""
+
+    for i in range(rounds):
+        parts.append(assigned(i))
+        parts.append(f"""
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM
+         (SELECT a.best.c AS c, j, sum(v.q[j]) AS s, count(*) AS n FROM v JOIN a{i} a USING (r), range(1, 65) t(j) GROUP BY ALL)
+         GROUP BY c)""")
+        parts.append(f"""
+c{i + 1} AS (SELECT c, coalesce(m.q, o.q) AS q FROM c{i} o LEFT JOIN m{i} m USING (c))""")
+    parts.append(assigned(rounds))
+    return ",".join(parts) + f"""
+SELECT v.vec_id, a.best.c AS cluster, a.best.d AS distance, sum(a.best.d) OVER (PARTITION BY a.best.c)::BIGINT AS cluster_inertia,
+       sum(a.best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.best.c
+"""
+
+
+OP11 = _op11()
+
+
+def _op12(fan: int = 16, depth: int = 5) -> str:
+    """Two trees, written out level by level: up to fan^depth leaves a source and as many sources."""
+    crc = """(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+    def fields(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+                                       for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS tree, {fields('text')} AS leaf,
+                  CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {fields(lowered)} END AS other FROM documents),
+l0 AS (SELECT r, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h,
+              count(*) OVER (PARTITION BY tree) AS n FROM d)"""]
+
+    def up(name: str, k: int) -> str:
+        return f"""
+{name}r{k} AS (SELECT tree, pos // {fan} AS run, list(h ORDER BY pos) AS hs FROM {name}{k} GROUP BY ALL),
+{name}{k + 1} AS (SELECT tree, run AS pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h,
+                  (n + {fan - 1}) // {fan} AS n
+           FROM {name}r{k} JOIN (SELECT DISTINCT tree, n FROM {name}{k}) USING (tree))"""
+
+    def climb(name: str, k: int, rows: str) -> str:
+        at = f"(x.pos // {fan ** k}) % {fan}"
+        return f"""
+{rows}{name}{k + 1} AS (SELECT x.* REPLACE (
+    x.proof || array_to_string(q.hs[1:{at}] || q.hs[{at} + 2:], '') AS proof,
+    CASE WHEN len(q.hs) = 1 AND q.run = 0 THEN x.cur ELSE sha256(array_to_string(q.hs[1:{at}] || [x.cur] || q.hs[{at} + 2:], '')) END AS cur)
+  FROM {rows}{name}{k} x JOIN {name}r{k} q ON q.tree = x.tree AND q.run = x.pos // {fan ** (k + 1)})"""
+
+    parts += [up("l", k) for k in range(depth)]
+    parts.append(f"""
+s0 AS (SELECT 'all' AS tree, tree AS source, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS n FROM l{depth})""")
+    parts += [up("s", k) for k in range(depth)]
+    parts.append("""
+xl0 AS (SELECT d.r, d.doc_id, d.leaf, l0.tree, l0.pos, '' AS proof, coalesce(d.other, d.leaf) AS cur FROM d JOIN l0 USING (r))""")
+    parts += [climb("l", k, "x") for k in range(depth)]
+    parts.append(f"""
+xs0 AS (SELECT x.r, x.doc_id, x.leaf, s.tree, s.pos, x.proof, x.cur, s.h AS subroot FROM xl{depth} x JOIN s0 s ON s.source = x.tree)""")
+    parts += [climb("s", k, "x") for k in range(depth)]
+    return ",".join(parts) + f"""
+SELECT x.doc_id, x.leaf, x.subroot, t.h AS root, sha256(x.proof) AS proof_sha256, x.cur AS folded_root, x.cur = t.h AS verified
+FROM xs{depth} x CROSS JOIN s{depth} t
+"""
+
+
+OP12 = _op12()
+
+# documents with equal sets are compared once; a set is its shingles in order, words joined by a blank
+OP13 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws FROM documents),
+d AS (SELECT r, doc_id, list_sort(list_distinct(
+        CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS shingles FROM w),
+n AS (SELECT shingles, row_number() OVER () AS node, len(shingles) AS size
+      FROM (SELECT DISTINCT shingles FROM d WHERE len(shingles) > 0)),
+s AS (SELECT node, size, unnest(shingles) AS s FROM n),
+e AS (SELECT a.node AS a, b.node AS b FROM s a JOIN s b ON a.s = b.s AND a.node <> b.node
+      AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size)
+      GROUP BY a.node, b.node, a.size, b.size HAVING 100 * count(*) >= 90 * (a.size + b.size - count(*))),
+reach AS (SELECT node AS a, node AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+least_id AS (SELECT node, min(doc_id) AS least FROM d JOIN n USING (shingles) GROUP BY node),
+comp AS (SELECT reach.a AS node, min(least_id.least) AS component_id FROM reach JOIN least_id ON least_id.node = reach.b GROUP BY reach.a)
+SELECT d.doc_id, len(d.shingles)::BIGINT AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (shingles) LEFT JOIN comp ON comp.node = n.node
+"""
+
+ORACLE: dict[str, str] = {"op5_mixing": OP5, "op6_quality": OP6, "op11_zone_clusters": OP11, "op12_merkle": OP12,
+                          "op13_fragment_join": OP13}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import chat, ctw, decontaminate, langid, licenses, mixing, near_dup, quality, rollup, toxicity
+from feira.llm import (chat, ctw, decontaminate, fragment_join, langid, licenses, merkle, mixing, near_dup, quality,
+                       rollup, toxicity, zone_clusters)
 from feira.llm._store import cut, scratch
 
 #: Vocabulary in rank format and its split pattern (fixed values); both are parameters of the operators.
@@ -94,6 +95,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("toxic", F.col("p_toxic") >= toxicity.REJECT)
 
 
+def op11_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clusters.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.check(merkle.document_leaves(_table(spark, sf_dir, "documents"), tampered))
+
+
+def op13_fragment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_join.linked(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_duplicates": op2_near_duplicates,
@@ -105,4 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_zone_clusters": op11_zone_clusters,
+    "op12_merkle": op12_merkle,
+    "op13_fragment_join": op13_fragment_join,
 }
