@@ -7,13 +7,13 @@ similarity of PERCENT / 100 or more, exactly, and returns the components.
    first. The estimate is the least of four upper bounds that come from two
    count sketches of fixed size: of the shingle and of its three words. Any
    order gives the same links; a better one gives fewer candidates.
-2. Documents with equal sets are one node (128-bit hash), so copies are
+2. Documents with equal sets (128-bit hash) are one node, so copies are
    never paired. A node is its size, its prefix (the rarest tenth: two similar
    sets share a token in their prefixes) and a parity bitmap of its tokens,
    about two bits a token: the Hamming distance of two bitmaps never exceeds
    the number of tokens that only one of the sets has.
-3. Candidates: nodes that share a prefix token. First every member of a
-   token's bucket meets the bucket's leader only; links found are contracted
+3. Candidates: nodes that share a prefix token; of these only the ones whose
+   sizes and positions allow a partner. First every member of a token's bucket meets the bucket's leader only; links found are contracted
    to components. Then the pairs of different components that share a token are
    compared inside the tasks, in blocks of BLOCK members, by position and
    bitmap; what may still be similar comes out. Both tests only drop pairs
@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from feira.llm import _text as T
 from feira.llm._filter import bit_filter, passes, unpacked
@@ -49,7 +50,7 @@ from feira.llm._store import cut
 WIDTH = 3
 PERCENT = 90
 FRAGMENTS = 4
-SKETCH_BITS = 18
+SKETCH_BITS = 17
 BLOCK = 256
 PARTNERS = 256
 LEVELS = 256  # steps of the estimated frequency in a token's top byte
@@ -102,7 +103,7 @@ def sketches(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
 
     sums = (map_arrow(texts.select("t"), count, "bucket int, n long")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())  # at most 2^19 rows
+            .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())  # at most 2^18 rows
     out = np.zeros(2 * size, np.int64)
     out[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     return out
@@ -150,12 +151,12 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 
 def _signatures(rows: DataFrame, levels) -> DataFrame:
-    """(doc_id, text_key, node, n, prefix, bits) of every row, and one row a
-    task whose ``prefix`` counts its tokens by level (node and doc_id null, n -1)."""
+    """(doc_id, text_key, key, n, prefix, bits) of every row, ``key`` the set's
+    hash; and one row a task whose ``prefix`` counts its tokens by level (key and doc_id null, n -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(LEVELS, np.int64)
-        names = ["doc_id", "text_key", "node", "n", "prefix", "bits"]
+        names = ["doc_id", "text_key", "key", "n", "prefix", "bits"]
         for batch in batches:
             for part in T.slices(batch, "t"):
                 token, text = token_sets(part.column("t"), levels.value)
@@ -163,28 +164,26 @@ def _signatures(rows: DataFrame, levels) -> DataFrame:
                 n = np.bincount(text, minlength=part.num_rows).astype(np.int64)
                 start = np.concatenate([[0], np.cumsum(n)])
                 has = np.flatnonzero(n)
-                node, bits = [None] * part.num_rows, [None] * part.num_rows
+                keys, bits = [None] * part.num_rows, [None] * part.num_rows
                 if len(has):
                     one = np.add.reduceat(T.mix(token ^ np.uint64(0xA5A5A5A5)), start[has])
                     two = np.add.reduceat(T.mix(token + np.uint64(0x632BE59BD9B4E019)), start[has])
-                    for i, key in zip(has.tolist(), np.column_stack([one, two]).tolist()):
-                        node[i] = key[0].to_bytes(8, "big") + key[1].to_bytes(8, "big")
+                    for i, (x, y) in zip(has.tolist(), np.column_stack([one, two]).tolist()):
+                        keys[i] = x.to_bytes(8, "big") + y.to_bytes(8, "big")
                         bits[i] = bitmap(token[start[i]:start[i + 1]]).tobytes()
                 p = np.where(n > 0, prefix_length(n), 0)
                 at = np.repeat(start[:-1], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]), pa.int32()),
                                                   pa.array(T.signed(token[at].copy())))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(node, pa.binary()), pa.array(n),
+                    [part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array(n),
                      prefix, pa.array(bits, pa.binary())], names)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(1, id_arrow), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([-1], pa.int64()),
              pa.array([weight.tolist()], pa.list_(pa.int64())), pa.nulls(1, pa.binary())], names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_arrow = to_arrow_type(rows.schema["doc_id"].dataType)
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, node binary, "
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, key binary, "
                                 "n long, prefix array<long>, bits binary")
 
 
@@ -224,7 +223,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, levels, cuts: np.ndarray) ->
 
     some = map_arrow(texts.select("text_key", "t"), pick, "text_key long, t string")
     own = some.join(wanted, "text_key").dropDuplicates(["node"]).select("node", "t")
-    return map_arrow(own, split, "node binary, fragment int, tokens binary")
+    return map_arrow(own, split, "node long, fragment int, tokens binary")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -235,7 +234,7 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
              .select("lead", "member", F.pmod(F.xxhash64("member"), groups).alias("part")))
     leads = (dealt.select("lead", "part").distinct()
              .join(segments.withColumnRenamed("node", "lead"), "lead")
-             .select("lead", "part", "fragment", F.lit(None).cast("binary").alias("member"), "tokens"))
+             .select("lead", "part", "fragment", F.lit(None).cast("long").alias("member"), "tokens"))
     members = (dealt.join(segments.withColumnRenamed("node", "member"), "member")
                .select("lead", "part", "fragment", "member", "tokens"))
     place = ["lead", "part", "fragment"]
@@ -256,10 +255,10 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
                     out.append((lead, member, int((own[at] == tokens).sum())))
             if out:
                 a, b, n = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())],
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())],
                                                  ["lead", "member", "overlap"])
 
-    return (map_arrow(rows, run, "lead binary, member binary, overlap long")
+    return (map_arrow(rows, run, "lead long, member long, overlap long")
             .groupBy("lead", "member").agg(F.sum("overlap").alias("overlap")))
 
 
@@ -316,7 +315,54 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     joined = (pairs.join(side("member"), "member").join(side("lead"), "lead")
               .select("lead", "member", "n_lead", "n_member", "bits_lead", "bits_member"))
-    return map_arrow(joined, run, "lead binary, member binary")
+    return map_arrow(joined, run, "lead long, member long")
+
+
+def _in_play(members: DataFrame) -> DataFrame:
+    """The members (token, crowd, node, n, pos) whose positions allow a partner
+    in their bucket, ``crowd`` counted anew. Buckets of more than BLOCK members come out whole, dealt over many tasks."""
+
+    def partnered(rows: pa.Table) -> pa.RecordBatch:
+        token, crowd, n = (rows[c].to_numpy() for c in ("token", "crowd", "n"))
+        left = n - rows["pos"].to_numpy()
+        found = crowd > BLOCK
+        i = np.flatnonzero(~found)
+        for step in range(1, len(token)):  # every row with the one ``step`` rows on, while that is in its bucket
+            i = i[i + step < len(token)]
+            i = i[token[i] == token[i + step]]
+            if not len(i):
+                break
+            j = i + step
+            good = np.minimum(left[i], left[j]) * (100 + PERCENT) >= needed(n[i] + n[j])
+            found[i[good]] = True
+            found[j[good]] = True
+        kept = rows.filter(pa.array(found)).combine_chunks()
+        token, crowd = token[found], crowd[found]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(token)))
+        crowd = np.where(crowd > BLOCK, crowd, np.repeat(size, size))
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(crowd), *(kept[c].combine_chunks() for c in ("node", "n", "pos"))],
+                                          ["token", "crowd", "node", "n", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            waiting = table if waiting is None else pa.concat_tables([waiting, table])
+            token = waiting["token"].to_numpy()
+            if not len(token):
+                continue
+            whole = int(np.searchsorted(token, token[-1])) if waiting["crowd"][-1].as_py() <= BLOCK else len(token)
+            if whole:
+                yield partnered(waiting.slice(0, whole))
+                waiting = waiting.slice(whole)
+        if waiting is not None and len(waiting):
+            yield partnered(waiting)
+
+    salt = F.when(F.col("crowd") > BLOCK, F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / BLOCK))).otherwise(0)
+    dealt = (members.select("token", F.col("crowd"), "node", "n", F.col("pos").cast("long").alias("pos"), salt.alias("salt"))
+             .repartition("token", "salt").sortWithinPartitions("token").drop("salt"))
+    return map_arrow(dealt, run, "token long, crowd long, node long, n long, pos long")
 
 
 def _pairs_in_blocks(members: DataFrame) -> DataFrame:
@@ -330,7 +376,7 @@ def _pairs_in_blocks(members: DataFrame) -> DataFrame:
     place = ["token", "i", "j"]
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        n, comp = rows["n"].to_numpy(), rows["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
+        n, comp, node = rows["n"].to_numpy(), rows["comp"].to_numpy(), rows["node"].to_numpy()
         left = n - rows["pos"].to_numpy()  # tokens from the shared one on
         if rows["i"][0].as_py() == rows["j"][0].as_py():
             a, b = np.triu_indices(len(n), 1)
@@ -342,8 +388,7 @@ def _pairs_in_blocks(members: DataFrame) -> DataFrame:
         if len(a):
             good = _may_be_similar(a, b, n, _words64(rows["bits"].to_pylist()))
             a, b = a[good], b[good]
-        node = rows["node"].combine_chunks()
-        return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["lead", "member"])
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["lead", "member"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -362,15 +407,23 @@ def _pairs_in_blocks(members: DataFrame) -> DataFrame:
         if waiting:
             yield compare(pa.Table.from_batches(waiting))
 
-    out = map_arrow(dealt.repartition(*place).sortWithinPartitions(*place), run, "lead binary, member binary")
+    out = map_arrow(dealt.repartition(*place).sortWithinPartitions(*place), run, "lead long, member long")
     return out.select(F.least("lead", "member").alias("lead"), F.greatest("lead", "member").alias("member")).distinct()
 
 
 def _node_components(drawn: DataFrame, texts: DataFrame, levels, cuts: np.ndarray) -> DataFrame:
     """(node, component) of the nodes that have a link; drawn: (node, text_key, n, prefix, bits)."""
     band = drawn.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    crowded = band.groupBy("token").agg(F.count("*").alias("crowd")).filter("crowd > 1")
-    members = cut(band.join(crowded, "token"))
+    crowded = cut(band.groupBy("token").agg(F.count("*").alias("crowd")).filter("crowd > 1"))
+    packed = drawn.sparkSession.sparkContext.broadcast(bit_filter(crowded.select(F.col("token").alias("hash"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = unpacked(packed.value)
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits, batch.column("token").to_numpy().view(np.uint64))))
+
+    some = map_arrow(band, pick, "node long, n long, pos int, token long")
+    members = cut(_in_play(some.join(crowded, "token")))
     popular = members.groupBy("node").agg(F.sum("crowd").alias("met"))
     lead = (members.join(popular, "node").groupBy("token")
             .agg(F.max(F.struct("met", "node", "n", "pos")).alias("lead")))
@@ -400,10 +453,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     order = np.zeros(LEVELS, np.int64)
     for r in weight:
         order[r["level"]] = r["w"]
-    drawn = cut(signed.filter("node IS NOT NULL").dropDuplicates(["node"]).drop("doc_id"))
+    drawn = cut(signed.filter("key IS NOT NULL").dropDuplicates(["key"])
+                .select(F.monotonically_increasing_id().alias("node"), "key", "text_key", "n", "prefix", "bits"))
     comp = cut(_node_components(drawn, rows.select("text_key", "t"), levels, pivots(order)))
-    keyed = (signed.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(comp, "node", "left")
-             .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("comp")))
+    comp = drawn.select("key", "node").join(comp, "node", "left").select("key", F.coalesce("component", "node").alias("comp"))
+    keyed = (signed.filter("n >= 0").select("doc_id", F.col("n").alias("n_shingles"), "key").join(comp, "key", "left")
+             .drop("key"))
     least = keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return (keyed.join(least, "comp", "left")
             .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
