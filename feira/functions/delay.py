@@ -3,8 +3,8 @@
 The analyses receive ``Delay`` as a signed duration (negative = late) in
 whatever form the upstream cleaning produced: a pandas ``timedelta`` (an
 interval here), pandas' or Python's text form (``-8 days +07:32:10``,
-``-1 day, 22:00:00``), ISO 8601 (``P1DT2H``), number + unit text
-(``1d2h``) or a plain number. ``normalize_delay`` turns each form into
+``-1 day, 22:00:00``), ISO 8601 (``P1DT2H``), number + unit text in any order
+(``2h1d``, ``10 hours 2:00:00``) or a plain number. ``normalize_delay`` turns each form into
 ``delay_ns`` (bigint, exact, pandas' own unit) and a ``Delay`` day-time
 interval (microseconds, truncated toward zero). Lateness is classified from
 ``delay_ns`` so sub-microsecond numeric delays keep their sign.
@@ -24,46 +24,43 @@ NS_PER_DAY = 86_400 * NS_PER_SECOND
 UNIT_NS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": NS_PER_SECOND,
            "m": 60 * NS_PER_SECOND, "h": 3_600 * NS_PER_SECOND, "D": NS_PER_DAY}
 
-# Fixed patterns of the accepted text forms.
-# pandas: optional sign, optional "<d> day(s)", optional "[+]hh:mm:ss[.f]".
-# With a day part the sign belongs to the days only ("-1 days +22:00:00" is
-# -2 hours); without one it applies to the time.
-PANDAS_FORM = r"([+-]?)(?:(\d+) days?,?)?(?: ?\+?(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?)?"
+# pandas' own str(Timedelta) layout, by far the common input: parsed with
+# fixed-position substrings after one match. The sign belongs to the days only
+# ("-1 days +22:00:00" is -2 hours).
+STRICT_PANDAS = r"^-?\d{1,5} days \+?\d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
 # ISO 8601 duration as pandas reads it: a leading "-" negates everything; a
 # sign right after "P" (or "PT") belongs to the first component only
 # ("P-1DT2H" is -22 hours, pandas' own isoformat() of negative durations);
 # weeks allowed; hours and minutes at most two digits.
-ISO_FORM = (r"(-?)P([+-]?)(?:(\d+)W)?(?:(\d+)D)?(?:T([+-]?))?"
-            r"(?:(\d{1,2})H)?(?:(\d{1,2})M)?(?:(\d+)(?:\.(\d{1,9}))?S)?")
-# a bare integer: nanoseconds
-INTEGER_FORM = r"([+-]?\d{1,19})"
-# number + unit components ("1d2h3m", "1.5h", "1 day 2 hours") in the order
-# weeks, days, hours, minutes, seconds, ms, us, ns; a leading "-" negates all
-_NUM = r"(\d+(?:\.\d+)?)\s*"
-UNIT_WORDS = [
-    ("w", r"w(?![a-z])"),
-    ("D", r"(?:days?|d)(?![a-z])"),
-    ("h", r"(?:hours?|hrs?|h)(?![a-z])"),
-    ("m", r"(?:minutes?|mins?|min|m|t)(?![a-z])"),
-    ("s", r"(?:seconds?|secs?|sec|s)(?![a-z])"),
-    ("ms", r"(?:milliseconds?|millis?|ms|l)(?![a-z])"),
-    ("us", r"(?:microseconds?|micros?|us|u|µs)(?![a-z])"),
-    ("ns", r"(?:nanoseconds?|nanos?|ns|n)(?![a-z])"),
-]
-UNIT_FORM = r"(-?)\s*" + "".join(f"(?:{_NUM}{word}\\s*)?" for _, word in UNIT_WORDS)
-NULL_TEXTS = ["", "NaT", "nat", "NaN", "nan", "None"]
-# pandas' own str(Timedelta) layout, by far the common input: parsed with
-# fixed-position substrings after one match, without the general layout
-STRICT_PANDAS = r"^-?\d+ days \+?\d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
-
-# All forms in one anchored, case-insensitive alternation (groups 1-6 pandas,
-# 7-15 ISO, 16 integer, 17-25 unit form), so each value is matched by a
-# single regex evaluation; the replacement lays the groups out behind a
-# marker for one ``split``.
-ANY_FORM = f"(?i)^(?:{PANDAS_FORM}|{ISO_FORM}|{INTEGER_FORM}|{UNIT_FORM})$"
+ISO_FORM = (r"(-?)P([+-]?)(?:(\d{1,5})W)?(?:(\d{1,6})D)?(?:T([+-]?))?"
+            r"(?:(\d{1,2})H)?(?:(\d{1,2})M)?(?:(\d{1,9})(?:\.(\d{1,9}))?S)?")
 _MARK = "#"
-_GROUPS = 25
-_LAYOUT = _MARK + "|" + "|".join(f"${i}" for i in range(1, _GROUPS + 1))
+_ISO_LAYOUT = _MARK + "|" + "|".join(f"${i}" for i in range(1, 10))
+
+# Free form, after blanks, commas and plus signs (which mean nothing) are
+# taken out: an optional leading minus, any number of number + unit parts in any
+# order, and at most one clock, at the end; letters after a clock are ignored.
+# The minus applies to every part, but to the clock only if it stands alone.
+_NUMBER = r"\d+(?:\.+\d*)?"
+_LETTERS = "[A-Za-z\u00b5]"
+_CLOCK = r"\d{1,9}:\d{1,9}:\d{1,9}(?:\.\d+)?"
+FREE_FORM = rf"^-?(?:{_NUMBER}{_LETTERS}+)*(?:\d{{1,9}}:\d{{1,9}}:\d{{1,9}}(?:\.\d+|{_LETTERS}*))?$"
+INTEGER_FORM = r"^-?\d{1,19}$"
+# The words for a unit, in any case ("M" alone would be months).
+UNIT_WORDS = {
+    "w": ["w"],
+    "D": ["d", "day", "days"],
+    "h": ["h", "hr", "hour", "hours"],
+    "m": ["m", "t", "min", "minute", "minutes"],
+    "s": ["s", "sec", "second", "seconds"],
+    "ms": ["ms", "l", "milli", "millis", "millisecond", "milliseconds"],
+    "us": ["us", "\u00b5s", "u", "micro", "micros", "microsecond", "microseconds"],
+    "ns": ["ns", "n", "nano", "nanos", "nanosecond", "nanoseconds"],
+}
+# Text that means no duration.
+NULL_TEXTS = ["", "NaT", "nat", "NAT", "nan", "NaN", "NAN"]
+_ROUNDED = ["s", "ms", "us"]  # units whose parts are rounded to a whole nanosecond; the others are cut
+_TOTAL = "decimal(38,0)"
 
 
 def _int(g: Column) -> Column:
@@ -71,22 +68,8 @@ def _int(g: Column) -> Column:
 
 
 def _frac_ns(g: Column) -> Column:
-    return F.when(g == "", F.lit(0).cast("long")).otherwise(F.rpad(g, 9, "0").cast("long"))
-
-
-def _sign(g: Column) -> Column:
-    return F.when(g == "-", F.lit(-1)).otherwise(F.lit(1))
-
-
-def _parse_stage(text: Column) -> Column:
-    """struct(t, strict, g): trimmed text; whether it has pandas' exact
-    str(Timedelta) layout; otherwise, when it matches one accepted form, the
-    array [marker, g1 … g25] ('' for groups that did not take part)."""
-    t = F.trim(text)
-    strict = t.rlike(STRICT_PANDAS)
-    laid_out = F.regexp_replace(t, ANY_FORM, _LAYOUT)
-    general = F.when(~t.contains("|") & laid_out.startswith(_MARK + "|"), F.split(laid_out, r"\|", -1))
-    return F.struct(t.alias("t"), strict.alias("strict"), F.when(~strict, general).alias("g"))
+    """Digits after the point as nanoseconds; digits beyond the ninth are cut."""
+    return F.when(g == "", F.lit(0).cast("long")).otherwise(F.rpad(F.substring(g, 1, 9), 9, "0").cast("long"))
 
 
 def _strict_ns(t: Column) -> Column:
@@ -99,85 +82,96 @@ def _strict_ns(t: Column) -> Column:
     return days * NS_PER_DAY + hms + _frac_ns(F.substring(clock, 10, 9))
 
 
-def _forms(s: Column):
-    t, g = s.getField("t"), s.getField("g")
-    strict = s.getField("strict")
-    grp = lambda i: g.getItem(i)  # noqa: E731  (group i of the pattern; item 0 is the marker)
+def _iso_ns(g: Column) -> Column:
+    """From the groups of ISO_FORM (item 0 is the marker); null if they make no duration."""
+    grp = lambda i: g.getItem(i)
     present = lambda i: grp(i) != ""
-    is_null = t.isNull() | t.isin(NULL_TEXTS)
-    pandas_ok = g.isNotNull() & (present(2) | present(3))
-    iso_date, iso_time = present(9) | present(10), present(12) | present(13) | present(14)
-    iso_ok = (g.isNotNull() & (iso_date | iso_time)
-              & (~present(8) | iso_date)                  # a sign after P needs a date component
-              & (~present(11) | (~iso_date & iso_time)))  # a sign after T only on the first component
-    int_ok = g.isNotNull() & present(16)
-    unit_ok = g.isNotNull() & _any_present(present, range(18, 26))
-    return t, grp, is_null, pandas_ok | strict, iso_ok, int_ok, unit_ok
-
-
-def _any_present(present, groups) -> Column:
-    out = None
-    for i in groups:
-        out = present(i) if out is None else out | present(i)
-    return out
-
-
-def _unit_ns(grp) -> Column:
-    """Σ number × unit, exact in decimal, truncated to whole nanoseconds."""
-    total = None
-    for i, (unit, _) in enumerate(UNIT_WORDS):
-        g = grp(18 + i)
-        part = F.when(g == "", F.lit(0).cast("decimal(38,9)")).otherwise(
-            g.cast("decimal(38,9)") * F.lit(UNIT_NS[unit] if unit != "w" else 7 * NS_PER_DAY))
-        total = part if total is None else total + part
-    ns = total.cast("long")
-    return F.when(grp(17) == "-", -ns).otherwise(ns)
-
-
-def _time_ns(grp, first: int) -> Column:
-    h, m, s, frac = (grp(first + i) for i in range(4))
-    return (((_int(h) * 60 + _int(m)) * 60 + _int(s)) * NS_PER_SECOND) + _frac_ns(frac)
-
-
-def _iso_ns(grp) -> Column:
-    parts = [_int(grp(9)) * (7 * NS_PER_DAY), _int(grp(10)) * NS_PER_DAY, _int(grp(12)) * (3600 * NS_PER_SECOND),
-             _int(grp(13)) * (60 * NS_PER_SECOND), _int(grp(14)) * NS_PER_SECOND + _frac_ns(grp(15))]
-    first = (F.when(grp(9) != "", parts[0]).when(grp(10) != "", parts[1]).when(grp(12) != "", parts[2])
-             .when(grp(13) != "", parts[3]).otherwise(parts[4]))
-    inner_negative = (grp(8) == "-") | (grp(11) == "-")
+    date, time = present(3) | present(4), present(6) | present(7) | present(8)
+    valid = ((date | time) & (~present(2) | date)      # a sign after P needs a date component
+             & (~present(5) | (~date & time)))         # a sign after T only on the first component
+    scaled = lambda i, ns: (_int(grp(i)).cast(_TOTAL) * ns).cast(_TOTAL)
+    parts = [scaled(3, 7 * NS_PER_DAY), scaled(4, NS_PER_DAY), scaled(6, 3600 * NS_PER_SECOND), scaled(7, 60 * NS_PER_SECOND),
+             scaled(8, NS_PER_SECOND) + _frac_ns(grp(9)).cast(_TOTAL)]
+    first = (F.when(present(3), parts[0]).when(present(4), parts[1]).when(present(6), parts[2])
+             .when(present(7), parts[3]).otherwise(parts[4]))
     total = parts[0] + parts[1] + parts[2] + parts[3] + parts[4]
-    signed = F.when(inner_negative, total - 2 * first).otherwise(total)  # only the first component flips
-    return F.when(grp(7) == "-", -signed).otherwise(signed)
+    signed = F.when((grp(2) == "-") | (grp(5) == "-"), total - 2 * first).otherwise(total)  # only the first flips
+    return F.when(valid, F.when(grp(1) == "-", -signed).otherwise(signed).cast(_TOTAL))
+
+
+def _units() -> Column:
+    """Unit word -> (nanoseconds, whether its parts are rounded)."""
+    entries = []
+    for unit, names in UNIT_WORDS.items():
+        ns = 7 * NS_PER_DAY if unit == "w" else UNIT_NS[unit]
+        for name in names:
+            entries += [F.lit(name), F.struct(F.lit(ns).cast("decimal(16,0)").alias("ns"), F.lit(unit in _ROUNDED).alias("round"))]
+    return F.create_map(*entries)
+
+
+def _part_ns(number: Column, word: Column) -> Column:
+    """One number + unit part in whole nanoseconds; null if the unit is unknown or the part is out of range."""
+    unit = F.when(word != "M", F.try_element_at(_units(), F.lower(word)))
+    n = F.regexp_replace(number, r"\.+", ".").try_cast("decimal(38,12)")
+    near = n.cast("double") * unit["ns"].cast("double")
+    exact = n * unit["ns"]
+    return F.when(near < 1e19, F.when(unit["round"], F.round(exact, 0)).otherwise(F.floor(exact)).cast(_TOTAL))
+
+
+def _free_ns(u: Column) -> Column:
+    """Sum of the parts of a text in free form (``u``: without blanks, commas and plus signs)."""
+    one = rf"({_NUMBER})({_LETTERS}+)"
+    parts = F.regexp_extract(u, rf"^-?((?:{_NUMBER}{_LETTERS}+)*)", 1)
+    each = F.zip_with(F.regexp_extract_all(parts, F.lit(one), 1), F.regexp_extract_all(parts, F.lit(one), 2), _part_ns)
+    total = F.aggregate(each, F.lit(0).cast(_TOTAL), lambda acc, x: (acc + x).cast(_TOTAL))
+    clock = F.split(F.regexp_extract(u, rf"({_CLOCK}){_LETTERS}*$", 1), "[:.]")
+    item = lambda i: F.coalesce(F.try_element_at(clock, F.lit(i)), F.lit(""))
+    seconds = (_int(item(1)) * 60 + _int(item(2))) * 60 + _int(item(3))
+    clock_ns = (seconds.cast("decimal(20,0)") * NS_PER_SECOND).cast(_TOTAL) + _frac_ns(item(4)).cast(_TOTAL)
+    minus = u.startswith("-")
+    signed_parts = F.when(minus, -total).otherwise(total)
+    signed_clock = F.when(minus & (parts == ""), -clock_ns).otherwise(clock_ns)
+    return (signed_parts + signed_clock).cast(_TOTAL)
+
+
+def _parse_stage(text: Column) -> Column:
+    """struct(t, strict, iso, free): trimmed text; whether it has pandas'
+    exact str(Timedelta) layout; otherwise the groups of an ISO duration, or
+    the text without blanks, commas and plus signs if it has the free form."""
+    t = F.trim(text)
+    strict = F.coalesce(t.rlike(STRICT_PANDAS), F.lit(False))
+    is_iso = t.rlike("^-?P")
+    laid_out = F.regexp_replace(t, f"^{ISO_FORM}$", _ISO_LAYOUT)
+    iso = F.when(~t.contains("|") & laid_out.startswith(_MARK + "|"), F.split(laid_out, r"\|", -1))
+    bare = F.regexp_replace(t, "[ ,+]", "")
+    free = F.when(bare.rlike(FREE_FORM) | bare.rlike(INTEGER_FORM), F.when(bare.rlike("[0-9]"), bare))
+    return F.struct(t.alias("t"), strict.alias("strict"), F.when(~strict & is_iso, iso).alias("iso"),
+                    F.when(~strict & ~is_iso, free).alias("free"))
 
 
 def _ns_from_stage(s: Column) -> Column:
-    t, grp, is_null, pandas_ok, iso_ok, int_ok, unit_ok = _forms(s)
-    p_time = _time_ns(grp, 3)
-    pandas_ns = F.when(grp(2) != "", _sign(grp(1)) * _int(grp(2)) * NS_PER_DAY + p_time
-                       ).otherwise(_sign(grp(1)) * p_time)
-    return (F.when(is_null, F.lit(None).cast("long"))
-            .when(s.getField("strict"), _strict_ns(t))
-            .when(pandas_ok, pandas_ns)
-            .when(iso_ok, _iso_ns(grp))
-            .when(int_ok, grp(16).cast("long"))
-            .when(unit_ok, _unit_ns(grp)))
+    """Nanoseconds; null for a text that means none and for a malformed one."""
+    t, free = s.getField("t"), s.getField("free")
+    total = (F.when(s.getField("iso").isNotNull(), _iso_ns(s.getField("iso")))
+             .when(free.rlike(INTEGER_FORM), free.try_cast(_TOTAL))
+             .when(free.isNotNull(), _free_ns(free)))
+    return F.when(s.getField("strict"), _strict_ns(t)).when(~t.isin(NULL_TEXTS), total.try_cast("long"))
 
 
-def _malformed_from_stage(s: Column) -> Column:
-    _t, _grp, is_null, pandas_ok, iso_ok, int_ok, unit_ok = _forms(s)
-    return ~is_null & ~pandas_ok & ~iso_ok & ~int_ok & ~unit_ok
+def _malformed(text: Column, ns: Column) -> Column:
+    return text.isNotNull() & ~F.trim(text).isin(NULL_TEXTS) & ns.isNull()
 
 
 def parse_delay_text(text: Column) -> tuple[Column, Column]:
     """Return ``(ns, malformed)`` for a text column.
 
     ``ns`` is null for null / empty / ``NaT`` text and for malformed text;
-    ``malformed`` is true only for non-empty text matching no accepted form.
-    ``normalize_delay`` evaluates the regex stage once per row; used directly
-    this is still correct.
+    ``malformed`` is true only for non-empty text of no accepted form or beyond
+    the range of nanoseconds in a long (about 292 years). ``normalize_delay``
+    evaluates the parse once per row; used directly this is still correct.
     """
-    stage = _parse_stage(text)
-    return _ns_from_stage(stage), _malformed_from_stage(stage)
+    ns = _ns_from_stage(_parse_stage(text))
+    return ns, _malformed(text, ns)
 
 
 def interval_to_ns(c: Column) -> Column:
@@ -228,21 +222,17 @@ def normalize_delay(df: DataFrame, column: str = "Delay", unit: str = "ns",
     if isinstance(dtype, T.DayTimeIntervalType):
         ns = interval_to_ns(c)
     elif isinstance(dtype, T.StringType):
-        # The regex work runs in its own projection (trimmed text, then the
-        # group arrays), and ``delay_ns`` is bound once per row behind a
-        # one-element ``inline``: a filter on ``delay_ns`` downstream is then
-        # evaluated on the bound value instead of being pushed below and
-        # re-expanding the whole parse at every reference.
-        df = (df.withColumn("_delay_text", F.trim(c))
-                .withColumn("_delay_parse", _parse_stage(F.col("_delay_text"))))
-        stage = F.col("_delay_parse")
-        ns = _ns_from_stage(stage)
+        # The regex work runs in its own projection, and ``delay_ns`` is
+        # bound once per row behind a one-element ``inline``: a filter on
+        # ``delay_ns`` downstream is then evaluated on the bound value instead
+        # of being pushed below and re-expanding the whole parse at every reference.
+        df = df.withColumn("_delay_parse", _parse_stage(c))
+        ns = _ns_from_stage(F.col("_delay_parse"))
+        bound = df.select("*", F.inline(F.array(F.struct(ns.cast("long").alias("delay_ns"))))).drop("_delay_parse")
         if on_error == "fail":
-            ns = F.when(_malformed_from_stage(stage), F.raise_error(
-                F.concat(F.lit(f"cannot convert {column} to a duration: "), c))).otherwise(ns)
-        bound = df.select("*", F.inline(F.array(F.struct(ns.cast("long").alias("delay_ns")))))
-        return (bound.drop("_delay_text", "_delay_parse")
-                .withColumn(column, ns_to_interval(F.col("delay_ns"))))
+            bound = bound.withColumn("delay_ns", F.when(_malformed(c, F.col("delay_ns")), F.raise_error(
+                F.concat(F.lit(f"cannot convert {column} to a duration: "), c))).otherwise(F.col("delay_ns")))
+        return bound.withColumn(column, ns_to_interval(F.col("delay_ns")))
     elif isinstance(dtype, T.NumericType):
         ns = numeric_to_ns(c, dtype, unit)
     else:

@@ -11,7 +11,8 @@ plain distributed DataFrame job over the same inputs.
 * D5 purchase-to-shipping-limit stage duration: histogram in whole days with
   exact nearest-rank quantiles read from it.
 * D6 delay severity: late orders per delay class (heat-map delay bins).
-* D7 stage-wise delay patterns: the heat map once per ``*_PCT`` column.
+* D7 stage-wise delay patterns: the heat map of every ``*_PCT`` column, in
+  one pass (``feira.operators.stages``, as are D5 in seconds and D8 by levels).
 * D8 delivery success / on-time rates per state and per purchase month.
 * D9 category revenue share and rank.
 """
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from feira.functions.bins import DEFAULT_DELAY_RANGES, edges_from_ranges, label_of, range_labels, right_closed_bin
 from feira.functions.numeric import EXACT, exact, safe_ratio
 from feira.operators.delivery import DELIVERED, NOT_DELIVERED
-from feira.operators.heatmap import _with_delay_days, heatmap_long
-from feira.operators.ranking import with_global_position
+from feira.operators.heatmap import with_delay_days
+from feira.operators.ranking import ranked_by
+from feira.operators.stages import stage_heatmaps  # noqa: F401  (D7)
 
 
 def exact_revenue_by(detailed: DataFrame, key: str, metric: str = "Total") -> DataFrame:
@@ -43,7 +45,7 @@ def _money_ratio(num: str, den: str):
 
 
 def _ranked(detailed: DataFrame, key: str) -> DataFrame:
-    return with_global_position(exact_revenue_by(detailed, key), [F.desc("_exact"), F.asc(key)], "_exact")
+    return ranked_by(exact_revenue_by(detailed, key), "_exact", key)
 
 
 def vendor_segments(detailed: DataFrame, segments: int = 10) -> DataFrame:
@@ -103,7 +105,7 @@ def state_order_share(orders: DataFrame) -> DataFrame:
     counted per state."""
     per_state = (orders.filter(F.col("customer_state").isNotNull()).groupBy("customer_state")
                  .agg(F.count_distinct("order_id").alias("orders")))
-    r = with_global_position(per_state, [F.desc("orders"), F.asc("customer_state")], "orders")
+    r = ranked_by(per_state, "orders", "customer_state")
     return r.select(F.col("customer_state").alias("state"), "orders", F.col("position").alias("rank"),
                     safe_ratio(F.col("orders"), F.col("total_value")).alias("share"))
 
@@ -179,24 +181,12 @@ def delay_severity(delayed: DataFrame, delay_day_ranges: Sequence[tuple] | None
     every class), most severe first."""
     ranges = list(delay_day_ranges or DEFAULT_DELAY_RANGES)
     edges, labels = edges_from_ranges(ranges), range_labels(ranges)
-    binned = _with_delay_days(delayed).select(right_closed_bin(F.col("delay_days"), edges).alias("d_idx"))
+    binned = with_delay_days(delayed).select(right_closed_bin(F.col("delay_days"), edges).alias("d_idx"))
     return (binned.groupBy("d_idx").agg(F.count(F.lit(1)).alias("orders"))
             .orderBy(F.asc_nulls_last("d_idx"))
             .select(label_of(F.col("d_idx"), labels).alias("delay_bin"), "orders"))
 
 
-def stage_heatmaps(delayed: DataFrame, delay_day_ranges: Sequence[tuple] | None = None) -> DataFrame:
-    """The long heat map once per ``*_PCT`` column, tagged ``stage``."""
-    stages = [c for c in delayed.columns if c.endswith("_PCT")]
-    if not stages:
-        raise ValueError("no *_PCT stage columns")
-    out = None
-    for stage in stages:
-        part = heatmap_long(delayed, stage, delay_day_ranges).select(F.lit(stage).alias("stage"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def success_rates(orders: DataFrame, by: str = "state") -> DataFrame:
     """Per state (``by='state'``) or purchase month (``by='month'``):
     rows with a delay, delivered, on-time delivered, delivery_rate and

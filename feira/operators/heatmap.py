@@ -14,7 +14,7 @@ from feira.functions.delay import delay_days, normalize_delay
 N_PCT = len(PCT_EDGES) - 1
 
 
-def _with_delay_days(delayed: DataFrame) -> DataFrame:
+def with_delay_days(delayed: DataFrame) -> DataFrame:
     if "delay_days" in delayed.columns:
         return delayed
     if "delay_ns" in delayed.columns:
@@ -37,7 +37,7 @@ def heatmap_grid(delayed: DataFrame, pct_col: str = "Site_Real_PCT",
     """
     ranges = list(delay_day_ranges or DEFAULT_DELAY_RANGES)
     edges, labels, p_labels = edges_from_ranges(ranges), range_labels(ranges), pct_labels()
-    rows = _with_delay_days(delayed).select(
+    rows = with_delay_days(delayed).select(
         right_closed_bin(F.col("delay_days"), edges).alias("d_idx"),
         right_closed_bin(F.col(pct_col), PCT_EDGES).alias("p_idx"))
     skeleton = delayed.sparkSession.range(len(ranges)).select(

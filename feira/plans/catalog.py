@@ -17,6 +17,7 @@ from feira.operators import delivery as D
 from feira.operators import extras as X
 from feira.operators import feeds as FD
 from feira.operators import revenue as R
+from feira.operators import stages as ST
 from feira.operators.geo import geo_feed
 from feira.operators.heatmap import heatmap_cell_text, heatmap_grid, heatmap_long
 from feira.operators.trend import daily_orders, daily_trend
@@ -311,3 +312,81 @@ def q_state_success_rates(spark, sf_dir):
 @query("monthly_success_rates")
 def q_monthly_success_rates(spark, sf_dir):
     return X.success_rates(orders(spark, sf_dir), "month")
+
+
+# ------------------------------------------- other data, other forms
+
+@query("delay_text_forms")
+def q_delay_text_forms(spark, sf_dir):
+    # eleven kinds of Delay text; what is no duration becomes null
+    return orders(spark, sf_dir, "forms", on_error="null").select("order_id", "delay_ns")
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.order_stages(spark, sf_dir)
+    return normalize_delay(rows.withColumn("Delay", F.col("delay_seconds") * F.expr("INTERVAL '1' SECOND")))
+
+
+# Parameters of the stage queries: name, start and end of each stage.
+STAGES = [("approval", "purchased_at", "approved_at"), ("handling", "approved_at", "carrier_at"),
+          ("delivery", "carrier_at", "delivered_at")]
+
+
+@query("stage_seconds_quantiles")
+def q_stage_seconds_quantiles(spark, sf_dir):
+    return ST.stage_quantiles(ST.stage_seconds(fixtures.order_stages(spark, sf_dir), STAGES))
+
+
+@query("stage_heatmaps_all")
+def q_stage_heatmaps_all(spark, sf_dir):
+    return ST.stage_heatmaps(D.delayed_orders(staged(spark, sf_dir), "All"))
+
+
+@query("delay_bins_by_range_set")
+def q_delay_bins_by_range_set(spark, sf_dir):
+    # each delivery status has ranges of its own
+    ranges = spark.createDataFrame(
+        [("Delivered", *r) for r in ((-30.0, -20.0), (-20.0, -10.0), (-10.0, -5.0), (-5.0, -2.0), (-2.0, 0.0))]
+        + [("Not_Delivered", *r) for r in ((-35.0, -28.0), (-28.0, -7.5), (-7.5, -1.0))], "range_set string, low double, high double")
+    return ST.delay_bins_by_set(D.delayed_orders(orders(spark, sf_dir), "All"), ranges, "Net_State")
+
+
+@query("success_rate_levels")
+def q_success_rate_levels(spark, sf_dir):
+    return ST.success_rate_levels(orders(spark, sf_dir, state=True))
+
+
+def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.prepare_data(fixtures.order_items(spark, sf_dir), fixtures.products_with_repeats(spark, sf_dir))
+
+
+@query("order_items_fan_out")
+def q_order_items_fan_out(spark, sf_dir):
+    # products with repeated and null ids: items fan out, null ids match null ids
+    return repeated(spark, sf_dir).select("order_id", "order_item_id", "product_id", "product_category_name",
+                                          "product_weight_g", "Total")
+
+
+@query("vendor_revenue_fan_out")
+def q_vendor_revenue_fan_out(spark, sf_dir):
+    return R.vendor_revenue(repeated(spark, sf_dir))
+
+
+def repeated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.seller_orders(spark, sf_dir, repeats=True)
+    return normalize_delay(rows.withColumn("Delay", F.col("delay_seconds") * F.expr("INTERVAL '1' SECOND")))
+
+
+@query("geo_orders_repeated")
+def q_geo_orders_repeated(spark, sf_dir):
+    return geo_feed(repeated_orders(spark, sf_dir), metric="orders")
+
+
+@query("geo_delayed_repeated")
+def q_geo_delayed_repeated(spark, sf_dir):
+    return geo_feed(repeated_orders(spark, sf_dir), metric="delayed")
+
+
+@query("daily_trend_repeated")
+def q_daily_trend_repeated(spark, sf_dir):
+    return daily_trend(fixtures.seller_orders(spark, sf_dir, state=False, repeats=True), "orders", window=7)

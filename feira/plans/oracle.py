@@ -122,7 +122,7 @@ heat AS (
   GROUP BY r.d_idx, b.delay_bin)"""
 
 
-def _geo(metric: str, where: str) -> str:
+def _geo(metric: str, where: str, table: str = "seller_orders", extra: str = "") -> str:
     if metric == "revenue":
         value, label = money("TOTAL"), "regexp_replace(format('{:,.2f}', value), '0$', '')"
     else:
@@ -134,7 +134,7 @@ SELECT j.state, j.state_name, j.lat, j.lon, j.value,
        ELSE 20.0 END AS DOUBLE) * CAST(1.0 AS DOUBLE) AS bubble_size,
   j.state || '<br>' || {label} AS label
 FROM (SELECT v.state, s.state_name, s.lat, s.lon, v.value FROM v JOIN states s ON v.state = s.state) j""",
-                 f"""v AS (SELECT customer_state AS state, {value} AS value FROM seller_orders
+                 extra + f"""v AS (SELECT customer_state AS state, {value} AS value FROM {table}
        WHERE customer_state IS NOT NULL {where} GROUP BY customer_state)""")
 
 
@@ -265,6 +265,7 @@ FROM daily""", daily)
 SELECT date, orders, AVG(orders) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS revenue_roll
 FROM daily""", daily)
     _extras(q)
+    _more(q)
     return q
 
 
@@ -355,3 +356,94 @@ FROM (SELECT {key}, COUNT(*) AS orders,
         COUNT(*) FILTER (WHERE Net_State = 'Not_Delivered') AS not_delivered,
         COUNT(*) FILTER (WHERE Net_State = 'Delivered' AND delay_seconds > 0) AS on_time_delivered
       FROM seller_orders WHERE delay_seconds IS NOT NULL GROUP BY 1) WHERE {alias} IS NOT NULL""")
+
+
+# written out here, not taken from the code under test
+_LATE_BINS = {"Delivered": ([-30, -20, -10, -5, -2, 0], ["-30\u2013-20", "-20\u2013-10", "-10\u2013-5", "-5\u2013-2", "-2\u20130"]),
+              "Not_Delivered": ([-35, -28, -7.5, -1], ["-35\u2013-28", "-28\u2013-7.5", "-7.5\u2013-1"])}
+_PCT_LABELS = ["0\u201310 %", "10\u201320 %", "20\u201330 %", "30\u201340 %", "40\u201350 %", "50\u201360 %", "60\u201370 %",
+               "70\u201380 %", "80\u201390 %", "90\u2013100 %"]
+_STAGE_ROWS = """
+stage_orders AS (
+  SELECT order_id, Net_State, delay_seconds, delay_days, Site_Real_PCT,
+    CASE WHEN order_id % 103 = 0 THEN NULL ELSE CAST((order_id * 17) % 1301 - 100 AS DOUBLE) / 10.0E0 END AS Carrier_Real_PCT,
+    CAST((order_id * 43) % 1001 AS DOUBLE) / 10.0E0 AS Client_Real_PCT,
+    CASE WHEN order_id % 71 = 0 THEN NULL ELSE (order_id * 7919) % 200003 + 17 END AS approved,
+    CASE WHEN order_id % 67 = 0 THEN NULL ELSE (order_id * 104729) % 900001 - 5000 END AS carrier,
+    CASE WHEN Net_State IS NULL OR Net_State = 'Not_Delivered' THEN NULL
+         ELSE (order_id * 15485863) % 4000037 + 86400 END AS delivered
+  FROM timed WHERE order_purchase_timestamp IS NOT NULL)"""
+_REPEATED_ORDERS = """
+repeated_orders AS (
+  SELECT * FROM seller_orders UNION ALL
+  SELECT * REPLACE (CASE WHEN order_id % 106 = 0 THEN order_purchase_timestamp
+                         ELSE order_purchase_timestamp + INTERVAL 1 DAY END AS order_purchase_timestamp)
+  FROM seller_orders WHERE order_id % 53 = 0)"""
+_REPEATED_PRODUCTS = """
+more_products AS (
+  SELECT * FROM products UNION ALL
+  SELECT * REPLACE ('Second' AS product_category_name, NULL AS product_weight_g) FROM products WHERE product_id % 29 = 0 UNION ALL
+  SELECT * REPLACE (NULL AS product_id, 'No id ' || product_id AS product_category_name) FROM products WHERE product_id <= 2),
+fanned AS (
+  SELECT oi.*, COALESCE(p.product_category_name, 'Others') AS product_category_name, p.product_weight_g,
+    oi.price + oi.freight_value AS Total
+  FROM order_items oi LEFT JOIN more_products p ON oi.product_id IS NOT DISTINCT FROM p.product_id)"""
+
+
+def _more(q: dict[str, str]) -> None:
+    q["delay_text_forms"] = _with("""
+SELECT order_id, CASE WHEN order_id % 11 IN (8, 9) THEN NULL ELSE CAST(delay_seconds AS BIGINT) * 1000000000 END AS delay_ns
+FROM seller_orders""")
+    q["stage_seconds_quantiles"] = _with(f"""
+SELECT stage, COUNT(*) AS n, {ratio('SUM(seconds)', 'COUNT(*)')} AS mean_seconds,
+  MIN(seconds) FILTER (WHERE r >= CEIL(n * 0.5)) AS p50_seconds, MIN(seconds) FILTER (WHERE r >= CEIL(n * 0.9)) AS p90_seconds,
+  MIN(seconds) FILTER (WHERE r >= CEIL(n * 0.99)) AS p99_seconds
+FROM (SELECT stage, CAST(seconds AS BIGINT) AS seconds, ROW_NUMBER() OVER (PARTITION BY stage ORDER BY seconds) AS r,
+             COUNT(*) OVER (PARTITION BY stage) AS n FROM (
+  SELECT 'approval' AS stage, approved AS seconds FROM stage_orders UNION ALL
+  SELECT 'handling', carrier - approved FROM stage_orders UNION ALL
+  SELECT 'delivery', delivered - carrier FROM stage_orders) WHERE seconds IS NOT NULL) GROUP BY stage""", _STAGE_ROWS)
+    edges, labels = _LATE_BINS["Delivered"]
+    place = _bin_case("CAST(delay_days AS DOUBLE)", edges)
+    bins = ", ".join(f"({i}, '{label}')" for i, label in enumerate(labels))
+    pcts = ", ".join(f"({i}, '{label}')" for i, label in enumerate(_PCT_LABELS))
+    q["stage_heatmaps_all"] = _with("""
+SELECT g.stage, g.delay_bin, g.pct_bin, COUNT(x.d) AS orders
+FROM (SELECT stage, d, delay_bin, p, pct_bin FROM (SELECT DISTINCT stage FROM late) CROSS JOIN (
+        SELECT d, delay_bin FROM bins UNION ALL SELECT NULL, NULL WHERE EXISTS (SELECT 1 FROM late WHERE d IS NULL)) CROSS JOIN pcts) g
+LEFT JOIN (SELECT stage, COALESCE(d, -1) AS d, p FROM late) x ON x.stage = g.stage AND x.d = COALESCE(g.d, -1) AND x.p = g.p
+GROUP BY g.stage, g.d, g.delay_bin, g.p, g.pct_bin""", _STAGE_ROWS + f""",
+bins(d, delay_bin) AS (VALUES {bins}), pcts(p, pct_bin) AS (VALUES {pcts}),
+late AS (""" + " UNION ALL ".join(
+        f"SELECT '{c}' AS stage, {place} AS d, {_bin_case(c, [10.0 * i for i in range(11)])} AS p FROM stage_orders WHERE delay_seconds < 0"
+        for c in ("Site_Real_PCT", "Carrier_Real_PCT", "Client_Real_PCT")) + ")")
+    parts = []
+    for name, (edges, labels) in _LATE_BINS.items():
+        values = ", ".join(f"({i}, '{label}')" for i, label in enumerate(labels))
+        parts.append(f"""
+SELECT '{name}' AS range_set, delay_bin, SUM(one)::BIGINT AS orders FROM (
+  SELECT {_bin_case("CAST(delay_days AS DOUBLE)", edges)} AS d, 1 AS one FROM timed WHERE delay_seconds < 0 AND Net_State = '{name}'
+  UNION ALL SELECT d, 0 FROM (VALUES {values}) b(d, x)) LEFT JOIN (VALUES {values}) c(d, delay_bin) USING (d) GROUP BY d, delay_bin""")
+    q["delay_bins_by_range_set"] = _with(" UNION ALL ".join(parts))
+    q["success_rate_levels"] = _with(f"""
+SELECT level, state, month, orders, delivered, not_delivered, on_time_delivered,
+  {ratio('delivered', 'orders', '100', 'CAST(0 AS DOUBLE)')} AS delivery_rate,
+  {ratio('on_time_delivered', 'delivered', '100', 'CAST(0 AS DOUBLE)')} AS on_time_rate
+FROM (SELECT CASE GROUPING(state, month) WHEN 0 THEN 'state_month' WHEN 1 THEN 'state' WHEN 2 THEN 'month' ELSE 'all' END AS level,
+        state, month, COUNT(*) AS orders, COUNT(*) FILTER (WHERE Net_State = 'Delivered') AS delivered,
+        COUNT(*) FILTER (WHERE Net_State = 'Not_Delivered') AS not_delivered,
+        COUNT(*) FILTER (WHERE Net_State = 'Delivered' AND delay_seconds > 0) AS on_time_delivered
+      FROM (SELECT customer_state AS state, strftime(order_purchase_timestamp, '%Y-%m') AS month, * FROM seller_orders
+            WHERE delay_seconds IS NOT NULL)
+      GROUP BY GROUPING SETS ((state, month), (state), (month), ()))""")
+    q["order_items_fan_out"] = _with("SELECT order_id, order_item_id, product_id, product_category_name, product_weight_g, Total "
+                                     "FROM fanned", _REPEATED_PRODUCTS)
+    q["vendor_revenue_fan_out"] = _with(f"SELECT seller_id, {money('Total')} AS Total FROM fanned "
+                                        "WHERE seller_id IS NOT NULL GROUP BY seller_id", _REPEATED_PRODUCTS)
+    q["geo_orders_repeated"] = _geo("orders", "", "repeated_orders", _REPEATED_ORDERS + ",\n")
+    q["geo_delayed_repeated"] = _geo("orders", "AND delay_seconds < 0", "repeated_orders", _REPEATED_ORDERS + ",\n")
+    q["daily_trend_repeated"] = _with("""
+SELECT date, orders, AVG(orders) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS orders_roll
+FROM daily""", _REPEATED_ORDERS + """,
+daily AS (SELECT CAST(order_purchase_timestamp AS DATE) AS date, COUNT(DISTINCT order_id) AS orders
+  FROM repeated_orders WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1)""")
