@@ -48,6 +48,11 @@ def _ranked(detailed: DataFrame, key: str) -> DataFrame:
     return ranked_by(exact_revenue_by(detailed, key), "_exact", key)
 
 
+def exact_ranking(detailed: DataFrame, key: str) -> DataFrame:
+    """T1 with the order as a column: (key, Total, position), Total descending, key ascending."""
+    return _ranked(detailed, key).select(key, "Total", "position")
+
+
 def vendor_segments(detailed: DataFrame, segments: int = 10) -> DataFrame:
     """(seller_id, Total, position, segment); segment 1 = top revenue.
     ``segment = (position - 1) * segments // n + 1``: equal-count groups."""

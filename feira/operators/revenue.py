@@ -25,6 +25,23 @@ def prepare_data(order_items: DataFrame, products: DataFrame) -> DataFrame:
             .withColumn("Total", F.col("price") + F.col("freight_value")))
 
 
+def items_as_joined(order_items: DataFrame, products: DataFrame) -> DataFrame:
+    """The rows of ``prepare_data`` without its product columns, for totals
+    that use none of them.
+
+    An item has as many rows as its product id has in ``products`` (one if it
+    has none), so only ids that repeat matter: they are counted first and
+    joined, and the join is an empty one where product ids are unique. Items
+    are not shuffled by product.
+    """
+    require_columns(order_items, ORDER_ITEMS_REQUIRED, "order_items")
+    require_columns(products, PRODUCTS_REQUIRED, "products")
+    repeated = products.groupBy("product_id").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    items = left_join_null_safe(nan_to_null(order_items), repeated, "product_id")
+    return (items.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_copies", F.lit(1).cast("long")))))
+            .drop("_copies", "col").withColumn("Total", F.col("price") + F.col("freight_value")))
+
+
 def order_totals(detailed: DataFrame) -> DataFrame:
     """A2: Σ Total per order (null order ids dropped, all-null order -> 0.0)."""
     return (detailed.filter(F.col("order_id").isNotNull())

@@ -7,24 +7,33 @@ SQL for the independent check.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feira.functions.delay import delay_days, normalize_delay
 from feira.operators import delivery as D
+from feira.functions.numeric import exact
 from feira.operators import extras as X
 from feira.operators import feeds as FD
+from feira.operators import order_bitmaps as OB
 from feira.operators import revenue as R
 from feira.operators import stages as ST
 from feira.operators.geo import geo_feed
 from feira.operators.heatmap import heatmap_cell_text, heatmap_grid, heatmap_long
 from feira.operators.trend import daily_orders, daily_trend
+from feira.session import ensure_checkpoint_dir
 from feira.sources import fixtures
+from feira.sources.bucketed import left_join_bucketed, save_bucketed
+from feira.sources.partials import FilePartials
+from feira.sources.tables import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Parameter of the bucketed tables.
+BUCKETS = 16
 
 
 def query(name: str):
@@ -40,6 +49,11 @@ def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.prepare_data(fixtures.order_items(spark, sf_dir), fixtures.products(spark, sf_dir))
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``detailed``, without the product columns."""
+    return R.items_as_joined(fixtures.order_items(spark, sf_dir), fixtures.products(spark, sf_dir))
+
+
 @query("order_items_detailed")
 def q_order_items_detailed(spark, sf_dir):
     return detailed(spark, sf_dir).select(
@@ -49,18 +63,19 @@ def q_order_items_detailed(spark, sf_dir):
 
 @query("order_totals")
 def q_order_totals(spark, sf_dir):
-    return R.order_totals(detailed(spark, sf_dir))
+    return R.order_totals(items(spark, sf_dir))
 
 
 @query("revenue_kpis")
 def q_revenue_kpis(spark, sf_dir):
-    return R.revenue_kpis(detailed(spark, sf_dir))
+    return R.revenue_kpis(items(spark, sf_dir))
 
 
 def _by(kind: str, metric: str) -> Query:
     def run(spark, sf_dir):
-        return R.revenue_by(detailed(spark, sf_dir),
-                            "product_category_name" if kind == "category" else "seller_id", metric)
+        if kind == "category":
+            return R.category_revenue(detailed(spark, sf_dir), metric)
+        return R.vendor_revenue(items(spark, sf_dir), metric)
     return run
 
 
@@ -91,7 +106,7 @@ def q_top_category(spark, sf_dir):
 
 @query("top_vendor")
 def q_top_vendor(spark, sf_dir):
-    return R.top_row(R.vendor_revenue(detailed(spark, sf_dir), sort=False), "seller_id")
+    return R.top_row(R.vendor_revenue(items(spark, sf_dir), sort=False), "seller_id")
 
 
 @query("top_categories_feed")
@@ -101,7 +116,7 @@ def q_top_categories_feed(spark, sf_dir):
 
 @query("top_vendors_feed")
 def q_top_vendors_feed(spark, sf_dir):
-    return FD.top_feed(R.vendor_revenue(detailed(spark, sf_dir), sort=False), "seller_id", 15)
+    return FD.top_feed(R.vendor_revenue(items(spark, sf_dir), sort=False), "seller_id", 15)
 
 
 @query("freight_weight_feed")
@@ -133,7 +148,7 @@ def q_small_values(spark, sf_dir):
 
 @query("revenue_metrics_display")
 def q_revenue_display(spark, sf_dir):
-    return FD.revenue_metrics_display(R.revenue_kpis(detailed(spark, sf_dir)))
+    return FD.revenue_metrics_display(R.revenue_kpis(items(spark, sf_dir)))
 
 
 # --------------------------------------------------------------- delivery
@@ -247,17 +262,17 @@ def q_daily_trend_revenue(spark, sf_dir):
 
 @query("vendor_segments")
 def q_vendor_segments(spark, sf_dir):
-    return X.vendor_segments(detailed(spark, sf_dir), 10)
+    return X.vendor_segments(items(spark, sf_dir), 10)
 
 
 @query("vendor_concentration")
 def q_vendor_concentration(spark, sf_dir):
-    return X.vendor_concentration(detailed(spark, sf_dir))
+    return X.vendor_concentration(items(spark, sf_dir))
 
 
 @query("vendor_concentration_summary")
 def q_vendor_concentration_summary(spark, sf_dir):
-    return X.vendor_concentration_summary(detailed(spark, sf_dir), 10)
+    return X.vendor_concentration_summary(items(spark, sf_dir), 10)
 
 
 @query("category_share_rank")
@@ -369,7 +384,7 @@ def q_order_items_fan_out(spark, sf_dir):
 
 @query("vendor_revenue_fan_out")
 def q_vendor_revenue_fan_out(spark, sf_dir):
-    return R.vendor_revenue(repeated(spark, sf_dir))
+    return R.vendor_revenue(R.items_as_joined(fixtures.order_items(spark, sf_dir), fixtures.products_with_repeats(spark, sf_dir)))
 
 
 def repeated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,3 +405,64 @@ def q_geo_delayed_repeated(spark, sf_dir):
 @query("daily_trend_repeated")
 def q_daily_trend_repeated(spark, sf_dir):
     return daily_trend(fixtures.seller_orders(spark, sf_dir, state=False, repeats=True), "orders", window=7)
+
+
+@query("orders_by_state_bitmaps")
+def q_orders_by_state_bitmaps(spark, sf_dir):
+    # two parts, as if a second file had come later; orders repeat in and across them
+    rows = repeated_orders(spark, sf_dir)
+    keys = [F.col("customer_state").alias("state"), F.col("Net_State"), (F.col("delay_ns") < 0).alias("late")]
+    day = F.col("order_purchase_timestamp") < F.expr("TIMESTAMP_NTZ '1995-01-01'")
+    table = OB.united(OB.order_bitmaps(rows.filter(day), keys), OB.order_bitmaps(rows.filter(~day | day.isNull()), keys))
+    states = table.filter(F.col("state").isNotNull())
+    out = OB.distinct_orders(states, ["state"])
+    for name, where in (("delayed", F.col("late")), ("delivered", F.col("Net_State") == "Delivered")):
+        out = out.join(OB.distinct_orders(states, ["state"], name, where), "state", "left")
+    return out.na.fill(0)
+
+
+@query("daily_orders_bitmaps")
+def q_daily_orders_bitmaps(spark, sf_dir):
+    rows = fixtures.seller_orders(spark, sf_dir, state=False, repeats=True).filter(F.col("order_purchase_timestamp").isNotNull())
+    return OB.distinct_orders(OB.order_bitmaps(rows, [F.to_date("order_purchase_timestamp").alias("date")]), ["date"])
+
+
+@query("order_items_co_located")
+def q_order_items_co_located(spark, sf_dir):
+    # both sides as bucketed tables in the session's shared folder; the rows with a product id meet without a shuffle
+    root, name = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}", f"feira_{uuid.uuid4().hex}"
+    left = save_bucketed(fixtures.order_items(spark, sf_dir), f"{name}_items", "product_id", BUCKETS, f"{root}/items")
+    right = save_bucketed(fixtures.products_with_repeats(spark, sf_dir), f"{name}_products", "product_id", BUCKETS, f"{root}/products")
+    joined = left_join_bucketed(left, right, "product_id")
+    return joined.select("order_id", "order_item_id", "product_id",
+                         F.coalesce("product_category_name", F.lit(R.OTHERS)).alias("product_category_name"),
+                         "product_weight_g", (F.col("price") + F.col("freight_value")).alias("Total"))
+
+
+@query("vendor_totals_from_parts")
+def q_vendor_totals_from_parts(spark, sf_dir):
+    # partial sums per file are stored; the second refresh finds no new file
+    path = table_path(sf_dir, "lineitem")
+
+    def partial(rows: DataFrame, file_col: str) -> DataFrame:
+        return rows.groupBy(file_col, F.col("l_suppkey").alias("seller_id")).agg(
+            F.count(F.lit(1)).alias("items"), F.sum(exact("l_extendedprice")).alias("price"))
+
+    store = FilePartials(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/partials-{uuid.uuid4().hex}",
+                         lambda paths: spark.read.parquet(*paths), partial)
+    store.refresh(path)
+    store.refresh(path)
+    return store.rows(path).groupBy("seller_id").agg(F.sum("items").alias("items"), F.sum("price").cast("double").alias("price"))
+
+
+@query("vendor_revenue_ranked")
+def q_vendor_revenue_ranked(spark, sf_dir):
+    # the order of the ranking as a column
+    return X.exact_ranking(items(spark, sf_dir), "seller_id")
+
+
+@query("daily_trend_ranked")
+def q_daily_trend_ranked(spark, sf_dir):
+    # one row per day: an un-keyed window is bounded by the calendar
+    trend = daily_trend(fixtures.seller_orders(spark, sf_dir, state=False), "orders", window=7)
+    return trend.withColumn("place", F.row_number().over(Window.orderBy("date")).cast("long"))

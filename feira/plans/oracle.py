@@ -447,3 +447,20 @@ SELECT date, orders, AVG(orders) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AN
 FROM daily""", _REPEATED_ORDERS + """,
 daily AS (SELECT CAST(order_purchase_timestamp AS DATE) AS date, COUNT(DISTINCT order_id) AS orders
   FROM repeated_orders WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1)""")
+    q["orders_by_state_bitmaps"] = _with("""
+SELECT customer_state AS state, COUNT(DISTINCT order_id) AS orders,
+  COUNT(DISTINCT order_id) FILTER (WHERE delay_seconds < 0) AS delayed,
+  COUNT(DISTINCT order_id) FILTER (WHERE Net_State = 'Delivered') AS delivered
+FROM repeated_orders WHERE customer_state IS NOT NULL GROUP BY customer_state""", _REPEATED_ORDERS)
+    q["daily_orders_bitmaps"] = _with("""
+SELECT CAST(order_purchase_timestamp AS DATE) AS date, COUNT(DISTINCT order_id) AS orders
+FROM repeated_orders WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1""", _REPEATED_ORDERS)
+    q["order_items_co_located"] = q["order_items_fan_out"]
+    q["vendor_totals_from_parts"] = f"""
+SELECT l_suppkey AS seller_id, COUNT(*) AS items, {dbl('SUM(' + exact('l_extendedprice') + ')')} AS price
+FROM lineitem GROUP BY l_suppkey"""
+    q["vendor_revenue_ranked"] = _with("SELECT seller_id, Total, position FROM ranked", _ranked_cte("seller_id"))
+    q["daily_trend_ranked"] = _with("""
+SELECT date, orders, AVG(orders) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS orders_roll,
+  ROW_NUMBER() OVER (ORDER BY date) AS place FROM daily""", """daily AS (SELECT CAST(order_purchase_timestamp AS DATE) AS date,
+  COUNT(DISTINCT order_id) AS orders FROM seller_orders WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1)""")

@@ -16,8 +16,8 @@ class RevenueAnalyzer:
     is kept (memory and disk) for the many results derived from it; at very
     large scale leave it off: re-reading the pruned parquet columns is cheaper
     than caching the whole join. The six category/vendor rankings come from
-    two multi-metric aggregates (one pass per key), which are kept because they
-    are small. Call ``release`` when done.
+    two multi-metric aggregates (one pass per key), which are kept too. Without
+    ``persist`` nothing is cached. Call ``release`` when done.
     """
 
     def __init__(self, order_items: DataFrame, products: DataFrame, persist: bool = False):
@@ -26,6 +26,7 @@ class RevenueAnalyzer:
         self.persist = persist
         self.order_items_detailed: DataFrame | None = None
         self.analysis_results: dict | None = None
+        self._kept: list[DataFrame] = []
 
     def prepare_data(self) -> DataFrame:
         if self.order_items_detailed is None:
@@ -36,17 +37,19 @@ class RevenueAnalyzer:
         return self.order_items_detailed
 
     def _per_key(self, key: str) -> DataFrame:
-        """All three metric sums per key in one pass, kept for the six
-        rankings (one row per category / vendor: small next to the items)."""
+        """All three metric sums per key in one pass, for the six rankings; kept
+        with ``persist=True`` (one row per category / vendor: small next to the items)."""
         per_key = R.revenue_by_metrics(self.prepare_data(), key)
-        return per_key.persist(StorageLevel.MEMORY_AND_DISK)
+        if not self.persist:
+            return per_key
+        self._kept.append(per_key.persist(StorageLevel.MEMORY_AND_DISK))
+        return per_key
 
     def run_comprehensive_analysis(self) -> dict:
         detailed = self.prepare_data()
         kpis = R.revenue_kpis(detailed)
         by_category = self._per_key("product_category_name")
         by_vendor = self._per_key("seller_id")
-        self._kept = [by_category, by_vendor]
         category_all = R.ranking_of(by_category, "product_category_name", "Total")
         vendor_all = R.ranking_of(by_vendor, "seller_id", "Total")
         self.analysis_results = {
@@ -77,8 +80,8 @@ class RevenueAnalyzer:
         return self.analysis_results["kpis"]
 
     def release(self) -> None:
-        for df in getattr(self, "_kept", []):
-            df.unpersist()
+        while self._kept:
+            self._kept.pop().unpersist()
         if self.persist and self.order_items_detailed is not None:
             self.order_items_detailed.unpersist()
 
