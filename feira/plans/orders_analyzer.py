@@ -24,9 +24,9 @@ class OrdersAnalyzer:
 
     def get_delivery_performance(self) -> dict:
         """KPI row, its five figures by key (one-row frames) and the four
-        labelled row-level buckets, of the columns that classify them."""
-        used = ("Net_State", "Delay", "delay_ns", "delay_days")
-        buckets = D.delivery_buckets(self.orders.select(*[c for c in used if c in self.orders.columns]))
+        labelled row-level buckets. Buckets keep the order's columns; being
+        lazy, each reads only those that its consumer selects."""
+        buckets = D.delivery_buckets(self.orders)
         kpis = D.delivery_performance(self.orders)
         result = {"kpis": kpis, "buckets": buckets}
         for name in KPI_KEYS:

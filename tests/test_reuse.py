@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from feira.operators import order_bitmaps as OB
 from feira.operators import revenue as R
 from feira.operators.joins import left_join_null_safe
-from feira.plans.orders_analyzer import OrdersAnalyzer
 from feira.plans.revenue_analyzer import RevenueAnalyzer, analyze_revenue_data
 from feira.sources.bucketed import left_join_bucketed, save_bucketed
 from feira.sources.partials import FilePartials
@@ -142,9 +141,3 @@ def test_nothing_stays_cached_without_persist(spark):
     assert held() > before
     analyzer.release()
     assert held() == before
-
-
-def test_buckets_carry_only_what_classifies(spark):
-    df = spark.createDataFrame([("o", "Delivered", "-1 days +00:00:00", "x", 3.0)], "order_id string, Net_State string, Delay string, note string, TOTAL double")
-    perf = OrdersAnalyzer(df).get_delivery_performance()
-    assert perf["delay_delivered"].columns == ["Net_State", "Delay", "delay_ns", "bucket", "delay_days"] and perf["delay_delivered"].count() == 1
