@@ -21,7 +21,7 @@
    blocks of about BLOCK members, so a bucket of any size is spread over many
    tasks; a pair is looked at in the first bucket it shares. Pairs that agree on
    at least SKETCH samples (a pair at 0.8 does with 99.6%, at 0.85 with 99.99%)
-   are checked on whole texts too. No candidate is dropped, and pairs already
+   are checked on whole texts too, which only then are shuffled. No candidate is dropped, and pairs already
    known to be in one class are the only ones skipped.
 4. Verified pairs (similarity >= THRESHOLD) are merged to classes.
 
@@ -174,11 +174,16 @@ def _lists(values: np.ndarray) -> pa.ListArray:
 
 
 def _signatures(texts: DataFrame, idf) -> DataFrame:
-    """(node, samples, keys) of every text with a word; equal texts have equal rows."""
+    """(node, samples, keys) of every text with a word, drawn once for the
+    copies that one task reads; equal texts have equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
+        sampler, seen = Sampler(), np.zeros(0, np.int64)
         for batch in batches:
+            node, first = np.unique(batch.column("node").to_numpy(), return_index=True)
+            new = ~np.isin(node, seen, assume_unique=True)
+            seen = np.concatenate([seen, node[new]])
+            batch = batch.take(pa.array(np.sort(first[new])))
             for part in T.slices(batch, "t"):
                 h, text, weight = _weighted(part.column("t"), idf.value)
                 has = np.unique(text)
@@ -241,18 +246,18 @@ def _similar(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return map_arrow(joined, run, "a long, b long")
 
 
-def _similar_in_blocks(members: DataFrame, idf) -> DataFrame:
-    """The similar pairs (a, b) of different components that share a bucket.
+def _alike_in_blocks(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components that share a bucket and agree on SKETCH samples.
 
-    ``members``: (bucket, node, comp, samples, n, t), n the bucket's size. Pairs
-    that agree on SKETCH samples are checked on their texts, in the same task.
+    ``members``: (bucket, node, comp, samples, n), n the bucket's size. Texts
+    are not dealt out here; the pairs that come out are checked on them.
     """
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
     dealt = (members.withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") <= F.col("other")).alias("first"), "node", "comp", "samples", "t"))
+                     (F.col("own") <= F.col("other")).alias("first"), "node", "comp", "samples"))
 
     def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
@@ -272,13 +277,6 @@ def _similar_in_blocks(members: DataFrame, idf) -> DataFrame:
             shared = keys[a] == keys[b]
             here = T.signed(keys[a, shared.argmax(1)].copy()) == rows["bucket"][0].as_py()
             a, b = a[here], b[here]
-        if len(a):
-            used = np.unique(np.concatenate([a, b]))
-            h, text, weight = _weighted(rows["t"].combine_chunks().take(pa.array(used)), idf.value)
-            cuts = np.searchsorted(text, np.arange(len(used) + 1))
-            of = {u: (h[s:e], weight[s:e], weight[s:e].sum()) for u, s, e in zip(used.tolist(), cuts[:-1], cuts[1:])}
-            good = np.fromiter((_is_similar(of[x], of[y]) for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
-            a, b = a[good], b[good]
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +323,15 @@ def classes_of_nodes(texts: DataFrame) -> DataFrame:
     seen = (members.join(comps, "node", "left")
             .select("bucket", "node", "n", F.coalesce("component", "node").alias("comp")))
     live = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    left = seen.join(live, "bucket").join(drawn.select("node", "samples"), "node").join(own_text, "node")
-    return components(links.union(cut(_similar_in_blocks(left, idf))))
+    left = seen.join(live, "bucket").join(drawn.select("node", "samples"), "node")
+    alike = cut(_alike_in_blocks(left).distinct())
+    return components(links.union(cut(_similar(alike, own_text, idf))))
 
 
 def _node(text_col: str) -> Column:
     """The hash of a text; null if it is null or blank."""
-    blank = F.coalesce(F.trim(F.regexp_replace(text_col, r"[\x20\x09-\x0D]+", " ")), F.lit("")) == ""
-    return F.when(~blank, F.xxhash64(text_col))
+    text = F.col(f"`{text_col}`")
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))  # stops at the first word
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_kept marks the row whose id is the class id (repeated rows of that id
     are all marked; ``deduplicate`` keeps one of them).
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), _node(text_col).alias("node"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _node(text_col).alias("node"), F.col(f"`{text_col}`").alias("t"))
     texts = rows.filter("node IS NOT NULL").select("node", "t")
     comp = cut(classes_of_nodes(texts))
     keyed = (rows.drop("t").join(comp, "node", "left")
@@ -357,18 +356,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated rows with that id, one; rows without an id only if the class has
     no other). Rows without a text are no duplicates; of those with the same
     id and text, one stays. Columns as they came."""
-    rows = docs.withColumn("__node", _node(text_col))
-    comp = cut(classes_of_nodes(rows.filter("__node IS NOT NULL").select(F.col("__node").alias("node"), F.col(text_col).alias("t"))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                       F.col(f"`{text_col}`").alias("t"), _node(text_col).alias("node"))
+    comp = cut(classes_of_nodes(rows.filter("node IS NOT NULL").select("node", "t")))
     # the decision is on (id, text): an id may be given to texts of several classes
-    counted = (rows.filter("__node IS NOT NULL").groupBy("__node", F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-               .join(comp, F.col("__node") == F.col("node"), "left"))
-    best = (counted.groupBy(F.coalesce("component", "__node").alias("comp"))
-            .agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__node", "__n")).alias("best")))
-    keep = cut(best.select(F.col("best.__id").alias("__id"), F.col("best.__node").alias("__kept"), F.col("best.__n").alias("__n")))
-    body = (rows.join(keep, rows["__node"].eqNullSafe(F.col("__kept")) & rows[id_col].eqNullSafe(F.col("__id")))
-            .drop("__id", "__kept"))
-    single = body.filter("__n = 1").drop("__n", "__node")
-    several = body.filter("__n > 1").dropDuplicates([id_col, "__node"]).drop("__n", "__node")
-    blank = rows.filter("__node IS NULL").drop("__node")
-    named = blank.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
-    return single.unionByName(several).unionByName(named).unionByName(blank.filter(F.col(id_col).isNull()))
+    counted = (rows.filter("node IS NOT NULL").groupBy("node", "id").agg(F.count("*").alias("n")).join(comp, "node", "left"))
+    best = (counted.groupBy(F.coalesce("component", "node").alias("comp"))
+            .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node", "n")).alias("best")))
+    keep = cut(best.select(F.col("best.id").alias("kept_id"), F.col("best.node").alias("kept_node"), F.col("best.n").alias("n")))
+    body = rows.join(keep, F.col("node").eqNullSafe(F.col("kept_node")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    single = body.filter("n = 1").select("row")
+    several = body.filter("n > 1").dropDuplicates(["id", "node"]).select("row")
+    blank = rows.filter("node IS NULL")
+    named = blank.filter("id IS NOT NULL").dropDuplicates(["id", "t"]).select("row")
+    without = blank.filter("id IS NULL").select("row")
+    return single.unionByName(several).unionByName(named).unionByName(without).select("row.*")
