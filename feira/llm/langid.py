@@ -5,15 +5,17 @@ letters, everything else a blank), hashed to BUCKETS buckets, (1 + ln tf) *
 idf, scaled to length 1. Document frequencies are counted over all training
 documents. The weights are trained with follow-the-regularised-leader
 (proximal, per coordinate, elastic net) on a bounded sample: about PER_LANGUAGE
-training documents of each language, those with the lowest hash of their id,
-whole texts; every language with training documents is learned. Every fifth
+distinct training texts of each language, those with the lowest hash, whole
+texts; every language with training documents is learned. Every fifth
 document of the sample is kept from training and sets the temperature that
 divides the scores before the softmax. Every document is classified over its
 whole text; only the text is an input of a prediction.
 
 Defined cases: null text or text without a letter: ``und`` with score 0; no
 training documents: ``und`` with score 0 for all; equal scores go to the
-smaller language; rows with a null id train; rows without a language don't.
+smaller language; the sample does not look at ids, so null and repeated ids
+train like others, and copies of a text are one example; rows without a
+language don't train.
 """
 
 from __future__ import annotations
@@ -159,9 +161,9 @@ def fit(rows: DataFrame) -> Model | None:
         df[r["bucket"]] = r["n"]
     idf = 1 + np.log((1 + sum(count.values())) / (1 + df))
 
-    # the sample: hashes below a share of the range that gives about PER_LANGUAGE rows of each language
+    # the sample: distinct texts whose hash lies below a share of the range that gives about PER_LANGUAGE rows of each language
     share = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, min(1.0, PER_LANGUAGE / n))])
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     code = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +176,10 @@ def fit(rows: DataFrame) -> Model | None:
                              pa.array([f[0].astype(np.int16)], pa.list_(pa.int16())),
                              pa.array([f[1].astype(np.float32)], pa.list_(pa.float32()))], ["place", "y", "at", "tf"])
 
-    chosen = rows.withColumn("place", place).filter(F.col("place") < share[F.col("lang")])
+    chosen = (rows.select("lang", "t", place.alias("place")).filter(F.col("place") < share[F.col("lang")])
+              .dropDuplicates(["lang", "t"]))
     taken = (map_arrow(chosen.select("place", code[F.col("lang")].alias("y"), "t"), sampled,
-                       "place double, y int, at array<short>, tf array<float>")
-             .limit(2 * PER_LANGUAGE * len(languages)).toArrow())
+                       "place double, y int, at array<short>, tf array<float>").toArrow())
     place_ = taken["place"].to_numpy()
     y = taken["y"].to_numpy()
     at = taken["at"].combine_chunks()
