@@ -25,6 +25,11 @@ distance count alone if they reach COVER of those with a template.
   beyond one letter, and follows a token that doesn't end a sentence; the
   first token of a text or line is no name.
 
+Wording that many items share (an instruction, a form's text) is no evidence
+for any of them: places of an item whose words stand in more than SHARED items
+of different text are left out, of the item's windows and of what COVER and
+COVER_WORDS are shares of. An item with no other place keeps them all.
+
 Every window is also joined on the hash of its case-folded words, so copies in
 another case are found although names are told by their capital. Windows with
 fewer than CONTENT words that are no placeholders (names, tables of numbers)
@@ -39,8 +44,8 @@ holds all benchmark windows. Its size is fixed, so it can be broadcast
 whatever the benchmark's size; it only saves shuffling, the join decides.
 
 Defined cases: null or blank texts (either side) match nothing; repeated
-items or rows give repeated results only through their ids; extra columns are
-ignored. Every (document, item) pair is returned once, with its best alignment;
+items or rows give repeated results only through their ids, which may be of
+any type; extra columns are ignored, whatever their names. Every (document, item) pair is returned once, with its best alignment;
 texts that share an id are aligned one by one.
 """
 
@@ -58,6 +63,7 @@ from pyspark.sql import functions as F
 from feira.llm import _text as T
 from feira.llm._filter import bit_filter, passes, unpacked
 from feira.llm._ship import map_arrow
+from feira.llm._store import cut
 
 WINDOW = 8
 CONTENT = 4
@@ -65,6 +71,7 @@ SHORTEST = 4
 COVER = 0.5
 COVER_WORDS = 0.75
 VERBATIM = 13
+SHARED = 3
 
 #: Unit words (fixed values).
 UNITS = frozenset("""mm cm m km in ft yd mi mile miles g kg mg lb lbs oz ton tons l ml s sec second seconds min minute
@@ -145,13 +152,13 @@ def _slots(values, slot, start: int, width: int) -> list[int]:
     return T.signed(np.column_stack([w.astype(np.uint64), values[start + w]]).ravel().copy()).tolist()
 
 
-_SCHEMA = "id long, row long, width int, hash long, plain boolean, pos long, slots array<long>"
+_SCHEMA = "id string, row long, width int, hash long, plain boolean, pos long, slots array<long>"
 
 
 def _emit(part: pa.RecordBatch, rows: list[tuple], more: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
     """One row per window; ``more`` has values per text."""
     at = pa.array([r[0] for r in rows], pa.int64())
-    out = {"id": part.column("id").take(at).cast(pa.int64()), "row": part.column("row").take(at),
+    out = {"id": part.column("id").take(at), "row": part.column("row").take(at),
            "width": pa.array([r[1] for r in rows], pa.int32()), "hash": pa.array([r[2] for r in rows], pa.int64()),
            "plain": pa.array([r[3] for r in rows], pa.bool_()), "pos": pa.array([r[4] for r in rows], pa.int64()),
            "slots": pa.array([r[5] for r in rows], pa.list_(pa.int64()))}
@@ -183,6 +190,25 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     return map_arrow(items, run, f"{_SCHEMA}, total long, typed long, words long")
 
 
+def distinctive(bench: DataFrame) -> DataFrame:
+    """The windows at places whose words stand in at most SHARED items, with
+    ``total`` and ``typed`` counted anew and ``need``, the words that
+    COVER_WORDS is a share of; all windows of items that have no such place."""
+    plain = bench.filter("plain")
+    items = plain.groupBy("width", "hash").agg(F.count_distinct("row").alias("items"))
+    places = (plain.join(items, ["width", "hash"]).groupBy("row", "pos").agg((F.max("items") > SHARED).alias("shared")))
+    own = places.groupBy("row").agg(F.count_if(~F.col("shared")).alias("own"), F.count("*").alias("places"))
+    kept = bench.join(places, ["row", "pos"]).join(own, "row").filter(~F.col("shared") | (F.col("own") == 0))
+    typed = kept.filter("NOT plain").groupBy("row").agg(F.count_distinct("pos").alias("own_typed"))
+    some = F.col("own") > 0
+    return (kept.join(typed, "row", "left")
+            .withColumn("total", F.when(some, F.col("own")).otherwise(F.col("total")))
+            .withColumn("typed", F.when(some & (F.col("own") < F.col("places")), F.coalesce("own_typed", F.lit(0).cast("long")))
+                        .otherwise(F.col("typed")))
+            .withColumn("need", F.when(some, F.col("words") * F.col("own") / F.col("places")).otherwise(F.col("words").cast("double")))
+            .select("id", "row", "width", "hash", "plain", "pos", "slots", "total", "typed", "words", "need"))
+
+
 def document_windows(docs: DataFrame, packed, widths: list[int]) -> DataFrame:
     """The windows of ``docs`` (id, row, t) that pass the filter."""
 
@@ -238,7 +264,7 @@ def _chain(runs: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int]
 
 
 def _alignment(used: list[tuple[int, int]], points: dict[tuple[int, int], bool], islots: dict[int, list[int]],
-               slots: dict[int, list[int]], total: int, typed: int, words: int) -> tuple[int, int, int, int] | None:
+               slots: dict[int, list[int]], total: int, typed: int, words: int, need: float) -> tuple[int, int, int, int] | None:
     """(windows, item windows, slots, changed) of the windows ``used``, None if they do not count.
 
     ``points`` says of each window whether its words are the item's. Counted
@@ -250,7 +276,7 @@ def _alignment(used: list[tuple[int, int]], points: dict[tuple[int, int], bool],
     if not by_template and len(used) < COVER * total:
         held = {i + k for i, _ in used for k in range(width)}
         same = [p for p in used if points[p]]
-        if len(held) < COVER_WORDS * words and max((b - a + 1 for _, a, b in _runs(same)), default=0) < VERBATIM - WINDOW + 1:
+        if len(held) < COVER_WORDS * need and max((b - a + 1 for _, a, b in _runs(same)), default=0) < VERBATIM - WINDOW + 1:
             return None
     pairs = set()
     for p in used:
@@ -262,10 +288,10 @@ def _alignment(used: list[tuple[int, int]], points: dict[tuple[int, int], bool],
 
 
 def _best(points: dict[tuple[int, int], bool], islots: dict[int, list[int]], slots: dict[int, list[int]],
-          total: int, typed: int, words: int) -> tuple[int, int, int, int] | None:
+          total: int, typed: int, words: int, need: float) -> tuple[int, int, int, int] | None:
     """The best alignment of one document and item."""
     found = []
-    least = min(COVER * total, COVER * typed if typed else total, VERBATIM - WINDOW + 1, COVER_WORDS * words / WINDOW)
+    least = min(COVER * total, COVER * typed if typed else total, VERBATIM - WINDOW + 1, COVER_WORDS * need / WINDOW)
     near: list[set[tuple[int, int]]] = []  # no chain goes over more than 2 * words words without a window
     for d, i in sorted((d, i) for i, d in points):
         if not near or d - end > 2 * words:
@@ -275,7 +301,7 @@ def _best(points: dict[tuple[int, int], bool], islots: dict[int, list[int]], slo
     for left in near:
         while left and len(left) >= least:
             used = _chain(_runs(list(left)), words)
-            one = _alignment(used, points, islots, slots, total, typed, words) if len(used) >= least else None
+            one = _alignment(used, points, islots, slots, total, typed, words, need) if len(used) >= least else None
             if one or len(used) < least:
                 found += [one] if one else []
                 break  # later chains are shorter
@@ -283,13 +309,13 @@ def _best(points: dict[tuple[int, int], bool], islots: dict[int, list[int]], slo
     line: dict[int, list[tuple[int, int]]] = {}
     for i, d in points:
         line.setdefault(d - i, []).append((i, d))
-    alone = (_alignment(used, points, islots, slots, total, typed, words) for used in line.values() if len(used) >= least)
+    alone = (_alignment(used, points, islots, slots, total, typed, words, need) for used in line.values() if len(used) >= least)
     found += [x for x in alone if x and x[1] == typed and x[0] >= COVER * typed]
     return max(found, key=lambda x: (x[0], -x[3]), default=None)
 
 
 _KEY = ["doc_id", "doc_row", "item_id", "item_row"]
-_POINT = ["plain", "ipos", "pos", "islots", "slots", "total", "typed", "words"]
+_POINT = ["plain", "ipos", "pos", "islots", "slots", "total", "typed", "words", "need"]
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
@@ -300,19 +326,20 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 
         def out() -> list[tuple]:
             best = _best(points, islots, slots, *sizes) if last is not None else None
-            return [(last[0], last[2], *best)] if best else []
+            return [(last[0], last[1], last[2], *best)] if best else []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)],
-                                              ["doc_id", "item_id", "windows", "item_windows", "slots", "changed"])
+            types = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)],
+                                              ["doc_id", "doc_row", "item_id", "windows", "item_windows", "slots", "changed"])
 
         for batch in batches:
             rows = []
             columns = [batch.column(c).to_pylist() for c in (*_KEY, *_POINT)]
-            for *key, plain, i, d, own, other, total, typed, words in zip(*columns):
+            for *key, plain, i, d, own, other, total, typed, words, need in zip(*columns):
                 if key != last:
                     rows += out()
-                    last, points, islots, slots, sizes = key, {}, {}, {}, (total, typed, words)
+                    last, points, islots, slots, sizes = key, {}, {}, {}, (total, typed, words, need)
                 points[i, d] = points.get((i, d), False) or plain
                 islots.setdefault(i, own)
                 slots.setdefault(d, other)
@@ -323,36 +350,45 @@ def _aligned(pairs: DataFrame) -> DataFrame:
             yield batch_of(rows)
 
     return map_arrow(pairs.repartition(*_KEY).sortWithinPartitions(*_KEY), run,
-                     "doc_id long, item_id long, windows long, item_windows long, slots long, changed long")
+                     "doc_id string, doc_row long, item_id string, windows long, item_windows long, slots long, changed long")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, slots, changed) of every leak.
-
-    ``slots`` is the number of distinct slot values of the alignment,
-    ``changed`` how many of them differ from the benchmark's (0: a copy).
-    """
+def _alignments(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The alignments of ``_aligned``, ids as text; ``doc_row`` is the hash of the document's text."""
     spark = docs.sparkSession
 
     def slim(df: DataFrame, ident: str, text: str) -> DataFrame:
-        return df.select(F.col(ident).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("t"))
+        return df.select(F.col(f"`{ident}`").cast("string").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("row"),
+                         F.col(f"`{text}`").alias("t"))
 
-    bench = benchmark_windows(slim(benchmark, item_col, item_text_col))
+    bench = cut(distinctive(cut(benchmark_windows(slim(benchmark, item_col, item_text_col)))))
     packed = spark.sparkContext.broadcast(bit_filter(bench))
     widths = sorted({r["width"] for r in bench.select("width").distinct().collect()})  # at most WINDOW - SHORTEST + 1 values
     found = document_windows(slim(docs, id_col, text_col), packed, widths)
     b = bench.select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), "width", "hash", "plain", F.col("pos").alias("ipos"),
-                     F.col("slots").alias("islots"), "total", "typed", "words")
+                     F.col("slots").alias("islots"), "total", "typed", "words", "need")
     pairs = (found.join(b, ["width", "hash", "plain"])
              .select(F.col("id").alias("doc_id"), F.col("row").alias("doc_row"), "item_id", "item_row", *_POINT))
-    return (_aligned(pairs).groupBy("doc_id", "item_id")
+    return _aligned(pairs)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, windows, item_windows, slots, changed) of every leak; ids of any type.
+
+    ``slots`` is the number of distinct slot values of the alignment,
+    ``changed`` how many of them differ from the benchmark's (0: a copy).
+    """
+    best = (_alignments(docs, benchmark, id_col, text_col, item_col, item_text_col).groupBy("doc_id", "item_id")
             .agg(F.max_by(F.struct("windows", "item_windows", "slots", "changed"),
-                          F.struct("windows", -F.col("changed"))).alias("best"))
-            .select("doc_id", "item_id", "best.*"))
+                          F.struct("windows", -F.col("changed"))).alias("best")))
+    return best.select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"),
+                       F.col("item_id").cast(benchmark.schema[item_col].dataType).alias("item_id"), "best.*")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that match an item (rows without an id stay)."""
-    leaks = matches(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("__leak"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents whose text matches an item. The text
+    alone decides: all rows with it go, whatever their id (also a null one),
+    and another text under the same id stays."""
+    leaks = _alignments(docs, benchmark, id_col, text_col, "item_id", "text").select(F.col("doc_row").alias("leak")).distinct()
+    return docs.join(leaks, F.xxhash64(docs[f"`{text_col}`"]) == leaks["leak"], "left_anti")
