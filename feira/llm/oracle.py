@@ -42,23 +42,23 @@ ct AS (SELECT lang, class, sum(n) AS n FROM h WHERE lang IS NOT NULL GROUP BY la
 lw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+')) AS word
                                               FROM d WHERE lang IS NOT NULL) GROUP BY lang, word),
 lt AS (SELECT lang, sum(n) AS n FROM lw GROUP BY lang),
-refs AS (SELECT lang, n FROM lt WHERE n >= (SELECT sum(n) FROM lt) * 0.01),
+refs AS (SELECT lang, n, n >= (SELECT sum(n) FROM lt) * 0.01 AS big FROM lt WHERE n >= 500 OR n >= (SELECT sum(n) FROM lt) * 0.01),
 cq AS (SELECT lang, class, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM ct WHERE lang IN (SELECT lang FROM refs)),
 wq AS (SELECT lang, word, n / (SELECT n FROM refs WHERE refs.lang = lw.lang) AS q FROM lw
        WHERE lang IN (SELECT lang FROM refs)
        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 32),
 wt AS (SELECT lang, sum(q) AS top FROM wq GROUP BY lang),
-cp AS (SELECT r, class, n / greatest(sum(n) OVER (PARTITION BY r), 1) AS p FROM h),
+cp AS (SELECT r, lang AS own, class, n / greatest(sum(n) OVER (PARTITION BY r), 1) AS p FROM h),
 cd AS (SELECT r, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
                                          + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist
-       FROM cp JOIN cq USING (class) GROUP BY r, lang),
+       FROM cp JOIN cq USING (class) JOIN refs USING (lang) WHERE refs.big OR cq.lang = cp.own GROUP BY r, lang),
 cm AS (SELECT r, min(dist) AS char_dist FROM cd GROUP BY r),
 dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, lower(unnest(ws)) AS word FROM c) GROUP BY r, word),
-n AS (SELECT r, len(ws) AS n_words FROM c),
+n AS (SELECT r, lang AS own, len(ws) AS n_words FROM c),
 wp AS (SELECT n.r, wt.lang, wt.top, sum(dw.n / n.n_words) AS p, sum(wq.q) AS q,
               sum((dw.n / n.n_words) * log2(2 * (dw.n / n.n_words) / (dw.n / n.n_words + wq.q))
                   + wq.q * log2(2 * wq.q / (dw.n / n.n_words + wq.q))) AS terms
-       FROM n CROSS JOIN wt LEFT JOIN (dw JOIN wq USING (word)) ON dw.r = n.r AND wq.lang = wt.lang
+       FROM n JOIN (wt JOIN refs USING (lang)) ON refs.big OR wt.lang = n.own LEFT JOIN (dw JOIN wq USING (word)) ON dw.r = n.r AND wq.lang = wt.lang
        GROUP BY n.r, wt.lang, wt.top),
 wo AS (SELECT r, coalesce(terms, 0) AS terms, coalesce(q, 0) AS q, top, greatest(1 - coalesce(p, 0), 0) AS po, 1 - top AS qo FROM wp),
 wm AS (SELECT r, min(sqrt(greatest((terms + (top - q) + CASE WHEN po > 0 THEN po * log2(2 * po / (po + qo)) ELSE 0 END
@@ -71,10 +71,11 @@ lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(
           WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 x AS (SELECT c.doc_id, n.n_words::BIGINT AS n_words, c.word_chars::BIGINT AS word_chars, c.n_symbols::BIGINT AS n_symbols,
              coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-             n.n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n.n_words AS base_failed, cm.char_dist, wm.word_dist
+             n.n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n.n_words AS base_failed, cm.char_dist, wm.word_dist,
+             c.lang IS NOT NULL AND c.lang NOT IN (SELECT lang FROM refs) AS strange
       FROM c JOIN n USING (r) LEFT JOIN rep USING (r) LEFT JOIN lines USING (r) LEFT JOIN cm USING (r) LEFT JOIN wm USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (n_words < 20 OR coalesce(char_dist, 0) <= 0.30) AND (n_words < 50 OR coalesce(word_dist, 0) <= 0.45) AS kept
+       NOT base_failed AND (strange OR (n_words < 20 OR coalesce(char_dist, 0) <= 0.30) AND (n_words < 50 OR coalesce(word_dist, 0) <= 0.45)) AS kept
 FROM x
 """
 
