@@ -39,17 +39,19 @@ def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: every document is
-    inserted under two tokenizer versions; exact copies of a document with a
-    smaller id are deleted; words/1 (white space) is revised to words/2 (runs
-    of letters and digits). Each batch is committed twice, which changes nothing."""
+    inserted under two tokenizer versions; all rows of a text but one (of the
+    smallest id, a null one first) are deleted; words/1 (white space) is
+    revised to words/2 (runs of letters and digits) for the rest. Each batch is
+    committed twice, which changes nothing. Batches name rows, not ids, so
+    repeated ids are counted right."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", "source", "lang", "text", F.octet_length(text).cast("long").alias("bytes"), F.xxhash64(text).alias("same"),
         mixing.word_count(F.col("text")).alias("words_1"),
         F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")).cast("long").alias("words_2"))
-    counts = cut(rollup.bpe_tokens(docs, VOCABULARY, PATTERN, out="bpe"))
-    first = counts.groupBy("same").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "same").filter(F.col("doc_id") > F.col("first"))
+    counts = cut(rollup.bpe_tokens(docs.withColumn("row", F.monotonically_increasing_id()), VOCABULARY, PATTERN, out="bpe"))
+    first = counts.groupBy("same").agg(F.min(F.struct("doc_id", "row"))["row"].alias("first"))
+    copies = counts.join(first, "same").filter(F.col("row") != F.col("first"))
 
     def of(rows: DataFrame, version: str, tokens: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(tokens).alias("tokens"), "bytes")
@@ -57,7 +59,7 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def both(rows: DataFrame) -> DataFrame:
         return of(rows, "byte_bpe_50k/1", "bpe").unionByName(of(rows, "words/1", "words_1"))
 
-    left = counts.join(copies.select("doc_id"), "doc_id", "left_anti")
+    left = counts.join(copies.select("row"), "row", "left_anti")
     totals = rollup.Rollup(spark, scratch(spark, "token-rollup"))
     for _ in range(2):
         totals.commit("001-insert", rollup.signed(both(counts), 1))
