@@ -55,7 +55,8 @@ def test_labelled_toxic_documents_go_and_others_stay(spark, sf_small, stages):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_their_sql(spark, sf_small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_small}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_small}/{table}.parquet'")
     want = con.sql(ORACLE[name]).df()
     got = QUERIES[name](spark, sf_small).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
