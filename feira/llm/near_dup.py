@@ -21,7 +21,7 @@
    blocks of about BLOCK members, so a bucket of any size is spread over many
    tasks; a pair is looked at in the first bucket it shares. Pairs that agree on
    at least SKETCH samples (a pair at 0.8 does with 99.6%, at 0.85 with 99.99%)
-   are checked on whole texts too, which only then are shuffled. No candidate is dropped, and pairs already
+   are checked on whole texts too, until their components are united. No candidate is dropped, and pairs already
    known to be in one class are the only ones skipped.
 4. Verified pairs (similarity >= THRESHOLD) are merged to classes.
 
@@ -246,18 +246,39 @@ def _similar(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return map_arrow(joined, run, "a long, b long")
 
 
-def _alike_in_blocks(members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different components that share a bucket and agree on SKETCH samples.
+def _uniting(a: list[int], b: list[int], comp: list[int], of: dict[int, tuple]) -> list[int]:
+    """Places of the similar pairs that unite two components, in the order of the pairs."""
+    root: dict[int, int] = {}
 
-    ``members``: (bucket, node, comp, samples, n), n the bucket's size. Texts
-    are not dealt out here; the pairs that come out are checked on them.
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for k, (x, y) in enumerate(zip(a, b)):
+        one, two = find(comp[x]), find(comp[y])
+        if one != two and _is_similar(of[x], of[y]):
+            root[max(one, two)] = min(one, two)
+            out.append(k)
+    return out
+
+
+def _similar_in_blocks(members: DataFrame, idf) -> DataFrame:
+    """Similar pairs (a, b) of different components that share a bucket, enough to unite them.
+
+    ``members``: (bucket, node, comp, samples, n, t), n the bucket's size. Pairs
+    that agree on SKETCH samples are checked on their texts, in the same task,
+    those that agree most first; a pair whose components are already united in
+    its block adds nothing and is passed over. So a block yields fewer links
+    than it has components, however many of its pairs are similar.
     """
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
     dealt = (members.withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") <= F.col("other")).alias("first"), "node", "comp", "samples"))
+                     (F.col("own") <= F.col("other")).alias("first"), "node", "comp", "samples", "t"))
 
     def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
@@ -269,14 +290,23 @@ def _alike_in_blocks(members: DataFrame) -> DataFrame:
             a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first), indexing="ij"))
         differ = comp[a] != comp[b]
         a, b = a[differ], b[differ]
-        close = np.concatenate([(samples[a[k:k + 20_000]] == samples[b[k:k + 20_000]]).sum(1) >= SKETCH
-                                for k in range(0, len(a), 20_000)]) if len(a) else np.zeros(0, bool)
-        a, b = a[close], b[close]
+        agree = np.concatenate([(samples[a[k:k + 20_000]] == samples[b[k:k + 20_000]]).sum(1)
+                                for k in range(0, len(a), 20_000)]) if len(a) else np.zeros(0, np.int64)
+        best = np.argsort(-agree, kind="stable")
+        best = best[agree[best] >= SKETCH]
+        a, b = a[best], b[best]
         if len(a):  # only in the first bucket that the pair shares
             keys = band_keys(samples.view(np.uint32))
             shared = keys[a] == keys[b]
             here = T.signed(keys[a, shared.argmax(1)].copy()) == rows["bucket"][0].as_py()
             a, b = a[here], b[here]
+        if len(a):
+            used = np.unique(np.concatenate([a, b]))
+            h, text, weight = _weighted(rows["t"].combine_chunks().take(pa.array(used)), idf.value)
+            cuts = np.searchsorted(text, np.arange(len(used) + 1))
+            of = {u: (h[s:e], weight[s:e], weight[s:e].sum()) for u, s, e in zip(used.tolist(), cuts[:-1], cuts[1:])}
+            good = _uniting(a.tolist(), b.tolist(), comp.tolist(), of)
+            a, b = a[good], b[good]
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +353,8 @@ def classes_of_nodes(texts: DataFrame) -> DataFrame:
     seen = (members.join(comps, "node", "left")
             .select("bucket", "node", "n", F.coalesce("component", "node").alias("comp")))
     live = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    left = seen.join(live, "bucket").join(drawn.select("node", "samples"), "node")
-    alike = cut(_alike_in_blocks(left).distinct())
-    return components(links.union(cut(_similar(alike, own_text, idf))))
+    left = seen.join(live, "bucket").join(drawn.select("node", "samples"), "node").join(own_text, "node")
+    return components(links.union(cut(_similar_in_blocks(left, idf))))
 
 
 def _node(text_col: str) -> Column:
