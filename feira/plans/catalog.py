@@ -21,6 +21,7 @@ from feira.operators import feeds as FD
 from feira.operators import order_bitmaps as OB
 from feira.operators import revenue as R
 from feira.operators import stages as ST
+from feira.operators.exact_totals import exact_totals
 from feira.operators.geo import geo_feed
 from feira.operators.heatmap import heatmap_cell_text, heatmap_grid, heatmap_long
 from feira.operators.trend import daily_orders, daily_trend
@@ -146,6 +147,14 @@ def q_small_values(spark, sf_dir):
     return R.vendor_revenue(items, "small", sort=False)
 
 
+@query("vendor_totals_any_size")
+def q_vendor_totals_any_size(spark, sf_dir):
+    """Totals per vendor, rounded once, of values from 1e-24 to 1e29 (binary multiples of the amounts)."""
+    sized = items(spark, sf_dir).filter("seller_id IS NOT NULL").select(
+        "seller_id", "Total", (F.col("price") * 2.0 ** -80).alias("price_tiny"), (F.col("freight_value") * 2.0 ** 80).alias("freight_huge"))
+    return exact_totals(sized, ["seller_id"], ["Total", "price_tiny", "freight_huge"])
+
+
 @query("revenue_metrics_display")
 def q_revenue_display(spark, sf_dir):
     return FD.revenue_metrics_display(R.revenue_kpis(items(spark, sf_dir)))

@@ -87,6 +87,15 @@ def ratio(num: str, den: str, scale: str = "", otherwise: str = "NULL") -> str:
     return f"CASE WHEN {den} <> 0 THEN {body} ELSE {otherwise} END"
 
 
+def rounded_once(column: str, power: int = 0) -> str:
+    """A total in units of 2^-60 (HUGEINT) as the nearest double times 2^power: its 61
+    leading bits, the last of them set if anything follows, go through BIGINT."""
+    cut = f"GREATEST(0, COALESCE(CAST(FLOOR(LOG2(CAST(NULLIF({column}, 0) AS DOUBLE))) AS INTEGER), 0) - 60)"
+    unit = f"CAST(POW(2, {cut}) AS HUGEINT)"
+    lead = f"(({column} // {unit}) | CASE WHEN {column} % {unit} <> 0 THEN 1 ELSE 0 END)"
+    return f"CAST(CAST({lead} AS BIGINT) AS DOUBLE) * POW(2, {cut} - 60 + {power})"
+
+
 def _with(body: str, extra: str = "") -> str:
     ctes = INPUTS.strip() + (",\n" + extra.strip() if extra else "")
     return f"WITH {ctes}\n{body.strip()}"
@@ -186,6 +195,11 @@ FROM detailed""")
     q["small_value_totals"] = _with(f"""
 SELECT seller_id, {money("CAST(order_id % 1000003 AS DOUBLE) / CAST(1000000 AS DOUBLE)")} AS Total
 FROM order_items WHERE seller_id IS NOT NULL GROUP BY seller_id""")
+    sums = ", ".join(f"COALESCE(SUM(CAST({c} * POW(2, 60) AS HUGEINT)), 0::HUGEINT)::HUGEINT AS {c}" for c in ("Total", "price", "freight_value"))
+    q["vendor_totals_any_size"] = _with(f"""
+SELECT seller_id, {rounded_once("Total")} AS Total, {rounded_once("price", -80)} AS price_tiny,
+  {rounded_once("freight_value", 80)} AS freight_huge
+FROM (SELECT seller_id, {sums} FROM detailed WHERE seller_id IS NOT NULL GROUP BY seller_id)""")
     q["order_totals"] = _with(f"SELECT order_id, {money('Total')} AS Total FROM detailed "
                               "WHERE order_id IS NOT NULL GROUP BY order_id")
     q["revenue_kpis"] = _with("SELECT * FROM kpis", _revenue_kpis_cte())
