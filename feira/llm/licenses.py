@@ -1,15 +1,20 @@
 """Licence scans by a positional rare-token index, in DataFrame operations only.
 
-TEMPLATES are short licence texts, each with a label and a mandatory key
-phrase. The document frequency of every template word is counted over all
-documents; of each template the RARE words with the highest idf are indexed
-with their positions. Per file every indexed word it holds is looked up (the
-templates bound their number): every occurrence votes, through the postings,
-for an alignment (template, file position - template position). An
-alignment with votes of at least VOTES different template words (all of them
-if the template has fewer indexed words) is verified on the words themselves:
-the key phrase must stand where the template has it, and the share of template
-words at their places must reach COVER.
+The licences (``licence_texts``) are whole licence texts and notices, short
+references, names and SPDX tags, each with a label and a mandatory key phrase. A whole
+text is cut into segments of SEGMENT words, so a changed or inserted word costs
+one segment and not what follows it. The document frequency of every licence
+word is counted over all documents; of each segment the RARE words with the
+highest idf are indexed with their positions. Per file every indexed word it
+holds is looked up (the licences bound their number): every occurrence votes,
+through the postings, for an alignment (segment, file position - segment
+position). An alignment with votes of at least VOTES different segment words
+(all of them if the segment has fewer indexed words) is verified on the words
+themselves: the share of segment words at their places must reach COVER, and
+the key phrase, if it begins in this segment, must stand where the text has it.
+A licence is found if the segment with its key phrase is, and if at least SHARE
+of its words stand in place in the segments found; that share is its score, and
+the score of a file is its best one.
 
 All steps work on the arrays of one row, so no shuffle follows the count, and
 files without any indexed word stop after one look at their words.
@@ -24,41 +29,54 @@ ordered by word; repeated rows are alike; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feira.llm import licence_texts
+
 RARE = 6
 VOTES = 2
 COVER = 0.75
+SEGMENT = 20
+SHARE = 0.5
 
 #: Phrases and labels of the base (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: (label, words of the template, mandatory key phrase) (fixed values).
-TEMPLATES = (
-    ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    ("apache", "licensed under the apache license version 2 0", "apache license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
-     "redistribution and use in source and binary forms"),
-    ("cc-by", "licensed under cc by", "cc by"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0"),
-    ("eclipse", "made available under the terms of the eclipse public license", "eclipse public license"),
-    ("gpl", "licensed under the gnu general public license version 3", "general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
-     "permission is hereby granted free of charge"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential",
-     "proprietary and confidential"),
-    ("reserved", "all rights reserved", "all rights reserved"),
-    ("unlicense", "this is free and unencumbered software released into the public domain",
-     "free and unencumbered software"),
-)
+
+class Segment(NamedTuple):
+    licence: int
+    words: list[str]
+    key: list[str]  # the key phrase, if it begins in this segment
+    place: int      # and where it does
+    alone: bool     # nothing else may stand in the text
+
+
+def _plain(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def _cut(licence: int, text: str, phrase: str, alone: bool) -> list[Segment]:
+    """The segments of one text; a short rest belongs to the last one."""
+    words, key = _plain(text), phrase.split()
+    place = next(i for i in range(len(words)) if words[i:i + len(key)] == key)
+    ends = [*range(SEGMENT, len(words) - SEGMENT // 2, SEGMENT), len(words)]
+    return [Segment(licence, words[a:b], key if a <= place < b else [], place - a if a <= place < b else 0, alone)
+            for a, b in zip([0, *ends], ends)]
+
+
+def _all(forms: str, pairs) -> list[tuple[str, str, str]]:
+    return [(label, forms.format(name), forms.format(name)) for label, name in pairs]
+
+
+_ALONE = _all("{}", licence_texts.NAMES)
+#: (label, text, mandatory key phrase)
+TEMPLATES = (*licence_texts.WHOLE, *licence_texts.SHORT, *_all("spdx license identifier {}", licence_texts.SPDX),
+             *_all("{} copyright", licence_texts.NAMES), *_all("under the {}", licence_texts.NAMES), *_ALONE)
+SEGMENTS = [x for i, (_, text, phrase) in enumerate(TEMPLATES) for x in _cut(i, text, phrase, i >= len(TEMPLATES) - len(_ALONE))]
 
 
 def let(value: Column, body) -> Column:
@@ -75,22 +93,29 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<int>")
+
+
+def _word_lists(values: list[list[str]]) -> Column:
+    return F.array(*[F.filter(F.split(F.lit(" ".join(v)), " "), lambda x: x != "") for v in values])
+
+
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Number of documents per template word (a fixed set of words)."""
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+    """Number of documents per licence word (a fixed set of words)."""
+    vocabulary = sorted({w for s in SEGMENTS for w in s.words})
     found = docs.select(F.explode(F.array_distinct(F.filter(words_of(F.col(text_col)), lambda w: w.isin(vocabulary)))).alias("w"))
     counts = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return {w: counts.get(w, 0) for w in vocabulary}
 
 
 def build_index(frequencies: dict[str, int], n_docs: int) -> tuple[dict[str, float], dict[str, list[tuple[int, int]]]]:
-    """(idf of the indexed words, their postings (template, position))."""
+    """(idf of the indexed words, their postings (segment, position))."""
     idf = {w: math.log((1 + n_docs) / (1 + n)) for w, n in frequencies.items()}
     postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        words = text.split()
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:RARE]
-        for p, w in enumerate(words):
+    for t, segment in enumerate(SEGMENTS):
+        rare = sorted(set(segment.words), key=lambda w: (-idf[w], w))[:RARE]
+        for p, w in enumerate(segment.words):
             if w in rare:
                 postings.setdefault(w, []).append((t, p))
     return {w: idf[w] for w in postings}, postings
@@ -116,16 +141,18 @@ def _base_places(w: Column) -> list[Column]:
 
 
 def _alignments(w: Column, postings: dict[str, list[tuple[int, int]]]) -> Column:
-    """Verified (template, offset, cover) of one file's words."""
+    """Verified (segment, offset, number of words in place) of one file's words."""
     indexed = sorted(postings)
     post = F.create_map(*[x for k in indexed for x in (
         F.lit(k), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[k]]))])
-    templates = F.array(*[_strings(t.split()) for _, t, _ in TEMPLATES])
-    needed = F.array(*[F.lit(min(VOTES, len({k for k in indexed if any(t == x for x, _ in postings[k])})))
-                       for t in range(len(TEMPLATES))])
-    phrases = F.array(*[_strings(k.split()) for _, _, k in TEMPLATES])
-    at = F.array(*[F.lit(f" {t} ".find(f" {k} ") and f" {t} "[:f" {t} ".find(f" {k} ")].count(" ") or 0)
-                   for _, t, k in TEMPLATES])
+    segments = _word_lists([s.words for s in SEGMENTS])
+    known: dict[int, set[str]] = {}
+    for k in indexed:
+        for t, _ in postings[k]:
+            known.setdefault(t, set()).add(k)
+    needed = _numbers([min(VOTES, len(known[t])) for t in range(len(SEGMENTS))])
+    alone = _numbers([int(s.alone) for s in SEGMENTS])
+    phrases, at = _word_lists([s.key for s in SEGMENTS]), _numbers([s.place for s in SEGMENTS])
     held = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda x: x["w"].isin(indexed))
 
     def voted(h: Column) -> Column:
@@ -135,7 +162,7 @@ def _alignments(w: Column, postings: dict[str, list[tuple[int, int]]]) -> Column
         return F.sort_array(F.array_distinct(votes))
 
     def runs(v: Column) -> Column:
-        """(template, offset, votes) from the sorted votes."""
+        """(segment, offset, votes) from the sorted votes."""
         begins = F.filter(F.transform(v, lambda x, i: F.struct(x["t"].alias("t"), x["o"].alias("o"), i.alias("i"))),
                           lambda x: (x["i"] == 0) | (F.get(v, F.greatest(x["i"] - 1, F.lit(0)))["t"] != x["t"])
                           | (F.get(v, F.greatest(x["i"] - 1, F.lit(0)))["o"] != x["o"]))
@@ -144,14 +171,40 @@ def _alignments(w: Column, postings: dict[str, list[tuple[int, int]]]) -> Column
 
     def checked(c: Column) -> Column:
         t, o = c["t"], c["o"]
-        words = F.get(templates, t)
+        words = F.get(segments, t)
         same = F.size(F.filter(F.transform(words, lambda x, i: F.coalesce(x == F.get(w, o + i), F.lit(False))), lambda x: x))
         key, place = F.get(phrases, t), F.get(at, t)
         holds = F.forall(F.transform(key, lambda x, i: F.coalesce(x == F.get(w, o + place + i), F.lit(False))), lambda x: x)
-        return F.struct(t.alias("t"), o.alias("o"), (same / F.size(words)).alias("cover"), holds.alias("holds"))
+        return F.struct(t.alias("t"), o.alias("o"), same.alias("same"),
+                        (holds & (same / F.size(words) >= COVER)
+                         & ((F.get(alone, t) == 0) | (F.size(w) == F.size(words)))).alias("ok"))
 
     candidates = let(let(held, voted), lambda v: F.filter(runs(v), lambda c: c["n"] >= F.get(needed, c["t"])))
-    return F.filter(F.transform(candidates, checked), lambda c: c["holds"] & (c["cover"] >= COVER))
+    return F.filter(F.transform(candidates, checked), lambda c: c["ok"])
+
+
+def _found(alignments: Column) -> Column:
+    """(licence, share of its words in place) of the licences found."""
+    licence_of = _numbers([s.licence for s in SEGMENTS])
+    has_key = _numbers([int(bool(s.key)) for s in SEGMENTS])
+    size = [0] * len(TEMPLATES)
+    for s in SEGMENTS:
+        size[s.licence] += len(s.words)
+    sizes = _numbers(size)
+
+    def judged(a: Column) -> Column:
+        def of(licence: Column) -> Column:
+            return let(F.filter(a, lambda x: F.get(licence_of, x["t"]) == licence), lambda own: F.struct(
+                licence.alias("licence"), F.exists(own, lambda x: F.get(has_key, x["t"]) == 1).alias("key"),
+                # a segment found at several places counts by its best one
+                (F.aggregate(F.array_distinct(F.transform(own, lambda x: x["t"])), F.lit(0), lambda n, t: n + F.array_max(
+                    F.transform(F.filter(own, lambda x: x["t"] == t), lambda x: x["same"])))
+                 / F.get(sizes, licence)).alias("share")))
+
+        return F.filter(F.transform(F.array_distinct(F.transform(a, lambda x: F.get(licence_of, x["t"]))), of),
+                        lambda x: x["key"] & (x["share"] >= SHARE))
+
+    return let(alignments, judged)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,11 +223,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             every = F.flatten(found)
             base = F.filter(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for p, (_, label) in zip(places, BASE)]),
                             lambda x: x.isNotNull())
-            return let(_alignments(w, postings), lambda a: F.struct(
+            return let(_found(_alignments(w, postings)), lambda a: F.struct(
                 F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
                 F.array_max(every).cast("long").alias("last_word"), F.sort_array(F.array_distinct(base)).alias("base"),
-                F.sort_array(F.array_distinct(F.concat(base, F.transform(a, lambda x: F.get(labels_of, x["t"]))))).alias("all"),
-                F.coalesce(F.array_max(F.transform(a, lambda x: x["cover"])),
+                F.sort_array(F.array_distinct(F.concat(base, F.transform(a, lambda x: F.get(labels_of, x["licence"]))))).alias("all"),
+                F.coalesce(F.array_max(F.transform(a, lambda x: x["share"])),
                            F.when(F.size(every) > 0, F.lit(1.0)), F.lit(0.0)).alias("score")))
 
         return F.struct(F.size(w).cast("long").alias("n_words"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -176,6 +177,68 @@ def test_licences_of_a_file_with_every_notice(spark):
     assert got[2] == "apache,bsd,isc,mit" and got[3] == ""
 
 
+def brute_labels(text, postings):
+    """(labels, score) by trying every segment at every place."""
+    w, found = lic_words(text), {}
+    for t, s in enumerate(licenses.SEGMENTS):
+        rare = {k for k in postings if any(x == t for x, _ in postings[k])}
+        for o in range(-len(s.words) + 1, len(w)):
+            hit = [x for i, x in enumerate(s.words) if 0 <= o + i < len(w) and w[o + i] == x]
+            votes = sum(x in rare for x in hit)
+            key = all(0 <= o + s.place + i < len(w) and w[o + s.place + i] == x for i, x in enumerate(s.key))
+            if (votes >= min(licenses.VOTES, len(rare)) and key and len(hit) >= licenses.COVER * len(s.words)
+                    and (not s.alone or len(w) == len(s.words))):
+                found[t] = max(found.get(t, 0), len(hit))
+    labels, score = {x for x in brute_licence(text)[4].split(",") if x}, 0.0
+    if labels:
+        score = 1.0
+    shares = []
+    for licence, (label, _, _) in enumerate(licenses.TEMPLATES):
+        own = [(t, s) for t, s in enumerate(licenses.SEGMENTS) if s.licence == licence]
+        share = sum(found.get(t, 0) for t, _ in own) / sum(len(s.words) for _, s in own)
+        if share >= licenses.SHARE and any(s.key and t in found for t, s in own):
+            labels.add(label)
+            shares.append(share)
+    return ",".join(sorted(labels)), max(shares) if shares else score
+
+
+def licence_files():
+    rng = random.Random(3)
+    whole = [t for _, t, _ in licenses.TEMPLATES]
+    files = [*LICENCES, *whole, "MIT License", "The MIT License is not meant", "SPDX-License-Identifier: BSD-3-Clause", "BSD License\nCopyright 2020",
+             "// SPDX-License-Identifier: GPL-2.0-or-later\nint main() {}", "Mozilla Public License",
+             "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+             whole[0] + " " + whole[1], "x " * 3000 + whole[6] + " y" * 3000]
+    for text in whole[:11]:
+        for every in (9, 25, 40):  # a word changed, missing or put in every few words
+            w = text.split()
+            for i in range(rng.randrange(every), len(w), every):
+                w[i] = rng.choice(["", "other", w[i] + " new"])
+            files.append("Copyright 2021 Some Body\n" + " ".join(w))
+    return files
+
+
+def test_licence_labels_and_score_by_brute_force(spark):
+    files = licence_files()
+    df = frame(spark, [(i, t, "s", None, 0) for i, t in enumerate(files)])
+    _, postings = licenses.build_index(licenses.document_frequencies(df), len(files))
+    for r in licenses.scan(df).collect():
+        labels, score = brute_labels(files[r.doc_id], postings)
+        assert (r.labels, round(r.score, 12)) == (labels, round(score, 12)), files[r.doc_id]
+
+
+def test_licences_named_tagged_and_edited(spark):
+    text = dict((label, t) for label, t, _ in reversed(licenses.TEMPLATES[:11]))
+    words = {k: t.split() for k, t in text.items()}
+    edited = {k: " ".join([*w[:3], "inserted", *w[3:]]) for k, w in words.items()}
+    files = {"MIT License": "mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd", "# SPDX-License-Identifier: Apache-2.0": "apache",
+             "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+             "You may use it under the ISC license": "isc", **{t: k for k, t in text.items()}, **{t: k for k, t in edited.items()}}
+    df = frame(spark, [(i, t, "s", None, 0) for i, t in enumerate(files)])
+    for r in licenses.scan(df).collect():
+        assert list(files.values())[r.doc_id] in r.labels.split(","), (r, list(files)[r.doc_id])
+
+
 def test_native_plans_have_no_python(docs):
     for df in (mixing.mix(docs), quality.quality(docs), licenses.scan(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
