@@ -5,7 +5,8 @@ references, names and SPDX tags, each with a label and a mandatory key phrase. A
 text is cut into segments of SEGMENT words, so a changed or inserted word costs
 one segment and not what follows it. The document frequency of every licence
 word is counted over all documents; of each segment the RARE words with the
-highest idf are indexed with their positions. Per file every indexed word it
+highest idf, at most half of its words, are indexed with their positions, so
+that no word that every text holds is looked up. Per file every indexed word it
 holds is looked up (the licences bound their number): every occurrence votes,
 through the postings, for an alignment (segment, file position - segment
 position). An alignment with votes of at least VOTES different segment words
@@ -114,7 +115,8 @@ def build_index(frequencies: dict[str, int], n_docs: int) -> tuple[dict[str, flo
     idf = {w: math.log((1 + n_docs) / (1 + n)) for w, n in frequencies.items()}
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, segment in enumerate(SEGMENTS):
-        rare = sorted(set(segment.words), key=lambda w: (-idf[w], w))[:RARE]
+        names = sorted(set(segment.words), key=lambda w: (-idf[w], w))
+        rare = names[:min(RARE, (len(names) + 1) // 2)]
         for p, w in enumerate(segment.words):
             if w in rare:
                 postings.setdefault(w, []).append((t, p))
