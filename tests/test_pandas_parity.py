@@ -1,9 +1,11 @@
-"""Semantics checked against pandas itself on randomized inputs: ``pd.cut``
-(right-closed bins), ``pd.to_timedelta`` (Delay text), ``pd.crosstab`` (the
-heat-map grid) and ``rolling(...).mean()`` (the daily trend)."""
+"""Semantics on randomized inputs: against pandas itself where a function of it
+defines them (``pd.cut``, ``pd.to_timedelta``), else counted row by row from
+the written rules (heat map, daily trend, geo feed, revenue, delivery)."""
 
 import datetime as dt
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,7 +73,7 @@ def test_delay_text_equals_pd_to_timedelta(spark):
             assert g == w, t
 
 
-def test_heatmap_equals_pd_crosstab(spark):
+def test_heatmap_counts_cell_by_cell(spark):
     rng = np.random.default_rng(13)
     n = 4000
     days = np.round(rng.uniform(-40, 0.5, n), 3)
@@ -79,24 +81,28 @@ def test_heatmap_equals_pd_crosstab(spark):
     pct = np.round(rng.uniform(-5, 105, n), 1)
     pct[40:60] = [0, 10, 100, 100.0001, -0.0001] * 4
     pct[60:70] = np.nan
-    pdf = pd.DataFrame({"delay_days": days, "Site_Real_PCT": pct})
     late = spark.createDataFrame([(float(a), None if np.isnan(b) else float(b)) for a, b in zip(days, pct)],
                                  "delay_days double, Site_Real_PCT double")
     got = heatmap_grid(late).collect()
-    # the reference's computation, in pandas
-    edges, labels = edges_from_ranges(RANGES), range_labels(RANGES)
-    d_bin = pd.cut(pdf["delay_days"], bins=edges, labels=labels, include_lowest=True)
-    p_bin = pd.cut(pdf["Site_Real_PCT"], bins=np.linspace(0, 100, 11), labels=pct_labels(), include_lowest=True)
-    heat = pd.crosstab(d_bin, p_bin, dropna=False).fillna(0).sort_index(ascending=False)
-    want = [([None if pd.isna(ix) else ix] + [int(heat.loc[ix, c]) if c in heat.columns else 0
-                                              for c in pct_labels()]) for ix in heat.index]
-    got_rows = [[r["delay_bin"]] + [r[c] for c in pct_labels()] for r in got]
-    key = lambda row: (row[0] is None, str(row[0]))
-    assert sorted(got_rows, key=key) == sorted(want, key=key)
-    assert [r[0] for r in got_rows][:5] == list(reversed(labels))
-
-
-def test_rolling_mean_equals_pandas(spark):
+    # counted cell by cell: an interval holds its upper edge, the first one its lower edge too;
+    # a column for every percentage interval, the last row for delays or percentages outside
+    labels, tens = range_labels(RANGES), [(10 * k, 10 * k + 10) for k in range(10)]
+
+    def place(value, intervals):
+        inside = [i for i, (lo, hi) in enumerate(intervals) if lo < value <= hi or (i == 0 and value == lo)]
+        return inside[0] if inside else None
+
+    cells = Counter((place(a, RANGES), place(b, tens)) for a, b in zip(days, pct))
+    got_rows = {r["delay_bin"]: [r[c] for c in pct_labels()] for r in got}
+    assert len(got_rows) == len(got)
+    for i, label in enumerate(labels):
+        assert got_rows[label] == [cells[i, k] for k in range(10)], label
+    outside = [cells[None, k] for k in range(10)]
+    assert got_rows.get(None, [0] * 10) == outside
+    assert [r["delay_bin"] for r in got][:5] == labels[::-1]
+
+
+def test_rolling_mean_over_days_with_orders(spark):
     rng = np.random.default_rng(14)
     start = dt.datetime(2021, 1, 1)
     rows, oid = [], 0
@@ -105,14 +111,18 @@ def test_rolling_mean_equals_pandas(spark):
             oid += 1
             rows.append((oid % 700, start + dt.timedelta(days=int(d), hours=int(rng.integers(0, 24)))))
     df = spark.createDataFrame(rows, "order_id long, order_purchase_timestamp timestamp")
+    # the orders of a day as a set, the mean over the last days that have orders
+    per_day = {}
+    for order, at in rows:
+        per_day.setdefault(at.date(), set()).add(order)
+    days = sorted(per_day)
+    counts = [len(per_day[d]) for d in days]
     for window in (1, 3, 7, 30):
-        got = daily_trend(df, window=window).toPandas()
-        pdf = pd.DataFrame(rows, columns=["order_id", "order_purchase_timestamp"])
-        pdf["date"] = pd.to_datetime(pdf["order_purchase_timestamp"]).dt.date
-        daily = pdf.groupby("date").agg(orders=("order_id", "nunique")).reset_index().sort_values("date")
-        daily["orders_roll"] = daily["orders"].rolling(window, min_periods=1).mean()
-        assert list(got["orders"]) == list(daily["orders"])
-        assert np.allclose(got["orders_roll"], daily["orders_roll"], rtol=0, atol=1e-12)
+        got = daily_trend(df, window=window).collect()
+        assert [r.orders for r in got] == counts
+        for i, r in enumerate(got):
+            last = counts[max(0, i + 1 - window):i + 1]
+            assert abs(r.orders_roll - sum(last) / len(last)) <= 1e-12, (window, days[i])
 
 
 def test_geo_feed_equals_pandas(spark):
@@ -149,7 +159,7 @@ def test_geo_feed_equals_pandas(spark):
             assert list(got["label"]) == [f"{s}<br>{v:,}" for s, v in want.items()]
 
 
-def test_revenue_path_equals_pandas(spark):
+def test_revenue_path_pair_by_pair(spark):
     from feira.operators import revenue as R
 
     rng = np.random.default_rng(16)
@@ -175,25 +185,43 @@ def test_revenue_path_equals_pandas(spark):
     })
     det = R.prepare_data(spark.createDataFrame(items), spark.createDataFrame(prods))
 
-    # the reference's computation, in pandas
-    ref = pd.merge(items, prods, on="product_id", how="left")
-    ref["product_category_name"] = ref["product_category_name"].fillna("Others")
-    ref["Total"] = ref["price"] + ref["freight_value"]
-    assert det.count() == len(ref)
+    # pair by pair from the written rules: an item meets every product with its id (no id meets no id),
+    # one row without a product if there is none
+    def rows_of(pdf):
+        return [{c: None if pd.isna(v) else v for c, v in r.items()} for r in pdf.to_dict("records")]
+
+    catalogue = {}
+    for p in rows_of(prods):
+        catalogue.setdefault(p["product_id"], []).append(p)
+    nothing = dict.fromkeys(prods.columns)
+    joined = [{**p, **i} for i in rows_of(items) for p in catalogue.get(i["product_id"], [nothing])]
+    paid = [None if r["freight_value"] is None else r["price"] + r["freight_value"] for r in joined]
+    assert det.count() == len(joined)
+
+    per_order = {}
+    for r, amount in zip(joined, paid):
+        if r["order_id"] is not None:
+            per_order.setdefault(r["order_id"], []).append(amount or 0.0)
     k = R.revenue_kpis(det).first()
-    totals = ref.groupby("order_id")["Total"].sum()
-    assert k.total_revenue == pytest.approx(ref["Total"].sum(), rel=1e-12)
-    assert k.total_orders == len(totals) and k.total_products == len(ref)
-    assert k.average_order_value == pytest.approx(totals.mean(), rel=1e-12)
+    assert k.total_revenue == pytest.approx(math.fsum(a for a in paid if a is not None), rel=1e-12)
+    assert k.total_orders == len(per_order) and k.total_products == len(joined)
+    assert k.average_order_value == pytest.approx(math.fsum(map(math.fsum, per_order.values())) / len(per_order), rel=1e-12)
+
     for key in ("product_category_name", "seller_id"):
         for metric in ("Total", "freight_value", "price"):
-            want = ref.groupby(key)[metric].sum()
+            want = {}
+            for r, amount in zip(joined, paid):
+                group = r[key] or "Others" if key == "product_category_name" else r[key]
+                if group is not None:
+                    want.setdefault(group, []).append((amount if metric == "Total" else r[metric]) or 0.0)
             got = {r[key]: r.Total for r in R.revenue_by(det, key, metric).collect()}
-            assert set(got) == set(want.index)
-            assert all(abs(got[i] - want[i]) < 1e-6 for i in want.index)
-    miss = {r.column_name: r.missing_count for r in R.missing_dimensional_data(det).collect()}
-    assert miss == {c: int(ref[c].isna().sum()) for c in R.DIMENSION_COLUMNS}
-    assert R.volume_analysis_data(det).count() == len(ref.dropna(subset=R.DIMENSION_COLUMNS))
+            assert set(got) == set(want)
+            assert all(abs(got[g] - math.fsum(v)) < 1e-6 for g, v in want.items())
+    absent = Counter(c for r in joined for c in R.DIMENSION_COLUMNS if r[c] is None)
+    assert {r.column_name: r.missing_count for r in R.missing_dimensional_data(det).collect()} == {
+        c: absent[c] for c in R.DIMENSION_COLUMNS}
+    complete = sum(all(r[c] is not None for c in R.DIMENSION_COLUMNS) for r in joined)
+    assert R.volume_analysis_data(det).count() == complete
 
 
 def test_delivery_kpis_equal_pandas(spark):
