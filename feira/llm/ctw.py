@@ -11,9 +11,12 @@ and the deeper mixture, weighted by their posterior shares.
 The model is trained once and then scores every text, so the probability of a
 byte depends on (context, byte) alone. Spark counts all (DEPTH + 1)-grams of
 all texts (with zero counts for those outside the training texts), and the
-trees are evaluated bottom-up for whole groups of grams with the same two
-last bytes; only the two top levels (at most 256 * 255 nodes) pass through the
-driver. The result is a table gram -> log10 probability that covers every gram
+trees are evaluated bottom-up for whole groups of grams with the same three
+last bytes before the symbol (a group holds at most 256^3 grams, whatever the
+corpus). A group yields its nodes at that depth; summed over their third byte
+they give the level above, which goes back to the groups as a few rows each
+(at most 255 nodes), and only the two top levels (at most 256 * 255 nodes)
+pass through the driver. The result is a table gram -> log10 probability that covers every gram
 of every text: no fallback is needed.
 
 Scoring looks both kinds of features (byte grams, and words for the base
@@ -47,8 +50,8 @@ from feira.llm._ship import map_arrow
 from feira.llm._store import cut, scratch
 
 DEPTH = 5
-#: Depth by which the trees are dealt out; the levels above are kept on the driver.
-DEALT = 2
+#: Depth by which the trees are dealt out. The level above is a table, the top two are on the driver.
+DEALT = 3
 HEAD = 1 << 20
 HEAD_WORDS = 1 << 18
 GRAM, WORD = 0, 1
@@ -155,13 +158,13 @@ def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Evaluate the trees from depth DEPTH up to DEALT for whole groups of grams.
 
     Returns (p[gram, bit level] of the gram's own bit given depths DEALT and
-    deeper, and for the level above: its nodes, and (sum of the children's
-    ln Pw, n0, n1) of each).
+    deeper, the nodes at DEALT, and (ln Pw, n0, n1) of each); a node is its
+    context bytes, then the bits of the symbol so far as a heap number.
     """
     symbol = (code & np.uint64(255)).astype(np.int64)
     context = code >> np.uint64(8)
     p = np.zeros((len(code), 8))
-    above_key, above = [], []
+    nodes, sums = [], []
     for k in range(8):
         heap = ((1 << k) | (symbol >> (8 - k))).astype(np.uint64)
         bit = (symbol >> (7 - k)) & 1
@@ -182,36 +185,35 @@ def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
                 ln_pw = np.logaddexp(ln_pe, below) - math.log(2)
             first = first_now
         p[:, k] = deeper
-        up = ((context[first] & np.uint64((1 << 8 * (DEALT - 1)) - 1)) << np.uint64(8)) | heap[first]
-        names, at = np.unique(up, return_inverse=True)
-        above_key.append(names)
-        above.append(np.column_stack([np.bincount(at, x, len(names)) for x in (ln_pw, zeros, ones)]))
-    return p, np.concatenate(above_key), np.concatenate(above)
+        nodes.append(names)
+        sums.append(np.column_stack([ln_pw, zeros, ones]))
+    return p, np.concatenate(nodes), np.concatenate(sums)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Runs of rows that end where the column ``pair`` changes."""
+    """Runs of rows that end where the column ``last`` changes."""
     waiting: list[pa.RecordBatch] = []
-    size = 0
+    size, enough = 0, rows
     for batch in batches:
         if not batch.num_rows:
             continue
         waiting.append(batch)
         size += batch.num_rows
-        if size < rows:
+        if size < enough:
             continue
         whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-        pair = whole.column("pair").to_numpy()
-        end = int(np.searchsorted(pair, pair[-1]))  # the last group may go on
+        last = whole.column("last").to_numpy()
+        end = int(np.searchsorted(last, last[-1]))  # the last group may go on
         if end:
             yield whole.slice(0, end)
         waiting, size = [whole.slice(end)], whole.num_rows - end
+        enough = max(rows, 2 * size)  # a long group is put together a few times, not at every batch
     if size:
         yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
 def _top(rows) -> dict[str, np.ndarray]:
-    """Shares and estimates of the levels above DEALT (= 2): [last byte, heap] and [heap]."""
+    """Shares and estimates of depths 1 and 0: [last byte, heap] and [heap]."""
     below, zeros, ones = (np.zeros((256, 256)) for _ in range(3))
     for r in rows:
         c, heap = r["node"] >> 8, r["node"] & 255
@@ -224,37 +226,82 @@ def _top(rows) -> dict[str, np.ndarray]:
             "share0": _share(ln_kt(z, o), ln_pw.sum(0)), "one0": (o + 0.5) / (z + o + 1)}
 
 
-def byte_model(table: DataFrame) -> DataFrame:
-    """(key, value, seen): log10 probability of the last byte of every gram; ``table``: (key, n, seen)."""
-    pair = F.shiftright("key", 8).bitwiseAND((1 << 8 * DEALT) - 1)
-    dealt = table.select("key", "n", "seen", pair.alias("pair")).repartition("pair").sortWithinPartitions("pair", "key")
+def _level_two(dealt: DataFrame) -> DataFrame:
+    """(node, share, one, ln_pw, n0, n1, thirds) of the nodes at depth DEALT - 1.
+
+    ``thirds`` lists the context bytes before them (each once, at most 256).
+    """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
             _, key, sums = subtrees(part.column("key").to_numpy().view(np.uint64), part.column("n").to_numpy().astype(float))
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *[pa.array(sums[:, i].copy()) for i in range(3)]],
-                                             ["node", "below", "n0", "n1"])
+                                             ["node", "ln_pw", "n0", "n1"])
+
+    width = 8 * DEALT  # bits of a node one level up: its context bytes and the heap number
+    summed = (map_arrow(dealt, nodes, "node long, ln_pw double, n0 double, n1 double")
+              .groupBy(F.col("node").bitwiseAND((1 << width) - 1).alias("node"))
+              .agg(F.sum("ln_pw").alias("below"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
+                   F.collect_list(F.shiftright("node", width).cast("short")).alias("thirds")))
+
+    def estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            below, zeros, ones = (batch.column(c).to_numpy() for c in ("below", "n0", "n1"))
+            ln_pe = ln_kt(zeros, ones)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(_share(ln_pe, below)), pa.array((ones + 0.5) / (zeros + ones + 1)),
+                 pa.array(np.logaddexp(ln_pe, below) - math.log(2)), batch.column("n0"), batch.column("n1"),
+                 batch.column("thirds")], ["node", "share", "one", "ln_pw", "n0", "n1", "thirds"])
 
-    summed = (map_arrow(dealt, nodes, "node long, below double, n0 double, n1 double").groupBy("node")
-              .agg(F.sum("below").alias("below"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    top = _top(summed.collect())  # at most 256 * 255 rows
+    return cut(map_arrow(summed, estimates, "node long, share double, one double, ln_pw double, n0 double, n1 double,"
+                                            " thirds array<smallint>"))
+
+
+def byte_model(table: DataFrame) -> DataFrame:
+    """(key, value, seen): log10 probability of the last byte of every gram; ``table``: (key, n, seen).
+
+    Rows meet by the last three context bytes, so no key holds more than 256^3 grams.
+    """
+    last = F.shiftright("key", 8).bitwiseAND((1 << 8 * DEALT) - 1)
+    counts = table.select("key", "n", "seen", last.alias("last"))
+    two = _level_two(counts.repartition("last").sortWithinPartitions("last"))
+    up = (two.groupBy(F.col("node").bitwiseAND((1 << 8 * (DEALT - 1)) - 1).alias("node"))
+          .agg(F.sum("ln_pw").alias("below"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    top = _top(up.collect())  # at most 256 * 255 rows
+
+    # a group's nodes of the level above travel with its grams: key = last bytes and heap number
+    third = F.shiftleft(F.col("third").cast("long"), 8 * DEALT).bitwiseOR(F.col("node"))
+    above = (two.select("node", "share", "one", F.explode("thirds").alias("third"))
+             .select(third.alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("seen"),
+                     F.shiftright(third, 8).alias("last"), "share", "one"))
+    none = F.lit(None).cast("double")
+    both = (counts.withColumns({"share": none, "one": none}).unionByName(above)
+            .repartition("last").sortWithinPartitions("last"))
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches):
+        for group in _groups(batches):
+            is_gram = pc.is_null(group.column("share"))
+            part, two_ = group.filter(is_gram), group.filter(pc.invert(is_gram))
+            name = two_.column("key").to_numpy()
+            order = np.argsort(name, kind="stable")
+            name = name[order]
+            share2, one2 = two_.column("share").to_numpy()[order], two_.column("one").to_numpy()[order]
             code = part.column("key").to_numpy().view(np.uint64)
             p, _, _ = subtrees(code, part.column("n").to_numpy().astype(float))
-            symbol, last = (code & np.uint64(255)).astype(np.int64), ((code >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
+            symbol = (code & np.uint64(255)).astype(np.int64)
+            three, byte = part.column("last").to_numpy(), ((code >> np.uint64(8)) & np.uint64(255)).astype(np.int64)
             value = np.zeros(len(code))
             for k in range(8):
                 heap, bit = (1 << k) | (symbol >> (8 - k)), (symbol >> (7 - k)) & 1
-                one = np.where(bit == 1, top["one1"][last, heap], 1 - top["one1"][last, heap])
-                q = top["share1"][last, heap] * one + (1 - top["share1"][last, heap]) * p[:, k]
-                one = np.where(bit == 1, top["one0"][heap], 1 - top["one0"][heap])
-                q = top["share0"][heap] * one + (1 - top["share0"][heap]) * q
+                at = np.searchsorted(name, (three << 8) | heap)
+                q = p[:, k]
+                for share, one in ((share2[at], one2[at]), (top["share1"][byte, heap], top["one1"][byte, heap]),
+                                   (top["share0"][heap], top["one0"][heap])):
+                    q = share * np.where(bit == 1, one, 1 - one) + (1 - share) * q
                 value += np.log10(q)
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(value), part.column("seen")], ["key", "value", "seen"])
 
-    return map_arrow(dealt, values, "key long, value double, seen long")
+    return map_arrow(both, values, "key long, value double, seen long")
 
 
 def frequent(table: DataFrame, entries: int) -> DataFrame:
