@@ -17,7 +17,7 @@ from feira.llm._store import scratch
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(toxicity.labelled(docs, toxicity.grades_of(labels)), toxicity.CUTS)
+    model = toxicity.fit(toxicity.labelled(docs, toxicity.grades_of(labels)))
     return toxicity.without_toxic(docs, model)
 
 
