@@ -93,7 +93,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.labelled(docs, toxicity.grades_of(_table(spark, sf_dir, "labels"))), toxicity.CUTS)
+    model = toxicity.fit(toxicity.labelled(docs, toxicity.grades_of(_table(spark, sf_dir, "labels"))))
     return toxicity.score(docs, model).withColumn("toxic", F.col("p_toxic") >= toxicity.REJECT)
 
 

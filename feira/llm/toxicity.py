@@ -1,7 +1,10 @@
 """Toxicity as ordinal severity: a cumulative-link (proportional odds) model.
 
 P(grade >= k) = sigmoid(w.x - theta_k) for the thresholds theta_1 <= theta_2
-<= ...; all thresholds share the weights w. x holds one entry per distinct
+<= ...; all thresholds share the weights w. The grades are those of the data
+(0 to any number; one threshold for each grade above 0 that occurs or is
+exceeded); binary labels are two grades and so give one threshold, and
+expected severity is then P(toxic). x holds one entry per distinct
 feature word of the text: present or not, so the length of a text neither
 dilutes nor amplifies a word. Expected severity = sum over k of P(grade >= k).
 
@@ -50,8 +53,6 @@ L1 = 0.1
 STEPS = 500
 RATE = 0.1
 REJECT = 0.5
-#: Severity of texts that are only labelled toxic: 1, 2 from two telling words, 3 from four.
-CUTS = (2, 4)
 
 
 @dataclass
@@ -186,13 +187,8 @@ def choose_features(texts: DataFrame) -> list[str]:
     return [candidates[i] for i in sorted(r["feature"] for r in seen)][:FEATURES]
 
 
-def fit(texts: DataFrame, cuts: tuple[int, ...] = ()) -> Ordinal:
-    """Fit on (t, grade); the sample's feature lists (at most FEATURES per text) reach the driver.
-
-    With ``cuts`` the given grades are only read as 0 or not, and a graded
-    text's grade is 1 plus the number of cuts that its number of different
-    telling words (words with a feature) reaches.
-    """
+def fit(texts: DataFrame) -> Ordinal:
+    """Fit on (t, grade); the sample's feature lists (at most FEATURES per text) reach the driver."""
     words = choose_features(texts)
     if not words:
         return Ordinal()
@@ -202,15 +198,8 @@ def fit(texts: DataFrame, cuts: tuple[int, ...] = ()) -> Ordinal:
         for batch in batches:
             for part in T.slices(batch, "t"):
                 text, code, names = _letters(part.column("t"))
-                starts, ids = _expand(names, index)
-                width = len(names) + 1
-                telling = np.unique(text * width + code)
-                telling = telling[np.diff(starts)[telling % width] > 0] // width  # each word of a text once
-                evidence = np.bincount(telling, minlength=part.num_rows)
-                grade = part.column("grade").to_numpy(zero_copy_only=False).astype(np.int32)
-                if cuts:
-                    grade = np.where(grade > 0, 1 + np.searchsorted(np.asarray(cuts), evidence, side="right"), 0)
-                text, feature = _pairs_of(text, code, starts, ids, index)
+                grade = np.maximum(part.column("grade").to_numpy(zero_copy_only=False), 0)
+                text, feature = _pairs_of(text, code, *_expand(names, index), index)
                 at = np.searchsorted(text, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature, pa.int32())),
                                                   pa.array(grade.astype(np.int32))], ["x", "grade"])
@@ -299,5 +288,5 @@ def without_toxic(docs: DataFrame, model: Ordinal, text_col: str = "text") -> Da
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from binary labels: 0 or 1; ``fit`` grades the toxic ones by CUTS."""
+    """(doc_id, grade) from binary labels: 0 or 1."""
     return labels.select("doc_id", (F.col("toxic") == 1).cast("int").alias("grade"))

@@ -75,7 +75,7 @@ def test_language_and_toxicity_of_nothing(spark):
     assert langid.identify(empty, F.lit(False)).collect() == []
     assert [r.lang_pred for r in langid.identify(frame(spark, [(1, "some text", None, "s", None)]), F.lit(False)).collect()] == ["und"]
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(toxicity.labelled(empty, toxicity.grades_of(labels)), toxicity.CUTS)
+    model = toxicity.fit(toxicity.labelled(empty, toxicity.grades_of(labels)))
     assert toxicity.without_toxic(empty, model).count() == 0
 
 

@@ -364,7 +364,7 @@ def test_toxicity_learns_words_and_beginnings(spark):
     labels += [(None, 1), (0, 1), (9999, 1), (3, None)]
     df = frame(spark, rows + [doc(1000, "nice words only"), doc(1001, "you zorklaxy"), doc(1002, None), doc(1003, "")])
     grades = spark.createDataFrame(labels, "doc_id long, grade int")
-    model = toxicity.fit(toxicity.labelled(df, grades), toxicity.CUTS)
+    model = toxicity.fit(toxicity.labelled(df, grades))
     assert (np.diff(model.thresholds) >= 0).all() and (model.weights >= 0).all()
     out = {x.doc_id: x for x in toxicity.score(df, model).collect()}
     wrong = sum((out[i].p_toxic >= 0.5) != (i % 5 == 0) for i in range(400))
@@ -374,10 +374,55 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert kept.columns == df.columns and kept.filter("doc_id = 1001").count() == 0 and kept.filter("doc_id IN (1000, 1002, 1003)").count() == 3
 
 
+def test_severity_follows_the_grades_of_the_data(spark):
+    """Grades 0 to 3 set by which words a text holds, not by how many: the order is learned,
+    and every row equals the cumulative-link formula computed word by word."""
+    r = random.Random(5)
+    mark = {1: "mildak", 2: "meduro", 3: "gravix"}
+    rows, labels = [], []
+    for i in range(800):
+        w = [f"w{''.join(r.choice('abcdefgh') for _ in range(4))}" for _ in range(25)]
+        grade = i % 8 if i % 8 <= 3 else 0
+        for g in range(1, grade + 1):  # a grade's text holds the marks up to it; long texts repeat grade 1's mark
+            w[5 * g] = mark[g]
+        if grade == 1:
+            w += [mark[1]] * 6
+        rows.append(doc(i, " ".join(w)))
+        labels.append((i, grade))
+    df = frame(spark, rows)
+    grades = spark.createDataFrame(labels, "doc_id long, grade int")
+    model = toxicity.fit(toxicity.labelled(df, grades))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) >= 0).all() and (model.weights >= 0).all()
+    weight = dict(zip(model.words, model.weights))
+    texts = {row[0]: row[1] for row in rows}
+    out = toxicity.score(df, model).collect()
+    for x in out:
+        z = sum(weight.get(f, 0.0) for f in {f for word in set(texts[x.doc_id].split()) for f in toxicity.features_of(word)})
+        at_least = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert x.severity == pytest.approx(sum(at_least)) and x.p_toxic == pytest.approx(at_least[0])
+        cells = [1 - at_least[0], at_least[0] - at_least[1], at_least[1] - at_least[2], at_least[2]]
+        assert cells[x.grade] == pytest.approx(max(cells))
+    want = dict(labels)
+    assert sum(x.grade == want[x.doc_id] for x in out) >= 0.95 * len(out)
+    mean = [np.mean([x.severity for x in out if want[x.doc_id] == g]) for g in range(4)]
+    assert mean == sorted(mean) and mean[3] - mean[0] > 2
+
+
+def test_binary_labels_give_one_threshold(spark):
+    r = random.Random(6)
+    plain = [[f"w{''.join(r.choice('abcdefgh') for _ in range(4))}" for _ in range(20)] for _ in range(200)]
+    rows = [doc(i, " ".join(w[:9] + ["grump"] * (i % 4 == 0) + w[9:])) for i, w in enumerate(plain)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    df = frame(spark, rows)
+    model = toxicity.fit(toxicity.labelled(df, toxicity.grades_of(labels)))
+    assert len(model.thresholds) == 1
+    assert all(x.severity == x.p_toxic and x.grade == int(x.p_toxic > 0.5) for x in toxicity.score(df, model).collect())
+
+
 def test_toxicity_without_labels(spark):
     df = frame(spark, [doc(1, "any text"), doc(2, None)])
     for grades in ([], [(1, 0)]):
-        model = toxicity.fit(toxicity.labelled(df, spark.createDataFrame(grades, "doc_id long, grade int")), toxicity.CUTS)
+        model = toxicity.fit(toxicity.labelled(df, spark.createDataFrame(grades, "doc_id long, grade int")))
         assert [r.severity for r in toxicity.score(df, model).collect()] == [0.0, 0.0]
         assert toxicity.without_toxic(df, model).count() == 2
 
