@@ -25,9 +25,9 @@ def bit_filter(hashes: DataFrame) -> np.ndarray:
     bit = F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask)))
     words = (hashes.select("hash").distinct().select(bit.alias("bit"))
              .groupBy(F.shiftright("bit", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))).toPandas()
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))).toArrow()
     out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 

@@ -95,9 +95,9 @@ def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["bucket", "n"])
 
     sums = (map_arrow(docs.select(F.col(text_col).alias("t")), count, "bucket long, n long")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())  # at most 2^18 + 1 rows
+            .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow())  # at most 2^18 + 1 rows
     out = np.zeros((1 << DF_BITS) + 1, np.int64)
-    out[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    out[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 
@@ -265,7 +265,7 @@ def _uniting(a: list[int], b: list[int], comp: list[int], of: dict[int, tuple])
 
 
 def _similar_in_blocks(members: DataFrame, idf) -> DataFrame:
-    """Similar pairs (a, b) of different components that share a bucket, enough to unite them.
+    """Components (a, b) that a similar pair in a bucket links, enough pairs to unite them.
 
     ``members``: (bucket, node, comp, samples, n, t), n the bucket's size. Pairs
     that agree on SKETCH samples are checked on their texts, in the same task,
@@ -278,13 +278,13 @@ def _similar_in_blocks(members: DataFrame, idf) -> DataFrame:
     dealt = (members.withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") <= F.col("other")).alias("first"), "node", "comp", "samples", "t"))
+                     (F.col("own") <= F.col("other")).alias("first"), "comp", "samples", "t"))
 
     def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
-        samples = rows["samples"].combine_chunks().values.to_numpy().reshape(len(node), SAMPLES)
+        comp = rows["comp"].to_numpy()
+        samples = rows["samples"].combine_chunks().values.to_numpy().reshape(len(comp), SAMPLES)
         if rows["i"][0].as_py() == rows["j"][0].as_py():
-            a, b = np.triu_indices(len(node), 1)
+            a, b = np.triu_indices(len(comp), 1)
         else:
             first = rows["first"].to_numpy()
             a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first), indexing="ij"))
@@ -307,7 +307,7 @@ def _similar_in_blocks(members: DataFrame, idf) -> DataFrame:
             of = {u: (h[s:e], weight[s:e], weight[s:e].sum()) for u, s, e in zip(used.tolist(), cuts[:-1], cuts[1:])}
             good = _uniting(a.tolist(), b.tolist(), comp.tolist(), of)
             a, b = a[good], b[good]
-        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        return comp[a], comp[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -349,12 +349,16 @@ def classes_of_nodes(texts: DataFrame) -> DataFrame:
             .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
     own_text = cut(_texts_of(texts, members.select("node").distinct()))
     links = cut(_similar(cut(star), own_text, idf))
-    comps = components(links)
+    comps = cut(components(links))
     seen = (members.join(comps, "node", "left")
             .select("bucket", "node", "n", F.coalesce("component", "node").alias("comp")))
     live = seen.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
     left = seen.join(live, "bucket").join(drawn.select("node", "samples"), "node").join(own_text, "node")
-    return components(links.union(cut(_similar_in_blocks(left, idf))))
+    # of the components that are left, few have a link; a text without a star link is a component of its own
+    united = cut(components(_similar_in_blocks(left, idf)))
+    upper = united.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return (comps.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+            .union(united).distinct())
 
 
 def _node(text_col: str) -> Column:
